@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton_dedup, suffix_dedup
+from . import automaton_dedup, html_text, language_id, mpeg_audio, packing, secrets, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.digest_media(mpeg_audio.write_media(_table(spark, sf_dir, "documents")))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
 
@@ -19,9 +23,30 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton_dedup.dedup_windows(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(_table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_mpeg_audio": op2_mpeg_audio,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_packing": op6_packing,
+    "op7_language_id": op7_language_id,
+    "op8_secret_scans": op8_secret_scans,
 }
 
 ORACLES: dict[str, str] = {}
