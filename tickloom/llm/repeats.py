@@ -316,8 +316,31 @@ def removed_mask(size: int, offsets: np.ndarray, spans: pa.ListArray) -> np.ndar
     return np.cumsum(step[:-1]) > 0
 
 
+MERGED_ARROW = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))])
+
+
+def _merge(batches):
+    """Each document's intervals as disjoint ones, in order."""
+    for batch in batches:
+        found = textkit.column(batch, "spans")
+        row = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
+        flat = found.flatten()
+        lo, hi = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
+        order = np.lexsort((lo, row))
+        row, lo, hi = row[order], lo[order], hi[order]
+        shift = row << 32
+        reach = np.maximum.accumulate(hi + shift)
+        new = np.ones(len(lo), bool)
+        new[1:] = (row[1:] != row[:-1]) | (lo[1:] + shift[1:] > reach[:-1])
+        begin = np.flatnonzero(new)
+        end = reach[np.append(begin[1:], len(lo)) - 1] - shift[begin] if len(begin) else begin
+        spans = pa.StructArray.from_arrays([pa.array(lo[begin], pa.int32()), pa.array(end, pa.int32())], ["lo", "hi"])
+        offsets = pa.array(np.searchsorted(row[begin], np.arange(len(found) + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays([textkit.column(batch, "doc_id"), pa.ListArray.from_arrays(offsets, spans)], schema=MERGED_ARROW)
+
+
 def spans(docs: DataFrame, plan: Plan, resolver) -> DataFrame:
-    """doc_id and spans array<struct<lo,hi>> (units, possibly overlapping, hi possibly past the end) of documents with repeated windows."""
+    """doc_id and spans array<struct<lo,hi>> (units, hi possibly past the end) of documents with repeated windows; disjoint, in order."""
     spark = docs.sparkSession
     session.ship(spark)
     count = session.buckets(spark)
@@ -330,7 +353,8 @@ def spans(docs: DataFrame, plan: Plan, resolver) -> DataFrame:
     fetched = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_contexts(plan, count), BLOB)
     late = fetched.repartition("bucket").mapInArrow(_resolve(plan, resolver), FOUND)
     both = found.where("not open").select("doc_id", "lo", "hi").unionByName(late.select("doc_id", "lo", "hi"))
-    return session.materialize(both.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    gathered = both.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return session.materialize(gathered.mapInArrow(_merge, "doc_id long, spans array<struct<lo:int,hi:int>>"))
 
 
 def cut(docs: DataFrame, found: DataFrame, fn, schema: str) -> DataFrame:
