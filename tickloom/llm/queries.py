@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton_dedup, html_text, language_id, mpeg_audio, packing, secrets, suffix_dedup
+from . import automaton_dedup, html_text, jaccard_join, language_id, mpeg_audio, packing, secrets, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_mpeg_audio": op2_mpeg_audio,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
@@ -47,6 +51,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
     "op8_secret_scans": op8_secret_scans,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
