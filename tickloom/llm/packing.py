@@ -15,7 +15,6 @@ import zlib
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -233,7 +232,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 
 
 def _pack(length: int, groups: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
         placed = first_fit_decreasing(pdf["length"].tolist(), length)
         bins = np.array([b for b, _ in placed], np.int64)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton_dedup, html_text, jaccard_join, language_id, mpeg_audio, packing, secrets, suffix_dedup
+from . import automaton_dedup, decontaminate, html_text, jaccard_join, language_id, mpeg_audio, packing, secrets, sharding, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.compacted_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.digest_media(mpeg_audio.write_media(_table(spark, sf_dir, "documents")))
 
@@ -43,7 +47,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_mpeg_audio": op2_mpeg_audio,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_substring_dedup": op4_substring_dedup,
@@ -52,6 +61,9 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_secret_scans": op8_secret_scans,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_sharding": sharding.ORACLE,
+}
