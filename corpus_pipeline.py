@@ -1,13 +1,57 @@
-"""The corpus pipeline: language ID, near-duplicate join, decontamination, secret removal, packing."""
+"""The corpus pipeline over documents: language ID, near-duplicate join, decontamination, secret removal, packing.
+
+Each stage takes (spark, docs, sf_dir) and, but for the last, returns the
+columns of docs. run() hands each stage's result to the next as a written table.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tickloom.llm import decontaminate, jaccard_join, language_id, packing, secrets, session
+
+#: SQL cannot express the models of these stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known: rows without letters or without a main language go."""
+    return language_id.keep_known(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the least doc_id."""
+    return jaccard_join.keep_first(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets cut out of their texts."""
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces, placed in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmark),
+    ("secret scans", without_secrets),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = session.materialize(docs)
     return docs
