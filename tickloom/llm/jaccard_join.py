@@ -12,9 +12,11 @@ Over a whole corpus almost all documents are at distance 1 from any pivot, where
 the triangle inequality says nothing. So the first level cuts the corpus by an
 exact guarantee instead: within a band of sizes, shingles are dealt to classes
 by hash; two linked sets differ in so few classes that among the first
-k + 1 filled classes of each there is one that both fill alike. Documents that
-share such a class are neighbours, and the components of neighbours are the
-first regions: no link leaves one.
+k + 1 filled classes of each there is one that both fill alike. Sets that share
+such a class meet there, and two that meet are neighbours unless the parities
+of their shingles, counted by hash in 1024 places, differ in more places than
+linked sets can differ in shingles. The components of neighbours are the first
+regions: no link leaves one.
 
 Sets, not documents, are joined: equal sets are one class from the start.
 """
@@ -36,13 +38,18 @@ ROUNDS = 4
 LEAF = 24
 EPS = 0.2
 
+PLACES = 1024
+#: Sets that meet in one class and are told apart by parities; more are neighbours of the first of them without a look.
+MEETING = 20_000
+
 SIG = np.dtype([("sig", "<u8"), ("node", "<i8")])
-PROFILE = np.dtype([("doc", "<i8"), ("n", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("known", "<i8")])
+PROFILE = np.dtype([("doc", "<i8"), ("n", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("known", "<i8"), ("parity", f"V{PLACES // 8}")])
 
 BLOB = "bucket int, payload binary"
 BLOB_ARROW = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
-MET = "kind int, a long, b long, n long, h2 long"
-MET_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("h2", pa.int64())])
+MET = "kind int, a long, b long, n long, h2 long, parity binary"
+MET_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("h2", pa.int64()), ("parity", pa.binary())])
+EDGE_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _bands() -> np.ndarray:
@@ -80,6 +87,20 @@ def set_hashes(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
+def parities(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each set, the parity of its shingles in each place, as packed bits. Sets that differ in d shingles differ in at most d places."""
+    rows = len(offsets) - 1
+    out = np.zeros((rows, PLACES // 8), np.uint8)
+    place = (codes & _U(PLACES - 1)).astype(np.int64)
+    for lo in range(0, rows, 1024):
+        hi = min(rows, lo + 1024)
+        a, b = offsets[lo], offsets[hi]
+        row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
+        bits = np.bincount(row * PLACES + place[a:b], minlength=(hi - lo) * PLACES) & 1
+        out[lo:hi] = np.packbits(bits.astype(np.uint8).reshape(hi - lo, PLACES), axis=1)
+    return out
+
+
 def signatures(codes: np.ndarray, offsets: np.ndarray, fine: bool = False) -> tuple[np.ndarray, np.ndarray, bool]:
     """(row, signature) such that linked sets share one; and whether that holds for every row (always, if fine)."""
     n = np.diff(offsets)
@@ -127,6 +148,7 @@ def _emit(bucket_count: int, fine: bool):
                 row, sig, whole = signatures(codes, at, fine)
                 got = np.empty(hi - lo, PROFILE)
                 got["doc"], got["n"], got["h1"], got["h2"], got["known"] = ids[lo:hi], np.diff(at), h1, h2, known[lo:hi]
+                got["parity"] = parities(codes, at).view(f"V{PLACES // 8}")[:, 0]
                 cols = [pa.array([-1] if whole else [-1, -2], pa.int32()), pa.array([got.tobytes()] if whole else [got.tobytes(), b""], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, schema=BLOB_ARROW)
                 use = known[lo:hi][row]
@@ -157,13 +179,19 @@ class Forest:
             self.up[max(x, y)] = min(x, y)
 
 
-def _row(kind, a, b, n=None, h2=None) -> pa.RecordBatch:
+def _row(kind, a, b, n=None, h2=None, parity=None) -> pa.RecordBatch:
     zero = np.zeros(len(a), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(zero if n is None else n), pa.array(zero if h2 is None else h2)], schema=MET_ARROW)
+    bits = pa.nulls(len(a), pa.binary()) if parity is None else pa.array([p.tobytes() for p in parity], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(zero if n is None else n), pa.array(zero if h2 is None else h2), bits], schema=MET_ARROW)
 
 
 def _meet(batches):
-    """Profiles (kind 0; 2 without id) and a spanning forest of the neighbours (kind 1) of each bucket; kind 3: a set had too few classes."""
+    """Profiles (kind 0; 2 without id) and who meets in the classes of each bucket.
+
+    Kind 1: (meeting, node), each distinct group of nodes once for each bucket.
+    Kind 4: (node, first node) of a meeting too large to look at. Kind 3: a set
+    had too few classes.
+    """
     held = []
     for batch in batches:
         bucket = textkit.column(batch, "bucket").to_numpy()
@@ -173,27 +201,76 @@ def _meet(batches):
             p = textkit.unpacked([batch.filter(pa.array(bucket == -1))], PROFILE)
             for kind, some in ((0, p[p["known"] == 1]), (2, p[p["known"] == 0])):
                 if len(some):
-                    yield _row(kind, *(np.ascontiguousarray(some[c]) for c in ("doc", "h1", "n", "h2")))
+                    yield _row(kind, *(np.ascontiguousarray(some[c]) for c in ("doc", "h1", "n", "h2")), some["parity"])
         if (bucket >= 0).any():
             held.append(textkit.unpacked([batch.filter(pa.array(bucket >= 0))], SIG))
     if not held:
         return
-    got = np.concatenate(held)
+    got = np.unique(np.concatenate(held))
     held.clear()
-    got = got[np.lexsort((got["node"], got["sig"]))]
     new = np.ones(len(got), bool)
     new[1:] = got["sig"][1:] != got["sig"][:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(got)), 0))
-    a, b = got["node"], got["node"][first]
-    pairs = np.unique(np.stack([a[a != b], b[a != b]], 1), axis=0)
-    nodes, flat = np.unique(pairs, return_inverse=True)
-    forest = Forest(len(nodes))
-    for x, y in flat.reshape(pairs.shape).tolist():
-        forest.join(x, y)
-    roots = np.array([forest.find(i) for i in range(len(nodes))], np.int64)
-    off = roots != np.arange(len(nodes))
-    if off.any():
-        yield _row(1, nodes[off], nodes[roots[off]])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(got)))
+    node = np.ascontiguousarray(got["node"])
+    shared = np.flatnonzero(size > 1)
+    # a meeting is named by its members, so that the same group is looked at once
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(textkit.mix(node.view(_U)))])
+    name = textkit.mix(sums[begin[shared] + size[shared]] - sums[begin[shared]] + size[shared].astype(_U)).view(np.int64)
+    _, once = np.unique(name, return_index=True)
+    large = size[shared[once]] > MEETING
+    for kind, some in ((1, once[~large]), (4, once[large])):
+        if not len(some):
+            continue
+        n = size[shared[some]]
+        first = begin[shared[some]]
+        where = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        if kind == 1:
+            yield _row(1, np.repeat(name[some], n), node[where])
+        else:
+            yield _row(4, node[where], np.repeat(node[first], n))
+
+
+def neighbours(size: np.ndarray, bits: np.ndarray) -> Forest:
+    """Components of the sets that parities and sizes do not rule out as linked; bits: packed parities as 64-bit words, a row per set."""
+    forest = Forest(len(size))
+    order = np.argsort(size, kind="stable")
+    ordered, rows = size[order], bits[order]
+    for i, x in enumerate(order.tolist()):
+        end = int(np.searchsorted(ordered, ordered[i] * 5 // 4, "right"))
+        if end > i + 1:
+            differ = np.bitwise_count(rows[i + 1 : end] ^ rows[i]).sum(axis=1, dtype=np.int64)
+            for y in order[i + 1 : end][9 * differ <= ordered[i] + ordered[i + 1 : end]].tolist():
+                forest.join(x, y)
+    return forest
+
+
+def _look(batches):
+    """Neighbours within each meeting, as a forest of edges."""
+    parts = [pa.Table.from_batches([b]) for b in batches]
+    if not parts:
+        return
+    table = pa.concat_tables(parts).combine_chunks()
+    if not table.num_rows:
+        return
+    meeting, node, size = (table[c].to_numpy() for c in ("meeting", "node", "n"))
+    body, _ = textkit.raw_text(table["parity"].chunk(0) if table["parity"].num_chunks else pa.array([], pa.binary()))
+    bits = body.reshape(len(node), PLACES // 8).copy().view(_U)
+    order = np.argsort(meeting, kind="stable")
+    cut = np.flatnonzero(np.diff(meeting[order])) + 1
+    edges = []
+    for group in np.split(order, cut):
+        if len(group) == 2:
+            x, y = group
+            if 9 * int(np.bitwise_count(bits[x] ^ bits[y]).sum()) <= size[x] + size[y]:
+                edges.append((node[y], node[x]))
+            continue
+        up = neighbours(size[group], bits[group])
+        own = node[group]
+        edges.extend((own[i], own[r]) for i in range(len(group)) if (r := up.find(i)) != i)
+    edges = np.array(edges, np.int64).reshape(-1, 2)
+    edges = np.unique(edges, axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=EDGE_ARROW)
 
 
 # ---- the join of one region ----------------------------------------------------------------------------------------
@@ -292,7 +369,7 @@ def _join(batches):
     for batch in batches:
         for region, rep, codes in zip(*(textkit.column(batch, c).to_pylist() for c in ("region", "rep", "codes")), strict=True):
             regions.setdefault(region, {})[rep] = codes
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = EDGE_ARROW
     for members in regions.values():
         reps = sorted(members)
         roots = Region([np.frombuffer(members[r], _U) for r in reps]).roots()
@@ -368,10 +445,12 @@ def near_duplicates(docs: DataFrame, region: int = REGION, fine: bool = False) -
     met = session.materialize(sent.repartition("deal").select("bucket", "payload").mapInArrow(_meet, MET))
     if not fine and met.where("kind = 3").limit(1).count():
         return near_duplicates(docs, region, True)
-    profile = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("h1"), "n", "h2")
+    profile = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("h1"), "n", "h2", "parity")
     nobody = met.where("kind = 2").select(F.lit(None).cast("long").alias("doc_id"), "n", F.lit(None).cast("long").alias("component_id"))
-    classes = profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    first = components.components(met.where("kind = 1").select("a", "b"))
+    classes = profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity"))
+    meetings = met.where("kind = 1").select(F.col("a").alias("meeting"), F.col("b").alias("node")).distinct()
+    looked = meetings.join(classes.select(F.col("h1").alias("node"), "n", "parity"), "node").repartition("meeting").select("meeting", "node", "n", "parity").mapInArrow(_look, "a long, b long")
+    first = components.components(looked.unionByName(met.where("kind = 4").select("a", "b")))
     members = session.materialize(classes.join(first.select(F.col("node").alias("h1"), F.col("root").alias("region")), "h1").select("rep", "region", "n", "h2"))
     asked = session.maybe_broadcast(members, F.lit(48))
     laid = texts.join(asked, texts["doc_id"] == asked["rep"]).select("rep", "region", "n", "h2", "text").mapInArrow(_lay, LAID)
@@ -384,8 +463,8 @@ def near_duplicates(docs: DataFrame, region: int = REGION, fine: bool = False) -
         joined = links.select(F.col("a").alias("rep"), F.col("b").alias("component"))
     else:
         joined = components.components(links).select(F.col("node").alias("rep"), F.col("root").alias("component"))
-    linked = classes.join(joined, "rep", "left").select("h1", "h2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component_id"))
-    whole_rows = profile.join(linked, (profile["h1"] == linked["h1"]) & (profile["h2"] == linked["h2"]) & (profile["n"] == linked["size"]), "left")
+    linked = classes.drop("parity").join(joined, "rep", "left").select("h1", "h2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component_id"))
+    whole_rows = profile.drop("parity").join(linked, (profile["h1"] == linked["h1"]) & (profile["h2"] == linked["h2"]) & (profile["n"] == linked["size"]), "left")
     found = whole_rows.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
     return found.unionByName(nobody).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
