@@ -1,6 +1,651 @@
-"""The registered queries of the engine and their SQL twins."""
+"""The registered queries of the engine and their SQL twins.
+
+Each query reads the tables below sf_dir whole. Computed doubles are rounded to
+six places on both sides, since sums depend on order.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tickloom.config import HOURLY as S
+from tickloom.config import SIGNALS
+from tickloom.functions import columns as C
+from tickloom.functions import series
+from tickloom.operators import bars as B
+from tickloom.operators import costs, detectors, hygiene, quality, returns, stats
+from tickloom.plans import study as P
+from tickloom.sources import adapter
+from tickloom.sqltwin import D, twin
+from tickloom.streaming import depth
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = twin(sql)
+        return fn
+
+    return add
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _prepared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return P.prepared(adapter.trades(spark, sf), S)
+
+
+def _windows(spark: SparkSession) -> DataFrame:
+    start = F.lit(S.start_ms) + F.col("id") * (86_400_000 * 5)
+    return spark.range(6).select(F.lit("SYN").alias("symbol"), (start + 1_800_000).alias("start_ms"), (start + 9_000_000).alias("end_ms"))
+
+
+def _stages(spark: SparkSession, sf: str) -> tuple[P.Stages, DataFrame, DataFrame]:
+    bars, buckets = _prepared(spark, sf)
+    return P.staged_events(bars, buckets, _windows(spark), S), bars, buckets
+
+
+def _returned(spark: SparkSession, sf: str) -> DataFrame:
+    s, bars, _ = _stages(spark, sf)
+    return P.returns_of(s, bars, _windows(spark), S)
+
+
+def _long(spark: SparkSession, sf: str) -> DataFrame:
+    return returns.long_form(returns.in_sample(_returned(spark, sf)), S)
+
+
+_BARS = "symbol, bar_index, bar_ts_ms, open, high, low, close, round(volume, 6) as volume, round(delta, 6) as delta, round(cumulative_delta, 6) as cumulative_delta, trade_count"
+_EVENTS = "symbol, bar_index, bar_ts, signal, direction::tinyint as direction, round(magnitude, 6) as magnitude"
+
+
+# ---- sources and columns -------------------------------------------------------------------------------------------
+
+
+@query("select symbol, agg_trade_id, price, quantity, transact_time, is_buyer_maker from trades")
+def src_trades(spark, sf):
+    """SRC9, SRC11: the trade table, columns and filters pushed into the scan."""
+    return adapter.trades(spark, sf)
+
+
+_STAMP = "case event_id % 4 when 0 then ms // 1000 when 1 then ms when 2 then ms * 1000 else ms * 1000000 end"
+
+
+def _stamps(spark, sf):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    kind = F.col("event_id") % 4
+    stamp = F.when(kind == 0, F.floor(ms / 1000)).when(kind == 1, ms).when(kind == 2, ms * 1000).otherwise(ms * 1_000_000).cast("long")
+    return adapter.table(spark, sf, "events").select("event_id", kind.alias("file"), stamp.alias("stamp"))
+
+
+@query(f"""select event_id, case when len(cast(stamp as varchar)) <= 10 then 's' when len(cast(stamp as varchar)) <= 13 then 'ms' when len(cast(stamp as varchar)) <= 16 then 'us' else 'ns' end as unit
+  from (select event_id, {_STAMP} as stamp from (select event_id, epoch_ms(ts) as ms from events))""")
+def src_time_unit(spark, sf):
+    """SRC2: unit of a stamp by its digits."""
+    return _stamps(spark, sf).select("event_id", C.time_unit(F.col("stamp")).alias("unit"))
+
+
+@query(f"""select event_id, (case event_id % 4 when 0 then stamp * 1000 when 1 then stamp when 2 then stamp // 1000 else stamp // 1000000 end)::bigint as ms
+  from (select event_id, {_STAMP} as stamp from (select event_id, epoch_ms(ts) as ms from events))""")
+def src_normalised_ms(spark, sf):
+    """SRC3: one unit for each file, from its first stamp."""
+    t = _stamps(spark, sf)
+    unit = t.groupBy("file").agg(C.time_unit(F.min("stamp")).alias("unit"))
+    return t.join(F.broadcast(unit), "file").select("event_id", C.to_ms(F.col("stamp"), F.col("unit")).alias("ms"))
+
+
+@query("select event_id, event_id % 3 = 0 as header from events")
+def src_header(spark, sf):
+    """SRC1: whether a CSV line is a header."""
+    i = F.col("event_id")
+    line = F.when(i % 3 == 0, F.concat(F.lit("agg_trade_id,"), i)).when(i % 3 == 1, F.concat(i, F.lit(",x"))).otherwise(F.concat(F.lit("-"), i, F.lit(".5,x")))
+    return adapter.table(spark, sf, "events").select("event_id", C.looks_like_header(line).alias("header"))
+
+
+@query("select year(d)::int as year, month(d)::int as month from (select unnest(range(date '2022-07-01', date '2026-07-01', interval 1 month)) as d)")
+def src_months(spark, sf):
+    """SRC14: the study's months."""
+    from tickloom.sources import archive
+
+    return archive.months(spark, "2022-07", "2026-06")
+
+
+@query("""select agg_trade_id, transact_time - transact_time % 3600000 as bar_key, floor(price / 25) * 25 as bucket, case when not is_buyer_maker then quantity else 0.0 end as bought,
+  case when is_buyer_maker then quantity else 0.0 end as sold, transact_time // 86400000 as day, round(price / 25)::bigint as nearest_level from trades""")
+def prj_keys(spark, sf):
+    """PRJ1-3, 6, 9: bar, bucket, side, day and level of each trade."""
+    bought, sold = C.aggressor(F.col("quantity"), F.col("is_buyer_maker"))
+    t = F.col("transact_time")
+    return adapter.trades(spark, sf).select("agg_trade_id", C.bar_key(t, S.bar_ms).alias("bar_key"), C.bucket_price(F.col("price"), 25.0).alias("bucket"), bought.alias("bought"), sold.alias("sold"), C.day_of(t).alias("day"), C.grid_level(F.col("price"), 25.0).alias("nearest_level"))
+
+
+@query("""select event_id, cast(ts as date) as d, day(ts)::int as dom, (hour(ts) * 60 + minute(ts))::int as minute, year(ts) || 'H' || case when month(ts) <= 6 then '1' else '2' end as half,
+  ((hour(ts) * 60 + minute(ts)) // 5 * 5)::int as slot, value = 0 as is_zero from events""")
+def prj_calendar(spark, sf):
+    """PRJ4, 5, 7, 8: calendar fields, half-year label, five-minute slot."""
+    ts = F.col("ts").cast("timestamp")
+    minute = C.minute_of_day(ts)
+    return adapter.table(spark, sf, "events").select("event_id", F.to_date(ts).alias("d"), F.dayofmonth(ts).alias("dom"), minute.alias("minute"), C.half_year(ts).alias("half"), (minute - minute % 5).alias("slot"), (F.col("value") == 0).alias("is_zero"))
+
+
+@query("select day, round((a - b) / b * 100, 6) as signed_pct, round(abs((a - b) / b * 100), 6) as abs_pct from reconciled where side = 'both'")
+def prj_percent(spark, sf):
+    """PRJ10: signed and absolute percent difference."""
+    both = _reconciled(spark, sf).where("side = 'both'")
+    p = C.pct_diff(F.col("a"), F.col("b"))
+    return _rounded(both.select("day", p.alias("signed_pct"), F.abs(p).alias("abs_pct")))
+
+
+@query("select event_type, user_id % 5 as h, event_id % 7 as b, 0::bigint as seed from events where false")
+def prj_seed(spark, sf):
+    """STA3: crc32 seeds agree with their plain twin; rows where they do not."""
+    t = adapter.table(spark, sf, "events").select("event_type", (F.col("user_id") % 5).alias("h"), (F.col("event_id") % 7).alias("b")).distinct()
+    import zlib
+
+    known = {(s, h, b): zlib.crc32(f"{s}|{h}|{b}".encode()) % (1 << 31) for s in ("view", "signup", "error", "click", "purchase") for h in range(5) for b in range(7)}
+    plain = F.create_map(*[x for k, v in known.items() for x in (F.lit("|".join(map(str, k))), F.lit(v).cast("long"))])
+    seed = C.seed_of(F.col("event_type"), F.col("h"), F.col("b"))
+    return t.where(seed != plain[F.concat_ws("|", "event_type", "h", "b")]).select("event_type", "h", "b", seed.alias("seed"))
+
+
+# ---- bars ----------------------------------------------------------------------------------------------------------
+
+
+@query("select symbol, bar_ts_ms, open, high, low, close, round(volume, 6) as volume, round(delta, 6) as delta, trade_count from partial_bars")
+def bars_partial(spark, sf):
+    """AGG1: bars that have trades."""
+    return _rounded(B.partial_bars(adapter.trades(spark, sf), S))
+
+
+@query(f"select {_BARS} from bars")
+def bars_hourly(spark, sf):
+    """WIN1-3, JN1: the finalised grid."""
+    return _rounded(_prepared(spark, sf)[0].drop("bar_ts"))
+
+
+@query("select symbol, bar_index, bar_ts_ms, level, bucket_px, round(buy_vol, 6) as buy_vol, round(sell_vol, 6) as sell_vol, trade_count from buckets")
+def buckets_hourly(spark, sf):
+    """AGG2, JN2: the footprint."""
+    return _rounded(_prepared(spark, sf)[1])
+
+
+@query("""select symbol, bar_index, bar_ts_ms, floor(bucket_px / 30)::bigint as level, floor(bucket_px / 30) * 30 as bucket_px, round(sum(buy_vol), 6) as buy_vol, round(sum(sell_vol), 6) as sell_vol, sum(trade_count)::bigint as trade_count
+  from buckets group by symbol, bar_index, bar_ts_ms, floor(bucket_px / 30)""")
+def buckets_coarse(spark, sf):
+    """AGG3: coarser price buckets."""
+    return _rounded(B.rebucket(_prepared(spark, sf)[1], 30.0, 10.0).select("symbol", "bar_index", "bar_ts_ms", "level", "bucket_px", "buy_vol", "sell_vol", "trade_count"))
+
+
+_FOUR = """(select symbol, bar_index // 4 as bar_index, min(bar_ts_ms) as bar_ts_ms, arg_min(open, bar_index) as open, max(high) as high, min(low) as low, arg_max(close, bar_index) as close,
+  sum(volume) as volume, sum(delta) as delta, sum(trade_count)::bigint as trade_count from bars group by symbol, bar_index // 4)"""
+
+
+@query(f"""select symbol, bar_index, bar_ts_ms, open, high, low, close, round(volume, 6) as volume, round(delta, 6) as delta,
+  round(sum(delta) over (order by bar_index rows between unbounded preceding and current row), 6) as cumulative_delta, trade_count from {_FOUR}""")
+def bars_coarse(spark, sf):
+    """AGG4: four-hour bars out of hourly ones."""
+    bars, buckets = _prepared(spark, sf)
+    return _rounded(B.rebar(bars, buckets, 4 * S.bar_ms, S.bar_ms)[0].drop("bar_ts"))
+
+
+@query("""select symbol, bar_index // 4 as bar_index, min(bar_ts_ms) - min(bar_index % 4) * 3600000 as bar_ts_ms, level, bucket_px, round(sum(buy_vol), 6) as buy_vol, round(sum(sell_vol), 6) as sell_vol, sum(trade_count)::bigint as trade_count
+  from buckets group by symbol, bar_index // 4, level, bucket_px""")
+def buckets_of_coarse_bars(spark, sf):
+    """AGG4, JN3: the footprint of the four-hour bars."""
+    bars, buckets = _prepared(spark, sf)
+    return _rounded(B.rebar(bars, buckets, 4 * S.bar_ms, S.bar_ms)[1])
+
+
+@query("select 'SYN' as symbol, 0.0::double as volume_gap, 0.0::double as delta_gap, 0::bigint as trade_gap")
+def bars_conserve(spark, sf):
+    """AGG17: bars and buckets hold the same volume, delta and trades."""
+    got = _rounded(B.conservation(*_prepared(spark, sf)))
+    return got.select("symbol", F.abs("volume_gap").alias("volume_gap"), F.abs("delta_gap").alias("delta_gap"), "trade_gap")
+
+
+@query("""select symbol, count(*) as n_bars, count(*) % 24 = 0 as whole_days, count(*) filter (trade_count = 0) as empty_bars, min(bar_ts_ms) as first_ms, max(bar_ts_ms) as last_ms from bars group by symbol""")
+def bars_sanity(spark, sf):
+    """AGG14."""
+    return quality.store_sanity(_prepared(spark, sf)[0], 24)
+
+
+# ---- windows -------------------------------------------------------------------------------------------------------
+
+
+@query("select bar_index, round(cum, 6) as cum, round(sigma, 6) as sigma, is_high, is_low, round(cum_high, 6) as cum_high, round(cum_low, 6) as cum_low from diverging")
+def win_divergence(spark, sf):
+    """WIN4-6, WIN9, JN9: rolling delta, extremes, trailing deviation, value at the last extreme."""
+    f = detectors.divergence_frame(_prepared(spark, sf)[0], D, 200)
+    return _rounded(f.select("bar_index", "cum", "sigma", "is_high", "is_low", "cum_high", "cum_low"))
+
+
+@query("select bar_index, round(climax, 6) as climax from climaxes")
+def win_quantile(spark, sf):
+    """WIN7: trailing quantile of volume."""
+    got = series.trailing_quantile(_prepared(spark, sf)[0], "volume", D.climax_window, C.nearest_index(D.climax_window, D.climax_quantile), "climax", 200)
+    return _rounded(got.select("bar_index", "climax"))
+
+
+@query("select bar_index, round(p25, 6) as p25, round(p50, 6) as p50 from pooled")
+def win_pooled_percentiles(spark, sf):
+    """WIN8: pooled percentiles of bucket volumes."""
+    return _rounded(detectors.pooled_percentiles(*_prepared(spark, sf), D.volume_window, 200).select("bar_index", "p25", "p50"))
+
+
+@query("select symbol, bar_index, bar_ts, direction::tinyint as direction, level, round(ratio, 6) as ratio from ratios")
+def jn_diagonal(spark, sf):
+    """JN14: diagonal imbalance of neighbouring levels."""
+    got = detectors.diagonal_ratios(*_prepared(spark, sf), S.delta, D)
+    return _rounded(got.withColumn("direction", F.col("direction").cast("byte")))
+
+
+@query("select symbol, bar_index, bar_ts, direction::tinyint as direction, n, round(mean, 6) as mean from runs")
+def win_islands(spark, sf):
+    """WIN11: runs of neighbouring flags."""
+    flagged = detectors.diagonal_ratios(*_prepared(spark, sf), S.delta, D)
+    w = Window.partitionBy("symbol", "bar_index", "direction").orderBy("level")
+    runs = flagged.withColumn("island", F.col("level") - F.row_number().over(w)).groupBy("symbol", "bar_index", "bar_ts", "direction", "island").agg(F.count("*").alias("n"), F.avg("ratio").alias("mean"))
+    return _rounded(runs.where(F.col("n") >= D.stack).select("symbol", "bar_index", "bar_ts", F.col("direction").cast("byte").alias("direction"), "n", "mean"))
+
+
+# ---- detectors -----------------------------------------------------------------------------------------------------
+
+
+@query(f"select {_EVENTS} from h1")
+def h1_divergence(spark, sf):
+    return _rounded(detectors.divergence(_prepared(spark, sf)[0], D))
+
+
+@query(f"select {_EVENTS} from h2")
+def h2_absorption(spark, sf):
+    return _rounded(detectors.absorption(*_prepared(spark, sf), S.delta, D))
+
+
+@query(f"select {_EVENTS} from h3")
+def h3_imbalance(spark, sf):
+    return _rounded(detectors.imbalance(*_prepared(spark, sf), S.delta, D))
+
+
+@query(f"select {_EVENTS} from h6")
+def h6_exhaustion(spark, sf):
+    """WIN12, JN13."""
+    return _rounded(detectors.exhaustion(*_prepared(spark, sf), D))
+
+
+@query(f"select {_EVENTS} from raw_events")
+def det_all(spark, sf):
+    """DET1-2: all detectors' events."""
+    return _rounded(_stages(spark, sf)[0].raw)
+
+
+# ---- hygiene -------------------------------------------------------------------------------------------------------
+
+
+@query(f"select {_EVENTS} from clear_events")
+def hyg_quarantine(spark, sf):
+    """HYG4, JN10."""
+    return _rounded(_stages(spark, sf)[0].clear.select(*detectors.EVENT))
+
+
+@query(f"select {_EVENTS} from warm_events")
+def hyg_warmup(spark, sf):
+    """HYG1, FLT1."""
+    return _rounded(_stages(spark, sf)[0].warm.select(*detectors.EVENT))
+
+
+@query(f"select {_EVENTS} from events_kept")
+def hyg_dedup(spark, sf):
+    """HYG2-3: greedy de-duplication against the last kept event."""
+    return _rounded(_stages(spark, sf)[0].kept.select(*detectors.EVENT))
+
+
+@query("""select stage, signal, direction::tinyint as direction, count(*) as n from (
+  select 'raw' as stage, signal, direction from raw_events union all select 'quarantine', signal, direction from clear_events
+  union all select 'warmup', signal, direction from warm_events union all select 'dedup', signal, direction from events_kept) group by all""")
+def agg_funnel(spark, sf):
+    """AGG10."""
+    return P.funnel(_stages(spark, sf)[0])
+
+
+@query("""select signal, count(*) filter (year(bar_ts) = 2023) as "2023H2", count(*) filter (year(bar_ts) = 2024) as "2024H1" from events_kept group by signal""")
+def agg_half_years(spark, sf):
+    """AGG8: pivot with fixed periods."""
+    return P.half_year_table(_stages(spark, sf)[0].kept, ["2023H2", "2024H1"])
+
+
+@query(f"""select signal, round(count(*) filter (epoch_ms(bar_ts) <= {S.is_end_ms}) / count(*), 6) as share, round({S.is_end_ms - S.start_ms + 1} / {S.end_ms - S.start_ms + 1}, 6) as calendar_share from events_kept group by signal""")
+def agg_in_sample_share(spark, sf):
+    """AGG9."""
+    return _rounded(P.in_sample_share(_stages(spark, sf)[0].kept, S))
+
+
+# ---- returns and statistics ----------------------------------------------------------------------------------------
+
+
+_R = ", ".join(f"round(r_{h}, 6) as r_{h}" for h in S.horizons)
+
+
+@query(f"select {_EVENTS}, segment, purge_ok, {_R} from returned")
+def sta_returns(spark, sf):
+    """STA1-2, JN7-8, WIN13: forward returns, segments and purge."""
+    s, bars, _ = _stages(spark, sf)
+    got = returns.add_forward_returns(s.kept, bars, S)
+    return _rounded(got.select(*detectors.EVENT, "segment", "purge_ok", *[f"r_{h}" for h in S.horizons]))
+
+
+@query(f"select {_EVENTS}, segment, purge_ok, {_R} from nulled")
+def hyg_null_returns(spark, sf):
+    """HYG5, JN11."""
+    return _rounded(_returned(spark, sf).select(*detectors.EVENT, "segment", "purge_ok", *[f"r_{h}" for h in S.horizons]))
+
+
+@query("select signal, h::int as h, day, round(sum(r), 6) as total, count(*) as n from long_rows group by signal, h, day")
+def agg_day_sums(spark, sf):
+    """AGG11, FLT2, FLT4."""
+    return _rounded(stats.day_sums(_long(spark, sf)))
+
+
+@query("select signal, h::int as h, round(avg(r), 6) as mean, count(*) as n from long_rows group by signal, h")
+def agg_cell_means(spark, sf):
+    """AGG12."""
+    return _rounded(stats.cell_means(_long(spark, sf)))
+
+
+@query("select signal, h::int as h, round(case when count(*) < 2 or min(rx) = max(rx) or min(ry) = max(ry) then null else corr(rx, ry) end, 6) as ic from spearman_ranks group by signal, h")
+def sta_spearman(spark, sf):
+    """STA5: rank correlation."""
+    return _rounded(stats.spearman(_long(spark, sf)))
+
+
+@query()
+def sta_bootstrap(spark, sf):
+    """STA4, STA8: day-cluster bootstrap; draws are random, so there is no SQL."""
+    return stats.bootstrap_means(_long(spark, sf), S.reps)
+
+
+@query()
+def sta_bootstrap_ic(spark, sf):
+    """STA5: cluster intervals of the rank correlation."""
+    return stats.bootstrap_spearman(_long(spark, sf), S.ic_reps)
+
+
+@query()
+def sta_placebo(spark, sf):
+    """STA6: circular-shift placebo."""
+    s, bars, _ = _stages(spark, sf)
+    return stats.placebo(s.kept, bars, S, _windows(spark))
+
+
+@query()
+def sta_cells(spark, sf):
+    """STA9-10, STA12: the family of cells."""
+    return P.cells(_long(spark, sf), S)
+
+
+@query()
+def sta_promotion(spark, sf):
+    """STA11, AGG13: gates and promotion."""
+    return P.promoted(_long(spark, sf), S)
+
+
+_PART = (S.is_end_ms - S.start_ms) // 3 + 1
+
+
+@query(f"""select signal, h::int as h, greatest(count(*) filter (s > 0), count(*) filter (s < 0)) >= 2 as agree from (
+  select signal, h, (epoch_ms(bar_ts) - {S.start_ms}) // {_PART} as part, sign(avg(r)) as s from long_rows group by all) group by signal, h""")
+def agg_sign_agreement(spark, sf):
+    """AGG13."""
+    return stats.year_signs(_long(spark, sf), S)
+
+
+_P = "(select signal, h, abs(sin(ascii(substr(signal, 2, 1)) * 7 + h * 13)) * 0.2 as p from (select unnest(['H1', 'H2', 'H3', 'H6']) as signal) cross join (select unnest([1, 3, 6, 12]) as h))"
+
+
+@query(f"""select signal, h, round(p, 6) as p_value, rank::int as rank, round(rank / 16 * 0.1, 6) as threshold, coalesce(rank <= max(case when p <= rank / 16 * 0.1 then rank end) over (), false) as significant
+  from (select *, row_number() over (order by p, signal, h) as rank from {_P})""")
+def sta_fdr(spark, sf):
+    """STA7, WIN14: step-up rule over a fixed family of p-values."""
+    rows = spark.createDataFrame([(s, h) for s in SIGNALS for h in S.horizons], "signal string, h int")
+    p = F.abs(F.sin((F.ascii(F.substring("signal", 2, 1)) * 7 + F.col("h") * 13).cast("double"))) * 0.2
+    got = stats.fdr(rows.withColumn("p_value", p), S.q)
+    return _rounded(got.select("signal", "h", "p_value", "rank", "threshold", "significant"))
+
+
+@query()
+def sta_sensitivity(spark, sf):
+    """STA13: cell means under coarser bars and buckets."""
+    bars, buckets = _prepared(spark, sf)
+    variants = {"base": S, "delta30": P.variant(S, delta=30.0), "bar2h": P.variant(S, bar_ms=2 * S.bar_ms), "both": P.variant(S, bar_ms=2 * S.bar_ms, delta=20.0)}
+    return _rounded(P.sensitivity(bars, buckets, S, variants))
+
+
+@query(f"""select symbol, min(ms) as start_ms from (select symbol, epoch_ms(bar_ts) as ms, (select count(distinct x.signal) from events_kept x where epoch_ms(x.bar_ts) between epoch_ms(e.bar_ts) and epoch_ms(e.bar_ts) + {10 * 86_400_000 - 1}) as kinds from events_kept e) where kinds = 4 group by symbol""")
+def win_first_full(spark, sf):
+    """WIN15: the first stretch of ten days that holds every signal."""
+    return P.first_full_window(_stages(spark, sf)[0].kept, 10 * 86_400_000)
+
+
+@query(f"select {_EVENTS} from events_kept where epoch_ms(bar_ts) < {S.is_end_ms - max(S.horizons) * S.bar_ms}")
+def flt_figure_cutoff(spark, sf):
+    """FLT5, JN15: events whose horizons all end in sample."""
+    return _rounded(P.figure_cutoff(_stages(spark, sf)[0].kept, S).select(*detectors.EVENT))
+
+
+_BEST = "select signal, h::int as h, round(avg(r), 6) as mean, count(*) as n from long_rows group by signal, h"
+
+
+@query(f"select * from ({_BEST}) where n >= 2 order by mean desc, signal, h limit 1")
+def flt_best_cell(spark, sf):
+    """FLT6: the cell with the greatest mean."""
+    cells = _rounded(stats.cell_means(_long(spark, sf))).where("n >= 2")
+    return P.best_cell(cells.withColumn("p_value", F.lit(0.0))).drop("p_value")
+
+
+# ---- costs ---------------------------------------------------------------------------------------------------------
+
+_FUNDING = f"(select {S.start_ms} + i * 28800000 + (i % 3) * 17 as calc_time, ((i * 37) % 11 - 5) * 0.0001 as rate from range(90) t(i))"
+
+
+def _positions(spark, sf):
+    o = adapter.table(spark, sf, "events")
+    entry = F.unix_millis(F.col("ts").cast("timestamp"))
+    return o.select(F.col("event_id").alias("id"), entry.alias("entry_ms"), (entry + (F.col("user_id") % 90) * 3_600_000).alias("exit_ms"), F.when(F.col("user_id") % 2 == 1, 1).otherwise(-1).alias("side"), (F.col("value") / 1000).alias("gross"))
+
+
+def _funding(spark):
+    i = F.col("id")
+    return spark.range(90).select((F.lit(S.start_ms) + i * 28_800_000 + (i % 3) * 17).alias("calc_time"), (((i * 37) % 11 - 5) * 0.0001).alias("last_funding_rate"))
+
+
+@query(f"""select p.id, round(gross - {S.round_trip}, 6) as after_cost, round(-side * coalesce(paid, 0), 6) + 0.0 as funding, round(gross - {S.round_trip} - side * coalesce(paid, 0), 6) as net from (
+  select event_id as id, epoch_ms(ts) as entry_ms, epoch_ms(ts) + (user_id % 90) * 3600000 as exit_ms, case when user_id % 2 = 1 then 1 else -1 end as side, value / 1000 as gross from events) p
+  left join (select e.event_id as id, sum(f.rate) as paid from events e join {_FUNDING} f on f.calc_time > epoch_ms(e.ts) and f.calc_time <= epoch_ms(e.ts) + (e.user_id % 90) * 3600000 group by e.event_id) s on p.id = s.id""")
+def cst_net_returns(spark, sf):
+    """CST1-4, JN12: cost drag and funding over (entry, exit]."""
+    got = costs.net_returns(_positions(spark, sf), _funding(spark), S.round_trip)
+    return _rounded(got.select("id", "after_cost", "funding", "net")).withColumn("funding", F.col("funding") + F.lit(0.0))
+
+
+# ---- data quality --------------------------------------------------------------------------------------------------
+
+
+def _reconciled(spark, sf):
+    return quality.reconciled(quality.daily_volume(adapter.trades(spark, sf)), adapter.klines(spark, sf))
+
+
+@query("select day, round(a, 6) as a, round(b, 6) as b, side, round(pct, 6) as pct, case when side = 'both' then pct >= 0.5 end as breach from reconciled")
+def qa_reconciled(spark, sf):
+    """QA4-5, JN4, AGG5."""
+    return _rounded(_reconciled(spark, sf))
+
+
+@query("""select count(*) filter (side = 'both') as n_both, count(*) filter (side = 'left') as n_left, count(*) filter (side = 'right') as n_right,
+  count(*) filter (side = 'both' and pct >= 0.5) as breaches, round(max(pct), 6) as max_pct, round(avg(pct), 6) as mean_pct from reconciled""")
+def qa_summary(spark, sf):
+    """QA5."""
+    return _rounded(quality.reconciliation_summary(_reconciled(spark, sf)))
+
+
+@query("select day, round(pct, 6) as pct from reconciled where side = 'both' and pct >= 0.5 order by round(pct, 6) desc, day limit 5")
+def qa_worst(spark, sf):
+    """QA5: the worst five days, a top-k."""
+    got = _reconciled(spark, sf).withColumn("pct", F.round("pct", 6))
+    return quality.worst(got).select("day", "pct")
+
+
+_ORDINAL = "row_number() over (order by agg_trade_id // 10, agg_trade_id % 10 * 7 % 10) - 1"
+
+
+def _shuffled(spark, sf):
+    """Trades with every ten of them out of order; the ordinal is arithmetic, as ids count up from 0."""
+    i = F.col("agg_trade_id")
+    place = (i % 10 * 7) % 10
+    return adapter.trades(spark, sf).withColumn("ordinal", i - i % 10 + place)
+
+
+@query(f"""select symbol, count(*) filter (dt < 0) as out_of_order, count(*) filter (di <> 1) as id_gaps from (
+  select symbol, transact_time - lag(transact_time) over (order by o) as dt, agg_trade_id - lag(agg_trade_id) over (order by o) as di from (select *, {_ORDINAL} as o from trades)) group by symbol""")
+def qa_order(spark, sf):
+    """QA1, WIN10: steps back in time and id gaps in file order."""
+    return quality.order_check(_shuffled(spark, sf), "ordinal", 1000)
+
+
+@query("""select 'SYN' as symbol, d as day from range(19723, 19756) t(d) where d not in (select day from keyed)""")
+def qa_missing_days(spark, sf):
+    """QA2, AGG7, FLT3: calendar days without trades."""
+    return quality.missing_days(adapter.trades(spark, sf), 19_723, 19_755)
+
+
+@query(f"""select symbol, count(*) filter (dt < 0) as out_of_order, count(*) filter (di <> 1) as id_gaps, (select count(*) from range(19723, 19756) t(d) where d not in (select day from keyed)) as missing, true as anomalous from (
+  select symbol, transact_time - lag(transact_time) over (order by o) as dt, agg_trade_id - lag(agg_trade_id) over (order by o) as di from (select *, {_ORDINAL} as o from trades)) group by symbol""")
+def qa_month_report(spark, sf):
+    """QA3."""
+    return quality.month_report(qa_order(spark, sf), qa_missing_days(spark, sf))
+
+
+@query("""select symbol, agg_trade_id, price, round(quantity, 6) as quantity, transact_time, is_buyer_maker from (
+  select symbol, agg_trade_id, price, case when day in (19725, 19730) then quantity * 2 else quantity end as quantity, transact_time, is_buyer_maker from keyed)""")
+def qa_backfilled(spark, sf):
+    """QA7: whole days replaced by the repair's rows."""
+    t = adapter.trades(spark, sf)
+    repair = t.withColumn("quantity", F.col("quantity") * 2).where(C.day_of(F.col("transact_time")).isin(19_725, 19_730))
+    days = spark.createDataFrame([("SYN", 19_725), ("SYN", 19_730), ("SYN", 99_999)], "symbol string, day long")
+    return _rounded(quality.backfilled(t, days, repair).select("symbol", "agg_trade_id", "price", "quantity", "transact_time", "is_buyer_maker"))
+
+
+@query("select distinct symbol, day % 3 as year, day % 4 as month, [day] as missing_days from keyed where day % 2 = 0")
+def qa_pending_repairs(spark, sf):
+    """QA8: flagged days without a finished repair."""
+    day = C.day_of(F.col("transact_time"))
+    flags = adapter.trades(spark, sf).select("symbol", (day % 3).alias("year"), (day % 4).alias("month"), F.array(day).alias("missing_days"))
+    done = flags.where(F.get("missing_days", 0) % 2 == 1).withColumn("still_missing", F.lit(0))
+    return quality.pending_repairs(flags, done)
+
+
+_MIN = "(select transact_time // 60000 * 60000 as minute_ms, sum(quantity * (agg_trade_id % 3 <> 0)::int) as volume from trades group by all)"
+
+
+def _minutes(spark, sf):
+    t = adapter.trades(spark, sf)
+    return t.groupBy(C.bar_key(F.col("transact_time"), 60_000).alias("minute_ms")).agg(F.sum(F.col("quantity") * (F.col("agg_trade_id") % 3 != 0).cast("int")).alias("volume"))
+
+
+@query(f"select minute_ms // 86400000 as day, count(*) filter (volume = 0) as zero_minutes from {_MIN} group by all")
+def qa_zero_minutes(spark, sf):
+    """AGG6, JN5."""
+    return quality.zero_minutes(_minutes(spark, sf))
+
+
+@query(f"""select bar_ts_ms // 86400000 as day, round(sum(case when holey then gap else 0 end) / nullif(sum(gap), 0), 6) as share, coalesce(sum(case when holey then gap else 0 end) / nullif(sum(gap), 0) >= 0.8, false) as explained from (
+  select p.bar_ts_ms, abs(p.volume - coalesce(m.b, 0)) as gap, coalesce(m.holey, false) as holey from bars p left join (
+    select minute_ms // 3600000 * 3600000 as bar_ts_ms, sum(volume) as b, bool_or(volume = 0) as holey from {_MIN} group by all) m using (bar_ts_ms)) group by all""")
+def qa_explained(spark, sf):
+    """QA9, JN6: share of a day's difference in bars that hold an empty minute."""
+    return _rounded(quality.explained_share(_prepared(spark, sf)[0], _minutes(spark, sf), S.bar_ms))
+
+
+@query("""select symbol, day, max(di) as max_id_step, max(dt) as max_ms_step from (select symbol, day, agg_trade_id - lag(agg_trade_id) over w as di, transact_time - lag(transact_time) over w as dt
+  from keyed window w as (partition by day order by transact_time, agg_trade_id)) group by symbol, day""")
+def qa_max_steps(spark, sf):
+    """AGG16."""
+    return quality.max_steps(adapter.trades(spark, sf))
+
+
+_CLASS = """case when explained and a > b then 'KLINES_HOLE' when (fresh_a - a) / a * 100 > 0.1 then 'AGG_STALE_REVISION'
+  when not whole and upstream then 'AGG_PARTIAL_GAP_UPSTREAM' when not whole then 'AGG_PARTIAL_GAP' else 'UNEXPLAINED' end"""
+
+
+@query(f"""select event_id, {_CLASS} as class from (select event_id, event_id % 5 = 0 as explained, value as a, 50.0 as b, value * (1 + (event_id % 4) * 0.0005) as fresh_a,
+  event_id % 6 <= 2 and user_id % 60 < 30 as whole, event_id % 7 = 0 as upstream from events where value > 0)""")
+def qa_classes(spark, sf):
+    """QA10: the decision tree over made cases."""
+    i, v = F.col("event_id"), F.col("value")
+    cases = adapter.table(spark, sf, "events").where("value > 0").select("event_id", (i % 5 == 0).alias("explained"), v.alias("a"), F.lit(50.0).alias("b"), (v * (1 + (i % 4) * 0.0005)).alias("fresh_a"), (i % 6).alias("max_id_step"), (F.col("user_id") % 60 * 60_000).alias("max_ms_step"), (i % 7 == 0).alias("upstream_gap"))
+    return cases.select("event_id", quality.breach_class().alias("class"))
+
+
+@query("select event_type, count(*) as n, count(distinct user_id) as users, count(distinct floor(value / 10)) as bands from events group by event_type")
+def qa_audit(spark, sf):
+    """QA12: counts, distinct values, distinct bands."""
+    e = adapter.table(spark, sf, "events")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.count_distinct(F.floor(F.col("value") / 10)).alias("bands"))
+
+
+@query("select 'https://archive.invalid/' || o_orderkey as url from (select distinct o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber % 2 = 1))")
+def qa_unlisted(spark, sf):
+    """QA6: expected urls that the ledger lacks."""
+    url = lambda c: F.concat(F.lit("https://archive.invalid/"), F.col(c).cast("string")).alias("url")
+    expected = adapter.table(spark, sf, "orders").select(url("o_orderkey")).distinct()
+    ledger = adapter.table(spark, sf, "lineitem").select(url("l_orderkey"), F.when(F.col("l_linenumber") % 2 == 1, "ok").otherwise("missing_404").alias("status"))
+    return quality.unlisted(expected, ledger)
+
+
+# ---- order-book continuity -----------------------------------------------------------------------------------------
+
+
+def _diffs(spark, sf):
+    """Depth diffs out of events: each spans ids 10 i to 10 i + 9, and every 37th names a wrong predecessor."""
+    i = F.col("event_id")
+    return adapter.table(spark, sf, "events").select(F.lit("SYN").alias("symbol"), i.alias("ordinal"), (i * 10).alias("U"), (i * 10 + 9).alias("u"), F.when(i % 37 == 5, i * 10 - 5).otherwise(i * 10 - 1).alias("pu"))
+
+
+# DuckDB's names are the same in either case, so the columns have longer ones there
+_DIFFS = "(select 'SYN' as symbol, event_id as ordinal, event_id * 10 as first_id, event_id * 10 + 9 as last_id, case when event_id % 37 = 5 then event_id * 10 - 5 else event_id * 10 - 1 end as pu from events)"
+
+
+@query(f"select ordinal, coalesce(pu = lag(last_id) over (order by ordinal), true) as continuous from {_DIFFS}")
+def str_continuity(spark, sf):
+    """STR2: predecessor ids in batch."""
+    d = _diffs(spark, sf).withColumnRenamed("U", "first_id")
+    return depth.continuity(d).select("ordinal", "continuous")
+
+
+@query(f"select symbol, min(ordinal) as sync_ordinal from {_DIFFS} where first_id <= 1235 and last_id >= 1235 group by symbol")
+def str_sync(spark, sf):
+    """STR1: the event that a snapshot continues with."""
+    d = _diffs(spark, sf).withColumnRenamed("U", "first_id")
+    return d.where((F.col("first_id") <= 1235) & (F.col("u") >= 1235)).groupBy("symbol").agg(F.min("ordinal").alias("sync_ordinal"))
+
+
+@query("select event_id, 1000.5 + event_id as px, (event_id % 9)::double as qty from events")
+def str_levels(spark, sf):
+    """STR5: book levels out of JSON."""
+    i = F.col("event_id")
+    text = F.concat(F.lit('[["'), (i + 1000.5).cast("string"), F.lit('","'), (i % 9).cast("string"), F.lit('"]]'))
+    return adapter.table(spark, sf, "events").select("event_id", F.explode(depth.levels(text)).alias("l")).select("event_id", "l.px", "l.qty")
+
+
+# ---- relational basics that the study leans on ---------------------------------------------------------------------
+
+
+@query("""select l_returnflag, l_linestatus, round(sum(l_quantity), 6) as qty, count(*) as n from lineitem where l_shipdate < timestamp '1998-01-01' group by all""")
+def scan_pushdown(spark, sf):
+    """SRC11: a filter and four columns reach the scan."""
+    t = adapter.table(spark, sf, "lineitem").where(F.col("l_shipdate") < F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00")))
+    return _rounded(t.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n")))
