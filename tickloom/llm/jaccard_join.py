@@ -14,9 +14,9 @@ exact guarantee instead: within a band of sizes, shingles are dealt to classes
 by hash; two linked sets differ in so few classes that among the first
 k + 1 filled classes of each there is one that both fill alike. Sets that share
 such a class meet there, and two that meet are neighbours unless the parities
-of their shingles, counted by hash in 1024 places, differ in more places than
-linked sets can differ in shingles. The components of neighbours are the first
-regions: no link leaves one.
+of their shingles, counted by hash in about as many places as there are
+shingles, differ in more places than linked sets can differ in shingles. The
+components of neighbours are the first regions: no link leaves one.
 
 Sets, not documents, are joined: equal sets are one class from the start.
 """
@@ -38,12 +38,13 @@ ROUNDS = 4
 LEAF = 24
 EPS = 0.2
 
+#: Places of parities, at least; a larger set has the next power of two above its size.
 PLACES = 1024
 #: Sets that meet in one class and are told apart by parities; more are neighbours of the first of them without a look.
 MEETING = 20_000
 
 SIG = np.dtype([("sig", "<u8"), ("node", "<i8")])
-PROFILE = np.dtype([("doc", "<i8"), ("n", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("known", "<i8"), ("parity", f"V{PLACES // 8}")])
+PROFILE = np.dtype([("doc", "<i8"), ("n", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("known", "<i8")])
 
 BLOB = "bucket int, payload binary"
 BLOB_ARROW = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
@@ -87,18 +88,37 @@ def set_hashes(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
+def places_of(n: np.ndarray) -> np.ndarray:
+    """Places of the parities of sets of n shingles: a power of two."""
+    return PLACES << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / PLACES))).astype(np.int64)
+
+
 def parities(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each set, the parity of its shingles in each place, as packed bits. Sets that differ in d shingles differ in at most d places."""
-    rows = len(offsets) - 1
-    out = np.zeros((rows, PLACES // 8), np.uint8)
-    place = (codes & _U(PLACES - 1)).astype(np.int64)
-    for lo in range(0, rows, 1024):
-        hi = min(rows, lo + 1024)
-        a, b = offsets[lo], offsets[hi]
-        row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
-        bits = np.bincount(row * PLACES + place[a:b], minlength=(hi - lo) * PLACES) & 1
-        out[lo:hi] = np.packbits(bits.astype(np.uint8).reshape(hi - lo, PLACES), axis=1)
-    return out
+    """The parity of each set's shingles in each of its places, as packed bits, set after set.
+
+    Sets that differ in d shingles differ in at most d places; half as many
+    places are had by adding one half to the other.
+    """
+    places = places_of(np.diff(offsets))
+    at = np.concatenate([[0], np.cumsum(places)])
+    out = []
+    lo = 0
+    while lo < len(places):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 22), "right")) - 1)
+        row = np.repeat(np.arange(lo, hi), np.diff(offsets[lo : hi + 1]))
+        place = (codes[offsets[lo] : offsets[hi]] & (places[row] - 1).astype(_U)).astype(np.int64)
+        bits = np.bincount(at[row] - at[lo] + place, minlength=at[hi] - at[lo]) & 1
+        out.append(np.packbits(bits.astype(np.uint8)))
+        lo = hi
+    return np.concatenate(out) if out else np.zeros(0, np.uint8)
+
+
+def distinct(records: np.ndarray) -> np.ndarray:
+    """Distinct SIG records, by signature and node."""
+    records = records[np.lexsort((records["node"], records["sig"]))]
+    new = np.ones(len(records), bool)
+    new[1:] = (records["sig"][1:] != records["sig"][:-1]) | (records["node"][1:] != records["node"][:-1])
+    return records[new]
 
 
 def signatures(codes: np.ndarray, offsets: np.ndarray, fine: bool = False) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -148,13 +168,13 @@ def _emit(bucket_count: int, fine: bool):
                 row, sig, whole = signatures(codes, at, fine)
                 got = np.empty(hi - lo, PROFILE)
                 got["doc"], got["n"], got["h1"], got["h2"], got["known"] = ids[lo:hi], np.diff(at), h1, h2, known[lo:hi]
-                got["parity"] = parities(codes, at).view(f"V{PLACES // 8}")[:, 0]
-                cols = [pa.array([-1] if whole else [-1, -2], pa.int32()), pa.array([got.tobytes()] if whole else [got.tobytes(), b""], pa.binary())]
+                profile = len(got).to_bytes(8, "little") + got.tobytes() + parities(codes, at).tobytes()
+                cols = [pa.array([-1] if whole else [-1, -2], pa.int32()), pa.array([profile] if whole else [profile, b""], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, schema=BLOB_ARROW)
                 use = known[lo:hi][row]
                 out = np.empty(int(use.sum()), SIG)
                 out["sig"], out["node"] = sig[use], h1[row[use]]
-                out = np.unique(out)  # copies within a slice are sent once
+                out = distinct(out)  # copies within a slice are sent once
                 yield textkit.packed(out, (out["sig"] % _U(bucket_count)).astype(np.int64), bucket_count, BLOB_ARROW)
 
     return run
@@ -181,7 +201,7 @@ class Forest:
 
 def _row(kind, a, b, n=None, h2=None, parity=None) -> pa.RecordBatch:
     zero = np.zeros(len(a), np.int64)
-    bits = pa.nulls(len(a), pa.binary()) if parity is None else pa.array([p.tobytes() for p in parity], pa.binary())
+    bits = pa.nulls(len(a), pa.binary()) if parity is None else pa.array(parity, pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(zero if n is None else n), pa.array(zero if h2 is None else h2), bits], schema=MET_ARROW)
 
 
@@ -198,15 +218,18 @@ def _meet(batches):
         if (bucket == -2).any():
             yield _row(3, np.zeros(1, np.int64), np.zeros(1, np.int64))
         if (bucket == -1).any():
-            p = textkit.unpacked([batch.filter(pa.array(bucket == -1))], PROFILE)
-            for kind, some in ((0, p[p["known"] == 1]), (2, p[p["known"] == 0])):
-                if len(some):
-                    yield _row(kind, *(np.ascontiguousarray(some[c]) for c in ("doc", "h1", "n", "h2")), some["parity"])
+            for blob in textkit.column(batch.filter(pa.array(bucket == -1)), "payload").to_pylist():
+                count = int.from_bytes(blob[:8], "little")
+                p = np.frombuffer(blob, PROFILE, count, 8)
+                at = 8 + p.nbytes + np.concatenate([[0], np.cumsum(places_of(p["n"]) // 8)])
+                for kind, some in ((0, np.flatnonzero(p["known"] == 1)), (2, np.flatnonzero(p["known"] == 0))):
+                    if len(some):
+                        yield _row(kind, *(np.ascontiguousarray(p[c][some]) for c in ("doc", "h1", "n", "h2")), [blob[at[i] : at[i + 1]] for i in some])
         if (bucket >= 0).any():
             held.append(textkit.unpacked([batch.filter(pa.array(bucket >= 0))], SIG))
     if not held:
         return
-    got = np.unique(np.concatenate(held))
+    got = distinct(np.concatenate(held))
     held.clear()
     new = np.ones(len(got), bool)
     new[1:] = got["sig"][1:] != got["sig"][:-1]
@@ -231,17 +254,27 @@ def _meet(batches):
             yield _row(4, node[where], np.repeat(node[first], n))
 
 
-def neighbours(size: np.ndarray, bits: np.ndarray) -> Forest:
-    """Components of the sets that parities and sizes do not rule out as linked; bits: packed parities as 64-bit words, a row per set."""
+def neighbours(size: np.ndarray, parity: list[bytes]) -> Forest:
+    """Components of the sets that parities and sizes do not rule out as linked."""
     forest = Forest(len(size))
     order = np.argsort(size, kind="stable")
-    ordered, rows = size[order], bits[order]
-    for i, x in enumerate(order.tolist()):
-        end = int(np.searchsorted(ordered, ordered[i] * 5 // 4, "right"))
-        if end > i + 1:
-            differ = np.bitwise_count(rows[i + 1 : end] ^ rows[i]).sum(axis=1, dtype=np.int64)
-            for y in order[i + 1 : end][9 * differ <= ordered[i] + ordered[i + 1 : end]].tolist():
-                forest.join(x, y)
+    places = places_of(size)
+    for level in np.unique(places).tolist():
+        # sets of this many places, and those of twice as many, folded
+        some = order[(places[order] == level) | (places[order] == 2 * level)]
+        rows = np.empty((len(some), level // 64), _U)
+        for i, x in enumerate(some.tolist()):
+            bits = np.frombuffer(parity[x], _U)
+            rows[i] = bits if places[x] == level else bits[: level // 64] ^ bits[level // 64 :]
+        ordered = size[some]
+        for i, x in enumerate(some.tolist()):
+            if places[x] != level:
+                break
+            end = int(np.searchsorted(ordered, ordered[i] * 5 // 4, "right"))
+            if end > i + 1:
+                differ = np.bitwise_count(rows[i + 1 : end] ^ rows[i]).sum(axis=1, dtype=np.int64)
+                for y in some[i + 1 : end][9 * differ <= ordered[i] + ordered[i + 1 : end]].tolist():
+                    forest.join(x, y)
     return forest
 
 
@@ -254,18 +287,12 @@ def _look(batches):
     if not table.num_rows:
         return
     meeting, node, size = (table[c].to_numpy() for c in ("meeting", "node", "n"))
-    body, _ = textkit.raw_text(table["parity"].chunk(0) if table["parity"].num_chunks else pa.array([], pa.binary()))
-    bits = body.reshape(len(node), PLACES // 8).copy().view(_U)
+    parity = table["parity"]
     order = np.argsort(meeting, kind="stable")
     cut = np.flatnonzero(np.diff(meeting[order])) + 1
     edges = []
     for group in np.split(order, cut):
-        if len(group) == 2:
-            x, y = group
-            if 9 * int(np.bitwise_count(bits[x] ^ bits[y]).sum()) <= size[x] + size[y]:
-                edges.append((node[y], node[x]))
-            continue
-        up = neighbours(size[group], bits[group])
+        up = neighbours(size[group], [parity[int(i)].as_py() for i in group])
         own = node[group]
         edges.extend((own[i], own[r]) for i in range(len(group)) if (r := up.find(i)) != i)
     edges = np.array(edges, np.int64).reshape(-1, 2)
