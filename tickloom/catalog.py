@@ -85,14 +85,14 @@ def _stamps(spark, sf):
 
 
 @query(f"""select event_id, case when len(cast(stamp as varchar)) <= 10 then 's' when len(cast(stamp as varchar)) <= 13 then 'ms' when len(cast(stamp as varchar)) <= 16 then 'us' else 'ns' end as unit
-  from (select event_id, {_STAMP} as stamp from (select event_id, epoch_ms(ts) as ms from events))""")
+  from (select event_id, {_STAMP} as stamp from (select event_id, (epoch_us(ts) // 1000) as ms from events))""")
 def src_time_unit(spark, sf):
     """SRC2: unit of a stamp by its digits."""
     return _stamps(spark, sf).select("event_id", C.time_unit(F.col("stamp")).alias("unit"))
 
 
 @query(f"""select event_id, (case event_id % 4 when 0 then stamp * 1000 when 1 then stamp when 2 then stamp // 1000 else stamp // 1000000 end)::bigint as ms
-  from (select event_id, {_STAMP} as stamp from (select event_id, epoch_ms(ts) as ms from events))""")
+  from (select event_id, {_STAMP} as stamp from (select event_id, (epoch_us(ts) // 1000) as ms from events))""")
 def src_normalised_ms(spark, sf):
     """SRC3: one unit for each file, from its first stamp."""
     t = _stamps(spark, sf)
@@ -464,8 +464,8 @@ def _funding(spark):
 
 
 @query(f"""select p.id, round(gross - {S.round_trip}, 6) as after_cost, round(-side * coalesce(paid, 0), 6) + 0.0 as funding, round(gross - {S.round_trip} - side * coalesce(paid, 0), 6) as net from (
-  select event_id as id, epoch_ms(ts) as entry_ms, epoch_ms(ts) + (user_id % 90) * 3600000 as exit_ms, case when user_id % 2 = 1 then 1 else -1 end as side, value / 1000 as gross from events) p
-  left join (select e.event_id as id, sum(f.rate) as paid from events e join {_FUNDING} f on f.calc_time > epoch_ms(e.ts) and f.calc_time <= epoch_ms(e.ts) + (e.user_id % 90) * 3600000 group by e.event_id) s on p.id = s.id""")
+  select event_id as id, (epoch_us(ts) // 1000) as entry_ms, (epoch_us(ts) // 1000) + (user_id % 90) * 3600000 as exit_ms, case when user_id % 2 = 1 then 1 else -1 end as side, value / 1000 as gross from events) p
+  left join (select e.event_id as id, sum(f.rate) as paid from events e join {_FUNDING} f on f.calc_time > (epoch_us(e.ts) // 1000) and f.calc_time <= (epoch_us(e.ts) // 1000) + (e.user_id % 90) * 3600000 group by e.event_id) s on p.id = s.id""")
 def cst_net_returns(spark, sf):
     """CST1-4, JN12: cost drag and funding over (entry, exit]."""
     got = costs.net_returns(_positions(spark, sf), _funding(spark), S.round_trip)

@@ -39,7 +39,7 @@ def from_ms(ms: Column) -> Column:
 
 
 def day_of(ms: Column) -> Column:
-    return F.floor(ms / F.lit(DAY_MS)).cast("long")
+    return floor_div(ms, DAY_MS)
 
 
 def half_year(ts: Column) -> Column:
@@ -62,7 +62,12 @@ def time_unit(stamp: Column) -> Column:
 
 
 def to_ms(stamp: Column, unit: Column) -> Column:
-    return F.when(unit == "s", stamp * 1000).when(unit == "ms", stamp).when(unit == "us", F.floor(stamp / 1000)).otherwise(F.floor(stamp / 1_000_000)).cast("long")
+    return F.when(unit == "s", stamp * 1000).when(unit == "ms", stamp).when(unit == "us", floor_div(stamp, 1000)).otherwise(floor_div(stamp, 1_000_000)).cast("long")
+
+
+def floor_div(a: Column, b: int) -> Column:
+    """Whole floor division of longs, without a detour over doubles."""
+    return F.call_function("div", a - F.pmod(a, F.lit(b).cast("long")), F.lit(b).cast("long"))
 
 
 def segment(ms: Column, study: Study) -> Column:

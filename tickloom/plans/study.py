@@ -23,14 +23,15 @@ class Stages:
 
 
 def prepared(trades: DataFrame, study: Study, chunk: int = series.CHUNK) -> tuple[DataFrame, DataFrame]:
-    """(bars, buckets) of the study."""
-    return B.finalise(B.partial_bars(trades, study), study, chunk), B.index_buckets(B.partial_buckets(trades, study), study)
+    """(bars, buckets) of the study, kept for the several detectors that read them; they are far smaller than the trades."""
+    return B.finalise(B.partial_bars(trades, study), study, chunk).persist(), B.index_buckets(B.partial_buckets(trades, study), study).persist()
 
 
 def staged_events(bars: DataFrame, buckets: DataFrame, windows: DataFrame, study: Study, chunk: int = series.CHUNK) -> Stages:
-    raw = detectors.detect_all(bars, buckets, study.delta, study.detect, chunk)
+    # events are few; the steps below read them more than once
+    raw = detectors.detect_all(bars, buckets, study.delta, study.detect, chunk).persist()
     clear = hygiene.outside_quarantine(raw, windows, study.bar_ms)
-    warm = hygiene.warm(clear, study.warmup)
+    warm = hygiene.warm(clear, study.warmup).persist()
     return Stages(raw, clear, warm, hygiene.deduplicated(warm, study.gap, chunk))
 
 

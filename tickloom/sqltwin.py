@@ -7,7 +7,7 @@ from tickloom.config import HOURLY as S
 D = S.detect
 _T = [
     ("trades", """select 'SYN' as symbol, event_id as agg_trade_id, 1000.0 + cast(json_extract(props, '$.k') as double) as price, value as quantity,
-      epoch_ms(ts) as transact_time, (user_id % 2 = 1) as is_buyer_maker from events"""),
+      (epoch_us(ts) // 1000) as transact_time, (user_id % 2 = 1) as is_buyer_maker from events"""),
     ("keyed", f"""select *, transact_time - transact_time % {S.bar_ms} as bar_ts_ms, cast(floor(price / {S.delta}) as bigint) as level,
       case when not is_buyer_maker then quantity else 0.0 end as bought, case when is_buyer_maker then quantity else 0.0 end as sold,
       transact_time // 86400000 as day from trades"""),
@@ -21,7 +21,7 @@ _T = [
     ("bars", """select symbol, bar_index, make_timestamp(bar_ts_ms * 1000) as bar_ts, bar_ts_ms, coalesce(open, close) as open, coalesce(high, close) as high,
       coalesce(low, close) as low, close, coalesce(volume, 0.0) as volume, coalesce(delta, 0.0) as delta, coalesce(trade_count, 0) as trade_count,
       sum(coalesce(delta, 0.0)) over (order by bar_index rows between unbounded preceding and current row) as cumulative_delta from filled"""),
-    ("buckets", f"""select symbol, (bar_ts_ms - {S.start_ms}) // {S.bar_ms} as bar_index, bar_ts_ms, level, level * {S.delta} as bucket_px,
+    ("buckets", f"""select symbol, (bar_ts_ms - {S.start_ms}) // {S.bar_ms} as bar_index, bar_ts_ms, level, level * {S.delta}::double as bucket_px,
       sum(bought) as buy_vol, sum(sold) as sell_vol, count(*) as trade_count from keyed group by symbol, bar_ts_ms, level"""),
     ("extremes", f"""select *, coalesce(close = case when count(*) over w = {D.high_window} then max(close) over w end, false) as is_high,
       coalesce(close = case when count(*) over w = {D.high_window} then min(close) over w end, false) as is_low from bars
@@ -102,6 +102,8 @@ def twin(select: str) -> str:
             if n not in needed and _mentions(text, n):
                 needed.add(n)
                 todo.append(CTES[n])
+    if not needed:
+        return select
     return "with recursive " + ",\n".join(f"{n} as ({CTES[n]})" for n in names if n in needed) + "\n" + select
 
 
