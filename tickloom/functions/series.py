@@ -32,6 +32,16 @@ def with_halo(df: DataFrame, width: int, size: int = CHUNK) -> DataFrame:
     return wide.where(~F.col("halo") | (F.col("bar_index") >= F.col("chunk") * size - width))
 
 
+def framed(df: DataFrame, width: int, size: int) -> DataFrame:
+    """df with a halo, unless it has one already: steps over one frame share one exchange and one sort."""
+    return df if "halo" in df.columns else with_halo(df, width, size)
+
+
+def closed(wide: DataFrame, df: DataFrame) -> DataFrame:
+    """wide as df came: without halo rows, unless df had them."""
+    return wide if "halo" in df.columns else no_halo(wide)
+
+
 def no_halo(df: DataFrame) -> DataFrame:
     return df.where(~F.col("halo")).drop("chunk", "halo")
 
@@ -50,40 +60,42 @@ def running_sum(df: DataFrame, value: str, out: str, size: int = CHUNK) -> DataF
     return parts.withColumn("_local", local).join(carry, ["symbol", "chunk"], "left").withColumn(out, F.col("_local") + F.coalesce("_carry", F.lit(0.0))).drop("_local", "_carry", "chunk")
 
 
-def last_before(df: DataFrame, flag: Column, value: str, out: str, size: int = CHUNK, inclusive: bool = False) -> DataFrame:
-    """The value (even if null) at the last flagged bar strictly before each bar, or up to it."""
-    parts = chunked(df, size).withColumn("_mark", F.when(flag, F.struct("bar_index", F.col(value).alias("value"))))
-    carry = _carry(parts, {"_carry": F.max("_mark")}, {"_carry": "max"})
-    local = F.max("_mark").over(order().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    got = parts.withColumn("_local", local).join(carry, ["symbol", "chunk"], "left").withColumn("_at", F.coalesce("_local", "_carry"))
-    return got.withColumn(out, F.col("_at.value")).withColumn(out + "_index", F.col("_at.bar_index")).drop("_mark", "_local", "_carry", "_at", "chunk")
+def last_before(df: DataFrame, marks: dict[str, tuple[Column, str]], size: int = CHUNK, inclusive: bool = False) -> DataFrame:
+    """For each mark (flag, value) a column with the value, even if null, at the last flagged bar strictly before each bar, or up to it; and `<mark>_index`, that bar."""
+    parts = chunked(df, size).withColumns({f"_m_{n}": F.when(flag, F.struct("bar_index", F.col(value).alias("value"))) for n, (flag, value) in marks.items()})
+    carry = _carry(parts, {f"_c_{n}": F.max(f"_m_{n}") for n in marks}, {f"_c_{n}": "max" for n in marks})
+    w = order().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    got = parts.withColumns({f"_l_{n}": F.max(f"_m_{n}").over(w) for n in marks}).join(carry, ["symbol", "chunk"], "left")
+    got = got.withColumns({f"_a_{n}": F.coalesce(f"_l_{n}", f"_c_{n}") for n in marks})
+    out = got.withColumns({n: F.col(f"_a_{n}.value") for n in marks} | {f"{n}_index": F.col(f"_a_{n}.bar_index") for n in marks})
+    return out.drop("chunk", *[f"_{k}_{n}" for k in "mcla" for n in marks])
 
 
 def forward_filled(df: DataFrame, value: str, out: str, size: int = CHUNK) -> DataFrame:
     """The last value that is not null up to each bar; null before the first."""
-    return last_before(df, F.col(value).isNotNull(), value, out, size, inclusive=True).drop(out + "_index")
+    return last_before(df, {out: (F.col(value).isNotNull(), value)}, size, inclusive=True).drop(out + "_index")
 
 
 def rolling_sum(df: DataFrame, value: str, width: int, out: str, size: int = CHUNK) -> DataFrame:
     """Sum of the last `width` bars, this one included; null until the frame is full of values. By prefix sums, so the cost does not grow with the width."""
-    wide = with_halo(df, width, size)
+    wide = framed(df, width, size)
     w = order().rowsBetween(Window.unboundedPreceding, 0)
     wide = wide.withColumn("_s", F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(w)).withColumn("_n", F.count(value).over(w))
     total, count = (F.col(c) - F.coalesce(F.lag(c, width).over(order()), F.lit(0)) for c in ("_s", "_n"))
-    return no_halo(wide.withColumn(out, F.when(count == width, total))).drop("_s", "_n")
+    return closed(wide.withColumn(out, F.when(count == width, total)), df).drop("_s", "_n")
 
 
 def rolling_extreme(df: DataFrame, value: str, width: int, high: str, low: str, size: int = CHUNK) -> DataFrame:
     """Greatest and least of the last `width` bars, this one included; null until full."""
-    wide = with_halo(df, width, size)
+    wide = framed(df, width, size)
     w = order().rowsBetween(1 - width, 0)
     full = F.count(value).over(w) == width
-    return no_halo(wide.withColumns({high: F.when(full, F.max(value).over(w)), low: F.when(full, F.min(value).over(w))}))
+    return closed(wide.withColumns({high: F.when(full, F.max(value).over(w)), low: F.when(full, F.min(value).over(w))}), df)
 
 
 def trailing_std(df: DataFrame, value: str, width: int, out: str, size: int = CHUNK) -> DataFrame:
     """Sample deviation of the `width` bars before each; null until full. Prefix sums of values centred on the chunk's mean."""
-    wide = with_halo(df, width + 1, size)
+    wide = framed(df, width + 1, size)
     x = F.col(value) - F.avg(value).over(Window.partitionBy("symbol", "chunk"))
     wide = wide.withColumn("_x", x)
     w = order().rowsBetween(Window.unboundedPreceding, -1)
@@ -92,12 +104,12 @@ def trailing_std(df: DataFrame, value: str, width: int, out: str, size: int = CH
     wide = wide.withColumns({"_ds": back("_s"), "_dq": back("_q"), "_dn": back("_n")})
     var = (F.col("_dq") - F.col("_ds") * F.col("_ds") / width) / (width - 1)
     got = wide.withColumn(out, F.when(F.col("_dn") == width, F.sqrt(F.greatest(var, F.lit(0.0)))))
-    return no_halo(got).drop("_x", "_s", "_q", "_n", "_ds", "_dq", "_dn")
+    return closed(got, df).drop("_x", "_s", "_q", "_n", "_ds", "_dq", "_dn")
 
 
 def trailing_quantile(df: DataFrame, value: str, width: int, index: int, out: str, size: int = CHUNK) -> DataFrame:
     """The value of the 0-based rank `index` among the `width` bars before each; null until full."""
-    wide = with_halo(df, width, size)
+    wide = framed(df, width, size)
     w = order().rowsBetween(-width, -1)
     ranked = F.get(F.sort_array(F.collect_list(value).over(w)), F.lit(index))
-    return no_halo(wide.withColumn(out, F.when(F.count(value).over(w) == width, ranked)))
+    return closed(wide.withColumn(out, F.when(F.count(value).over(w) == width, ranked)), df)

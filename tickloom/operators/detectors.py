@@ -26,11 +26,11 @@ def extremes(bars: DataFrame, window: int, chunk: int = series.CHUNK) -> DataFra
 
 def divergence_frame(bars: DataFrame, p: Detect, chunk: int = series.CHUNK) -> DataFrame:
     """bars with cum (rolling delta), sigma (its deviation over earlier bars), and cum at the last high and low before each bar."""
-    got = series.rolling_sum(bars, "delta", p.cum_window, "cum", chunk)
+    wide = series.with_halo(bars, p.cum_window + p.sigma_window + p.high_window + 1, chunk)
+    got = series.rolling_sum(wide, "delta", p.cum_window, "cum", chunk)
     got = series.trailing_std(got, "cum", p.sigma_window, "sigma", chunk)
-    got = extremes(got, p.high_window, chunk)
-    got = series.last_before(got, F.col("is_high"), "cum", "cum_high", chunk)
-    return series.last_before(got, F.col("is_low"), "cum", "cum_low", chunk)
+    got = series.no_halo(extremes(got, p.high_window, chunk))
+    return series.last_before(got, {"cum_high": (F.col("is_high"), "cum"), "cum_low": (F.col("is_low"), "cum")}, chunk)
 
 
 def divergence(bars: DataFrame, p: Detect, chunk: int = series.CHUNK) -> DataFrame:
@@ -91,8 +91,9 @@ def imbalance(bars: DataFrame, buckets: DataFrame, delta: float, p: Detect, chun
 
 def exhaustion(bars: DataFrame, buckets: DataFrame, p: Detect, chunk: int = series.CHUNK) -> DataFrame:
     """H6: climax volume at a price extreme whose outermost two buckets lean the other way."""
-    got = series.trailing_quantile(bars, "volume", p.climax_window, C.nearest_index(p.climax_window, p.climax_quantile), "climax", chunk)
-    got = extremes(got, p.high_window, chunk)
+    wide = series.with_halo(bars, max(p.climax_window, p.high_window) + 1, chunk)
+    got = series.trailing_quantile(wide, "volume", p.climax_window, C.nearest_index(p.climax_window, p.climax_quantile), "climax", chunk)
+    got = series.no_halo(extremes(got, p.high_window, chunk))
     some = got.where((F.col("climax") > 0) & (F.col("volume") >= F.col("climax")) & (F.col("is_high") | F.col("is_low"))).select("symbol", "bar_index", "bar_ts", "volume", "climax", "is_high", "is_low")
     near = buckets.join(some, ["symbol", "bar_index"])
     by = lambda c: Window.partitionBy("symbol", "bar_index").orderBy(c)

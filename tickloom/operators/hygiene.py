@@ -26,7 +26,7 @@ def deduplicated(events: DataFrame, gap: int, chunk: int = series.CHUNK) -> Data
     wide = series.with_halo(keyed, gap + 1, chunk)
     before = F.lag("bar_index").over(series.order())
     marked = series.no_halo(wide.withColumn("_start", before.isNull() | (F.col("bar_index") - before > gap)))
-    marked = series.last_before(marked, F.col("_start"), "bar_index", "_island", chunk, inclusive=True)
+    marked = series.last_before(marked, {"_island": (F.col("_start"), "bar_index")}, chunk, inclusive=True)
     islands = marked.groupBy("symbol", "_island").agg(F.array_sort(F.collect_list("bar_index")).alias("_bars"))
     far = lambda kept, x: F.coalesce(x - F.element_at(kept, -1) > gap, F.lit(True))
     fold = F.aggregate("_bars", F.array().cast("array<long>"), lambda kept, x: F.when((F.size(kept) == 0) | far(F.when(F.size(kept) > 0, kept), x), F.concat(kept, F.array(x))).otherwise(kept))

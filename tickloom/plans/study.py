@@ -46,7 +46,7 @@ def funnel(s: Stages) -> DataFrame:
 
 def half_year_table(events: DataFrame, periods: list[str]) -> DataFrame:
     """Events by signal and half-year, a column for each period in the given order, absent ones 0."""
-    return events.withColumn("period", C.half_year(F.col("bar_ts"))).groupBy("signal").pivot("period", periods).agg(F.count("*")).na.fill(0)
+    return events.withColumn("period", C.half_year(F.col("bar_ts"))).groupBy("signal").pivot("period", periods).agg(F.count("signal")).na.fill(0)
 
 
 def in_sample_share(events: DataFrame, study: Study) -> DataFrame:
