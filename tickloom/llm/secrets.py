@@ -209,7 +209,7 @@ def scan_slice(model: crf.Chain, texts: pa.Array, body: np.ndarray, offsets: np.
     starts, ends, first = tokens(body, offsets)
     if not len(starts):
         return base, {}
-    e = np.zeros((len(starts), 3))
+    e = np.zeros((len(starts), 3), np.float32)
     for c in features(body, offsets, starts, ends, first):
         e += model.weights[c]
     label = crf.decode(e, first, model, OUTSIDE)
