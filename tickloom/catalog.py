@@ -449,7 +449,7 @@ def flt_best_cell(spark, sf):
 
 # ---- costs ---------------------------------------------------------------------------------------------------------
 
-_FUNDING = f"(select {S.start_ms} + i * 28800000 + (i % 3) * 17 as calc_time, ((i * 37) % 11 - 5) * 0.0001 as rate from range(90) t(i))"
+_FUNDING = f"(select {S.start_ms} + i * 28800000 + (i % 3) * 17 as calc_time, ((i * 37) % 11 - 5) * 0.0001::double as rate from range(90) t(i))"
 
 
 def _positions(spark, sf):
@@ -463,7 +463,7 @@ def _funding(spark):
     return spark.range(90).select((F.lit(S.start_ms) + i * 28_800_000 + (i % 3) * 17).alias("calc_time"), (((i * 37) % 11 - 5) * 0.0001).alias("last_funding_rate"))
 
 
-@query(f"""select p.id, round(gross - {S.round_trip}, 6) as after_cost, round(-side * coalesce(paid, 0), 6) + 0.0 as funding, round(gross - {S.round_trip} - side * coalesce(paid, 0), 6) as net from (
+@query(f"""select p.id, round(gross - {S.round_trip}, 6) as after_cost, round((-side * coalesce(paid, 0))::double, 6) + 0.0::double as funding, round(gross - {S.round_trip} - side * coalesce(paid, 0), 6) as net from (
   select event_id as id, (epoch_us(ts) // 1000) as entry_ms, (epoch_us(ts) // 1000) + (user_id % 90) * 3600000 as exit_ms, case when user_id % 2 = 1 then 1 else -1 end as side, value / 1000 as gross from events) p
   left join (select e.event_id as id, sum(f.rate) as paid from events e join {_FUNDING} f on f.calc_time > (epoch_us(e.ts) // 1000) and f.calc_time <= (epoch_us(e.ts) // 1000) + (e.user_id % 90) * 3600000 group by e.event_id) s on p.id = s.id""")
 def cst_net_returns(spark, sf):
@@ -612,28 +612,25 @@ def qa_unlisted(spark, sf):
 def _diffs(spark, sf):
     """Depth diffs out of events: each spans ids 10 i to 10 i + 9, and every 37th names a wrong predecessor."""
     i = F.col("event_id")
-    return adapter.table(spark, sf, "events").select(F.lit("SYN").alias("symbol"), i.alias("ordinal"), (i * 10).alias("U"), (i * 10 + 9).alias("u"), F.when(i % 37 == 5, i * 10 - 5).otherwise(i * 10 - 1).alias("pu"))
+    return adapter.table(spark, sf, "events").select(F.lit("SYN").alias("symbol"), i.alias("ordinal"), (i * 10).alias("first_id"), (i * 10 + 9).alias("last_id"), F.when(i % 37 == 5, i * 10 - 5).otherwise(i * 10 - 1).alias("pu"))
 
 
-# DuckDB's names are the same in either case, so the columns have longer ones there
 _DIFFS = "(select 'SYN' as symbol, event_id as ordinal, event_id * 10 as first_id, event_id * 10 + 9 as last_id, case when event_id % 37 = 5 then event_id * 10 - 5 else event_id * 10 - 1 end as pu from events)"
 
 
 @query(f"select ordinal, coalesce(pu = lag(last_id) over (order by ordinal), true) as continuous from {_DIFFS}")
 def str_continuity(spark, sf):
     """STR2: predecessor ids in batch."""
-    d = _diffs(spark, sf).withColumnRenamed("U", "first_id")
-    return depth.continuity(d).select("ordinal", "continuous")
+    return depth.continuity(_diffs(spark, sf)).select("ordinal", "continuous")
 
 
 @query(f"select symbol, min(ordinal) as sync_ordinal from {_DIFFS} where first_id <= 1235 and last_id >= 1235 group by symbol")
 def str_sync(spark, sf):
     """STR1: the event that a snapshot continues with."""
-    d = _diffs(spark, sf).withColumnRenamed("U", "first_id")
-    return d.where((F.col("first_id") <= 1235) & (F.col("u") >= 1235)).groupBy("symbol").agg(F.min("ordinal").alias("sync_ordinal"))
+    return depth.sync_point(_diffs(spark, sf), 1234)
 
 
-@query("select event_id, 1000.5 + event_id as px, (event_id % 9)::double as qty from events")
+@query("select event_id, 1000.5::double + event_id as px, (event_id % 9)::double as qty from events")
 def str_levels(spark, sf):
     """STR5: book levels out of JSON."""
     i = F.col("event_id")

@@ -15,18 +15,18 @@ def levels(text):
 
 
 def sync_point(events: DataFrame, last_id: int) -> DataFrame:
-    """The ordinal of the first event with U <= last_id + 1 <= u, per symbol; no row if there is none."""
-    return events.where((F.col("U") <= last_id + 1) & (F.col("u") >= last_id + 1)).groupBy("symbol").agg(F.min("ordinal").alias("sync_ordinal"))
+    """The ordinal of the first event with first_id <= last_id + 1 <= its last_id, per symbol; no row if there is none."""
+    return events.where((F.col("first_id") <= last_id + 1) & (F.col("last_id") >= last_id + 1)).groupBy("symbol").agg(F.min("ordinal").alias("sync_ordinal"))
 
 
 def continuity(events: DataFrame) -> DataFrame:
-    """events with continuous: pu equals the u before; the first is continuous."""
+    """events with continuous: pu, the predecessor that it names, is the last_id before; the first is continuous."""
     w = Window.partitionBy("symbol").orderBy("ordinal")
-    return events.withColumn("continuous", F.coalesce(F.col("pu") == F.lag("u").over(w), F.lit(True)))
+    return events.withColumn("continuous", F.coalesce(F.col("pu") == F.lag("last_id").over(w), F.lit(True)))
 
 
 def checked_stream(events: DataFrame, snapshot_id: int) -> DataFrame:
-    """Running continuity of a stream (symbol, ordinal, U, u, pu): stale events (u <= snapshot) are dropped, recording starts at the sync point, gaps are counted and never repaired. One row per symbol and batch."""
+    """Running continuity of a stream (symbol, ordinal, first_id, last_id, pu): stale events (last_id <= snapshot) are dropped, recording starts at the sync point, gaps are counted and never repaired. One row per symbol and batch."""
 
     def step(key, frames, state):
         import pandas as pd
@@ -34,11 +34,11 @@ def checked_stream(events: DataFrame, snapshot_id: int) -> DataFrame:
         n, stale, gaps, last = state.get if state.exists else (0, 0, 0, -1)
         for pdf in frames:
             for r in pdf.sort_values("ordinal").itertuples():
-                if r.u <= snapshot_id or (last < 0 and not r.U <= snapshot_id + 1 <= r.u):
+                if r.last_id <= snapshot_id or (last < 0 and not r.first_id <= snapshot_id + 1 <= r.last_id):
                     stale += 1
                     continue
                 gaps += last >= 0 and r.pu != last
-                n, last = n + 1, int(r.u)
+                n, last = n + 1, int(r.last_id)
         state.update((n, stale, int(gaps), last))
         yield pd.DataFrame({"symbol": [key[0]], "n_events": [n], "n_stale": [stale], "n_gaps": [int(gaps)], "last_u": [last]})
 
