@@ -103,7 +103,8 @@ def test_bootstrap_finds_an_effect_and_weighs_days_by_events(spark):
     got = {r.signal: r for r in stats.bootstrap_means(long, 2000).collect()}
     assert got["H1"].p_value < 0.01 < got["H1"].ci_high and got["H2"].p_value > 0.05
     again = {r.signal: r for r in stats.bootstrap_means(long.repartition(3), 2000).collect()}
-    assert again == got
+    rounded = lambda rows: {k: [round(x, 9) for x in r[2:]] for k, r in rows.items()}
+    assert rounded(again) == rounded(got)
     few = spark.createDataFrame([("H1", 1, 0, 10.0)] * 100 + [("H1", 1, 1, -10.0)], "signal string, h int, day long, r double")
     assert abs(stats.cell_means(few).first().mean - 990 / 101) < 1e-9
 
@@ -177,7 +178,7 @@ def test_depth_stream_counts_gaps(spark, tmp_path):
     rows = [("SYN", i, f, l, p) for i, (f, l, p) in enumerate([(90, 99, 89), (100, 105, 99), (106, 110, 105), (111, 120, 110), (130, 140, 129), (141, 150, 140)])]
     schema = "symbol string, ordinal long, first_id long, last_id long, pu long"
     batch = spark.createDataFrame(rows, schema)
-    assert depth.sync_point(batch, 108).first().sync_ordinal == 3 or depth.sync_point(batch, 108).first().sync_ordinal == 2
+    assert depth.sync_point(batch, 108).first().sync_ordinal == 2
     assert [r.continuous for r in depth.continuity(batch).orderBy("ordinal").collect()] == [True, True, True, True, False, True]
     batch.coalesce(1).write.parquet(str(tmp_path / "in"))
     q = depth.checked_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 104).writeStream.format("memory").queryName("checked").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()

@@ -74,7 +74,9 @@ def spearman(long: DataFrame) -> DataFrame:
     """(signal, h, ic): Pearson correlation of average ranks; null with fewer than two rows or a constant side."""
     ranked = average_ranks(long)
     flat = (F.count("*") < 2) | (F.min("rx") == F.max("rx")) | (F.min("ry") == F.max("ry"))
-    return ranked.groupBy("signal", "h").agg(F.when(~flat, F.corr("rx", "ry")).alias("ic"))
+    # corr() divides by zero on a constant side even where its result is not taken
+    ratio = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    return ranked.groupBy("signal", "h").agg(F.when(~flat, ratio).alias("ic"))
 
 
 def _rank(x: np.ndarray) -> np.ndarray:
