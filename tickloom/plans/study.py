@@ -32,7 +32,7 @@ def staged_events(bars: DataFrame, buckets: DataFrame, windows: DataFrame, study
     raw = detectors.detect_all(bars, buckets, study.delta, study.detect, chunk).persist()
     clear = hygiene.outside_quarantine(raw, windows, study.bar_ms)
     warm = hygiene.warm(clear, study.warmup).persist()
-    return Stages(raw, clear, warm, hygiene.deduplicated(warm, study.gap, chunk))
+    return Stages(raw, clear, warm, hygiene.deduplicated(warm, study.gap, chunk).persist())
 
 
 def funnel(s: Stages) -> DataFrame:
@@ -57,7 +57,7 @@ def in_sample_share(events: DataFrame, study: Study) -> DataFrame:
 
 
 def returns_of(s: Stages, bars: DataFrame, windows: DataFrame, study: Study, chunk: int = series.CHUNK) -> DataFrame:
-    got = returns.add_forward_returns(s.kept, bars, study, chunk)
+    got = returns.add_forward_returns(s.kept, bars, study, chunk).persist()
     return hygiene.null_quarantined_returns(got, windows, study.horizons, study.start_ms, study.bar_ms)
 
 
