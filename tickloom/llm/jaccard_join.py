@@ -156,8 +156,17 @@ def signatures(codes: np.ndarray, offsets: np.ndarray, fine: bool = False) -> tu
     return row[slot[keep]], sig, whole
 
 
+#: Records of a task that are held before they are sent, so that blobs are few.
+HELD = 500_000
+
+
 def _emit(bucket_count: int, fine: bool):
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        out = distinct(np.concatenate(held))  # copies within a task are sent once
+        return textkit.packed(out, (out["sig"] % _U(bucket_count)).astype(np.int64), bucket_count, BLOB_ARROW)
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             ids = textkit.column(batch, "doc_id")
             known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -174,8 +183,13 @@ def _emit(bucket_count: int, fine: bool):
                 use = known[lo:hi][row]
                 out = np.empty(int(use.sum()), SIG)
                 out["sig"], out["node"] = sig[use], h1[row[use]]
-                out = distinct(out)  # copies within a slice are sent once
-                yield textkit.packed(out, (out["sig"] % _U(bucket_count)).astype(np.int64), bucket_count, BLOB_ARROW)
+                held.append(out)
+                size += len(out)
+                if size >= HELD:
+                    yield sent(held)
+                    held, size = [], 0
+        if size:
+            yield sent(held)
 
     return run
 
