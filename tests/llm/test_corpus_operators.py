@@ -193,7 +193,9 @@ def test_region_splits_exactly():
     assert jaccard_join.Region(sets).roots().tolist() == [forest.find(i) for i in range(len(sets))]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, components.LOCAL])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL", local)
     edges = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 150: 100, 200: 100}
