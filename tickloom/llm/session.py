@@ -62,10 +62,11 @@ def ship(spark: SparkSession) -> None:
     known = [Path(p).resolve() for p in (os.environ.get("PYTHONPATH", "").split(os.pathsep) + [os.getcwd()]) if p]
     if root in known or getattr(ship, "sent", None) == sc.applicationId:
         return
-    with tempfile.TemporaryDirectory() as at:
-        out = Path(at, "tickloom.zip")
-        with zipfile.ZipFile(out, "w") as z:
-            for p in sorted((root / "tickloom").rglob("*.py")):
-                z.write(p, p.relative_to(root))
-        sc.addPyFile(str(out))
+    at = tempfile.mkdtemp(prefix="tickloom-")  # served to executors as long as the driver lives
+    atexit.register(shutil.rmtree, at, True)
+    out = Path(at, "tickloom.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted((root / "tickloom").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(out))
     ship.sent = sc.applicationId
