@@ -36,7 +36,10 @@ _TAG = re.compile(
 )
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
-_SKIP = {"head", "svg", "math", "object"}
+_SKIP = {"svg", "math", "object"}
+_HEAD = set("base basefont bgsound head html link meta noscript script style template title".split())  # what can stand in a head
+_HEAD_ENDS = {"head", "body", "html", "br"}
+_BARE_VALUE = re.compile(r"=\s*[^\s\"']+\Z")
 _GAPS = {"br", "img", "input"}
 _PARAGRAPH = {"p"}
 
@@ -56,12 +59,24 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+def _closed(attrs: str) -> bool:
+    """Whether a tag closes itself; the slash of an unquoted value does not."""
+    return attrs.endswith("/") and not _BARE_VALUE.search(attrs)
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order; character references decoded, white space made one space."""
+    """Leaf blocks in page order; character references decoded, white space made one space.
+
+    A head ends at its end tag or at the first text or element that cannot stand
+    in it. An svg, math or object without an end tag hides nothing.
+    """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[tuple[str, bool]] = []
-    link = skip = 0
+    hidden: list[tuple[str, int]] = []  # open svg, math and object, with where their content begins
+    bare: set[int] = set()  # begins of those never closed
+    head = False
+    link = 0
 
     def flush() -> None:
         text = "".join([p for p, _ in parts])
@@ -74,9 +89,16 @@ def blocks(page: str) -> list[Block]:
 
     at = 0
     search = _TAG.search
-    while (m := search(page, at)) is not None:
+    while (m := search(page, at)) is not None or hidden:
+        if hidden and (m is None or (m[2] or m[5] or "").lower() == "body" and not (m[1] or m[4])):
+            # these stay open to the body or the end of the page: read on behind the outermost
+            bare.update(begin for _, begin in hidden)
+            at = hidden[0][1]
+            hidden.clear()
+            continue
         start = m.start()
-        if start > at and not skip:
+        if start > at and not hidden and not (head and page[at:start].isspace()):
+            head = False
             parts.append((page[at:start], link > 0))
         at = m.end()
         end, tag, attrs = m.group(1, 2, 3)
@@ -85,24 +107,43 @@ def blocks(page: str) -> list[Block]:
             if tag is None:
                 continue
         tag = tag.lower()
+        if head and (tag in _HEAD_ENDS if end else tag not in _HEAD):
+            head = False
         if tag in INLINE and tag not in _RAW:
+            if hidden:
+                continue
             if tag == "a":
                 link = 0 if end else 1
-            elif tag in _GAPS and not skip:
+            elif tag in _GAPS:
                 parts.append((" ", False))
             continue
         if tag in _RAW and not end:
+            closed = _closed(attrs)
+            if closed and any(t != "object" for t, _ in hidden):
+                continue
             shut = _RAW[tag].search(page, at)
-            at = shut.end() if shut else len(page)
+            if shut or not closed:
+                at = shut.end() if shut else len(page)
             continue
         if parts:
             flush()
         link = 0
         if tag in _SKIP:
-            skip = max(0, skip + (-1 if end else 1))
+            if not end:
+                if at not in bare and not _closed(attrs):
+                    hidden.append((tag, at))
+            else:
+                for i in range(len(hidden) - 1, -1, -1):
+                    if hidden[i][0] == tag:
+                        bare.update(begin for _, begin in hidden[i + 1 :])
+                        del hidden[i:]
+                        break
+            continue
+        if tag == "head":
+            head = not end
+            continue
+        if hidden:
             continue
-        if tag == "body":
-            skip = 0
         if end:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -118,7 +159,7 @@ def blocks(page: str) -> list[Block]:
         if "=" in attrs:
             names = " ".join(sorted({w.lower() for found in _NAMES.findall(attrs) for w in _WORD.findall(" ".join(found))}))
         stack.append((tag, names))
-    if at < len(page) and not skip:
+    if at < len(page):
         parts.append((page[at:], link > 0))
     flush()
     return out
