@@ -1,8 +1,9 @@
 """Whole jobs: inputs that were once cut short."""
 
+import numpy as np
 import pytest
 
-from tickloom.llm import html_text
+from tickloom.llm import html_text, secrets
 
 ARTICLE = "<article><h1>A title here</h1><p>First part of it, with some words.</p><p>Second part, and more words than that.</p></article>"
 
@@ -32,3 +33,33 @@ def test_html_head_ends_at_text():
 
 def test_html_many_open_elements_take_one_reading_more():
     assert [b.text for b in html_text.blocks("<svg><object>" * 20_000 + "<p>end")] == ["end"]
+
+
+def secret_tagger(monkeypatch, labels):
+    """scan_slice with the field's decisions given."""
+    monkeypatch.setattr(secrets.crf, "decode", lambda e, first, model, idle: np.array(labels))
+    monkeypatch.setattr(secrets, "features", lambda *a: [])
+
+    def scan(text):
+        import pyarrow as pa
+
+        body = np.frombuffer(text.encode(), np.uint8)
+        base, added = secrets.scan_slice(None, pa.array([text]), body, np.array([0, len(body)]))
+        return base.get(0, []), added.get(0, [])
+
+    return scan
+
+
+def test_secrets_keep_what_lies_beside_a_base_span(monkeypatch):
+    head, tail = "Ab3dEf6hIj9k", "Zx8cVb5nMq2wErTyUi7oPaSdFg4h"
+    text = f"é token = {head}:{tail} end"
+    scan = secret_tagger(monkeypatch, [0, 0, 0, 1, 2, 0])
+    base, added = scan(text)
+    assert [text[a:b] for a, b, _ in base] == [f"token = {head}"] and [text[a:b] for a, b, _ in added] == [tail]
+    assert tail not in secrets.redacted(text, [{"start": a, "end": b} for a, b, _ in base + added])
+    text = f"key {head}_{'0a1b2c3d' * 2}_{tail}"
+    base, added = secret_tagger(monkeypatch, [0, 1])(text)
+    assert [text[a:b] for a, b, _ in base] == ["0a1b2c3d" * 2] and [text[a:b] for a, b, _ in added] == [f"{head}_", f"_{tail}"]
+    text = f"token='{head}'"
+    base, added = secret_tagger(monkeypatch, [1, 2])(text)
+    assert len(base) == 1 and added == []

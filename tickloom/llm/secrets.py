@@ -27,6 +27,7 @@ from . import crf, session, textkit
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
+_CHARS = re.compile(r"[A-Za-z0-9+/_.=\-\x80-\U0010ffff](?:.*[A-Za-z0-9+/_.=\-\x80-\U0010ffff])?", re.S)
 KINDS = ("assign", "access", "hex", "field")
 
 #: Rows of the documents that the field is trained on, about; at most twice as many.
@@ -196,6 +197,25 @@ SPANS = "array<struct<start:int,end:int,kind:string>>"
 _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
 
+def beyond(text: str, span: tuple[int, int], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """What the base spans leave of a tagged span, cut down to whole runs that begin and end by a token's characters."""
+    (at, end), left = span, []
+    for x, y, _ in sorted(base):
+        if x > at:
+            left.append((at, min(x, end)))
+        at = max(at, y)
+        if at >= end:
+            break
+    if at < end:
+        left.append((at, end))
+    out = []
+    for a, b in left:
+        found = _CHARS.search(text, a, b)
+        if found:
+            out.append((found.start(), found.end(), 3))
+    return out
+
+
 def scan_slice(model: crf.Chain, texts: pa.Array, body: np.ndarray, offsets: np.ndarray) -> tuple[dict[int, list], dict[int, list]]:
     """(base spans, added spans) by row of the slice, for rows that have any."""
     maybe = np.zeros(len(texts), bool)
@@ -230,8 +250,12 @@ def scan_slice(model: crf.Chain, texts: pa.Array, body: np.ndarray, offsets: np.
             points = lambda lo, hi: int(np.count_nonzero((body[lo:hi] & 0xC0) != 0x80))
             s = points(o, a)
             t = s + points(a, c)
-            if not any(s < y and t > x for x, y, _ in base.get(r, ())):
-                added.setdefault(r, []).append((s, t, 3))
+            if any(s < y and t > x for x, y, _ in base.get(r, ())):
+                found = beyond(texts[r].as_py(), (s, t), base[r])
+            else:
+                found = [(s, t, 3)]
+            if found:
+                added.setdefault(r, []).extend(found)
     return base, added
 
 
@@ -274,7 +298,8 @@ def scan_digest(docs: DataFrame, model: crf.Chain | None = None) -> DataFrame:
 
     Null and empty texts have no spans. Ids may be null or repeat: each row is
     scanned by itself. Other columns are ignored, an empty table gives an empty
-    result. Added spans never overlap base ones.
+    result. Added spans never overlap base ones: what a base span covers of a
+    tagged one is cut out, and the rest is kept.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_scan(*_model(docs, model), False, _OUT_ARROW), OUT)
