@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tickloom.llm import html_text, secrets
+from tickloom.llm import html_text, language_id, secrets
 
 ARTICLE = "<article><h1>A title here</h1><p>First part of it, with some words.</p><p>Second part, and more words than that.</p></article>"
 
@@ -63,3 +63,45 @@ def test_secrets_keep_what_lies_beside_a_base_span(monkeypatch):
     text = f"token='{head}'"
     base, added = secret_tagger(monkeypatch, [1, 2])(text)
     assert len(base) == 1 and added == []
+
+
+def languages(k, seed=5):
+    """A model of k invented languages with letters of their own, and a maker of words."""
+    r = np.random.default_rng(seed)
+    letters = ["".join(chr(97 + (i * 5 + j) % 26) for j in range(5)) for i in range(k)]
+    words = lambda i, n: " ".join("".join(r.choice(list(letters[i]), 6)) for _ in range(n)) + " "
+
+    def laid(texts):
+        flat = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+        return np.concatenate(flat), np.cumsum([0] + [len(f) for f in flat])
+
+    return language_id.fit({f"l{i}": language_id.count(*laid([words(i, 3000)])) for i in range(k)}), words, laid
+
+
+def test_language_sets_grow_to_all_languages():
+    model, words, laid = languages(5)
+    texts = [words(0, 60) + words(1, 40) + words(2, 40) + words(3, 30) + words(4, 30), words(1, 300), words(2, 120) + words(3, 80)]
+    best, score = language_id.mixtures(model, *laid(texts))
+    assert best.tolist() == [0, 1, 2]
+    assert np.allclose(score, [0.3, 1.0, 0.6], atol=0.03)
+
+
+def test_language_shares_settle_and_do_not_depend_on_other_rows():
+    r = np.random.default_rng(3)
+    odds = [(1 + d * np.array([1, -1] * 4)) / 8 for d in (0.1, -0.1)]  # languages that segments hardly tell apart
+    words = lambda i, n: " ".join("".join(x) for x in r.choice(list("abcdefgh"), (n, 6), p=odds[i])) + " "
+
+    def laid(texts):
+        return np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+
+    model = language_id.fit({f"l{i}": language_id.count(*laid([words(i, 200_000)])) for i in (0, 1)})
+    text = words(0, 3000) + words(1, 600)
+    slot, at = language_id.grams(*laid([text]))
+    like = np.stack([np.add.reduceat(model.table[:, k][slot], np.arange(0, at[-1], language_id.SEGMENT)) for k in (0, 1)], 1).astype(float)
+    like = np.exp(like - like.max(axis=1, keepdims=True))
+    grid = np.linspace(0, 1, 20_001)
+    value = np.log(like[:, :1] * grid + like[:, 1:] * (1 - grid)).sum(axis=0)
+    best, score = language_id.mixtures(model, *laid([text]))
+    assert (best[0], score[0]) == (0, pytest.approx(grid[value.argmax()], abs=1e-4))
+    together = language_id.mixtures(model, *laid([words(1, 50), text, "x", text]))
+    assert together[1][1] == together[1][3] == pytest.approx(score[0], abs=1e-9)

@@ -5,7 +5,9 @@ hashed byte 4-gram models give each segment's likelihood under each language,
 and expectation-maximisation estimates the languages' proportions. Sets of
 languages are nested by proportion and the one with the best penalised
 likelihood is kept (half of log(segments) for each language more); the
-prediction is its largest member and the score that member's proportion.
+prediction is its largest member and the score that member's proportion. Sets
+grow up to all languages, unless the likelihood under all of them, which no set
+exceeds, is too low for a larger set to win.
 
 The models are counted over a bounded sample of labelled rows: at most
 SAMPLE_ROWS for each language, chosen by a hash of doc_id.
@@ -25,7 +27,7 @@ from . import session, textkit
 SAMPLE_ROWS = 1500
 GRAM, TABLE = 4, 1 << 16
 SEGMENT = 32
-ROUNDS = 6
+SETTLED = 1e-5  # EM stops when no proportion of a row moves by more
 PENALTY = 0.5
 UNKNOWN = "und"
 
@@ -88,27 +90,44 @@ def mixtures(model: Model, body: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     like -= like.max(axis=1, keepdims=True)
     like = np.exp(np.maximum(like, -60)).astype(np.float32)
 
-    def settle(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions within each row's allowed languages, and the log-likelihood."""
-        share = keep / keep.sum(axis=1, keepdims=True)
-        for _ in range(ROUNDS):
-            part = like * share[row]
-            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
-            share = _sum_rows(part, first) / cells[:, None]
-        return share, _sum_rows(np.log(np.maximum((like * share[row]).sum(axis=1), 1e-30))[:, None], first)[:, 0]
+    def settle(rows: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions of some rows within their allowed languages, and the log-likelihood."""
+        share = (keep / keep.sum(axis=1, keepdims=True)).astype(np.float64)
+        sizes = cells[rows]
+        mine = like if len(rows) == n else like[np.repeat(first[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        moving, part, length = np.arange(len(rows)), mine, sizes
+        while len(moving):
+            old = share[moving]
+            belongs = part * np.repeat(old, length, axis=0)
+            belongs /= np.maximum(belongs.sum(axis=1, keepdims=True), 1e-30)
+            new = _sum_rows(belongs, np.concatenate([[0], np.cumsum(length)])) / length[:, None]
+            share[moving] = new
+            still = np.abs(new - old).max(axis=1) > SETTLED
+            if not still.all():
+                part, moving, length = part[np.repeat(still, length)], moving[still], length[still]
+        total = np.log(np.maximum((mine * np.repeat(share, sizes, axis=0)).sum(axis=1), 1e-30))
+        return share, _sum_rows(total[:, None], np.concatenate([[0], np.cumsum(sizes)]))[:, 0]
 
     n, k = len(size), len(model.languages)
-    share, _ = settle(np.ones((n, k), np.float32))
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0)
+    every = np.arange(n)
+    share, most = settle(every, np.ones((n, k)))
     order = np.argsort(-share, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     best, value, score = order[:, 0], np.full(n, -np.inf), np.ones(n)
-    for m in range(1, min(k, 3) + 1):
-        got, like_m = settle((rank < m).astype(np.float32))
-        worth = like_m - PENALTY * (m - 1) * np.log(cells + 1)
-        better = worth > value
-        top = got.argmax(axis=1)
-        best, score = np.where(better, top, best), np.where(better, got[np.arange(n), top], score)
-        value = np.where(better, worth, value)
+    for m in range(1, k + 1):
+        price = PENALTY * (m - 1) * np.log(cells + 1)
+        rows = np.flatnonzero(most - price > value)  # no other row's larger sets can win
+        if not len(rows):
+            break
+        got, like_m = settle(rows, (rank[rows] < m).astype(np.float64))
+        worth = like_m - price[rows]
+        better = worth > value[rows]
+        won = rows[better]
+        best[won] = got[better].argmax(axis=1)
+        score[won] = got[better].max(axis=1)
+        value[won] = worth[better]
     return best, np.clip(score, 0, 1)
 
 
