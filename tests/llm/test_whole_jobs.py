@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tickloom.llm import html_text, language_id, secrets
+from tickloom.llm import html_text, language_id, mpeg_audio, secrets
 
 ARTICLE = "<article><h1>A title here</h1><p>First part of it, with some words.</p><p>Second part, and more words than that.</p></article>"
 
@@ -105,3 +105,17 @@ def test_language_shares_settle_and_do_not_depend_on_other_rows():
     assert (best[0], score[0]) == (0, pytest.approx(grid[value.argmax()], abs=1e-4))
     together = language_id.mixtures(model, *laid([words(1, 50), text, "x", text]))
     assert together[1][1] == together[1][3] == pytest.approx(score[0], abs=1e-9)
+
+
+@pytest.mark.parametrize("units", [1, 3])
+def test_audio_text_that_looks_like_a_tag(units):
+    raw = b"x" * (576 * (units - 1) + 505) + b"TAG" + b"y" * 68
+    media = mpeg_audio.encode(raw)
+    s = mpeg_audio.parse(media)
+    assert media[-128:-125] == b"TAG" and mpeg_audio.payload(media, s) == raw and s.resyncs == 0 and "TIT2" not in s.tags
+    tag = b"TAG" + b"A song".ljust(125, b"\0")
+    for behind in (tag, b"junk" + tag):
+        t = mpeg_audio.parse(media + behind)
+        assert mpeg_audio.payload(media + behind, t) == raw and t.tags["TIT2"] == "A song"
+    cut = mpeg_audio.parse(media[:-40] + tag)
+    assert len(cut.offsets) == units - 1 and cut.tags["TIT2"] == "A song"

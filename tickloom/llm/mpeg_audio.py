@@ -147,17 +147,28 @@ def _vbr(data: bytes, at: int, h: Header) -> tuple | None:
     return None
 
 
+def _fill(data: bytes, at: int, kind: tuple) -> bool:
+    """Whether frames of a kind follow one another from `at` to the very end."""
+    while at < len(data):
+        h = header(data[at : at + 4])
+        if h is None or h.kind != kind:
+            return False
+        at += h.length
+    return at == len(data)
+
+
 def parse(data: bytes) -> Stream:
-    """Tags, frames and tables of a stream. Bytes that belong to no frame are skipped; an empty one has no frames."""
+    """Tags, frames and tables of a stream. Bytes that belong to no frame are skipped; an empty one has no frames. The last 128 bytes are an ID3v1 tag if they begin by TAG and are not within frames that reach the end."""
     out = Stream()
     at = _tag(data, out)
     end = len(data)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     kind, sure, sample, lost = None, False, 0, False
     while at + 4 <= end:
         h = header(data[at : at + 4])
+        if h is not None and (kind is None or h.kind == kind) and at + h.length > end and _fill(data, at, h.kind):
+            end = len(data)
         good = h is not None and (kind is None or h.kind == kind) and at + h.length <= end
         if good and not sure:
             nxt = at + h.length
@@ -191,6 +202,8 @@ def parse(data: bytes) -> Stream:
             out.starts.append(sample)
             sample += h.samples
         at += h.length
+    if end < len(data):
+        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     return out
 
 
