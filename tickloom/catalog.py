@@ -384,10 +384,16 @@ def sta_placebo(spark, sf):
 
 @query()
 def sta_cells(spark, sf):
-    """STA9-10, STA12: the family of cells."""
+    """STA9-10: the family of cells."""
     return P.cells(_long(spark, sf), S)
 
 
+@query()
+def sta_seed_invariance(spark, sf):
+    """STA12: the significant cells under three seeds."""
+    return P.seed_invariance(_long(spark, sf), S)
+
+
 @query()
 def sta_promotion(spark, sf):
     """STA11, AGG13: gates and promotion."""
@@ -419,7 +425,7 @@ def sta_fdr(spark, sf):
 
 @query()
 def sta_sensitivity(spark, sf):
-    """STA13: cell means under coarser bars and buckets."""
+    """STA13: cells with bootstrap and event counts under coarser bars and buckets."""
     bars, buckets = _prepared(spark, sf)
     variants = {"base": S, "delta30": P.variant(S, delta=30.0), "bar2h": P.variant(S, bar_ms=2 * S.bar_ms), "both": P.variant(S, bar_ms=2 * S.bar_ms, delta=20.0)}
     return _rounded(P.sensitivity(bars, buckets, S, variants))

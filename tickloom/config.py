@@ -45,6 +45,7 @@ class Study:
     reps: int = 2_000_000
     ic_reps: int = 10_000
     placebo_reps: int = 10_000
+    grid_reps: int = 10_000
     min_shift: int = 2016
     detect: Detect = field(default_factory=Detect)
 

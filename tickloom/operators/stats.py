@@ -121,10 +121,15 @@ def fdr(cells: DataFrame, q: float) -> DataFrame:
     return ranked.withColumn("significant", F.coalesce((F.col("rank") <= last) & F.col("p_value").isNotNull(), F.lit(False))).drop("_n")
 
 
+def spread(cells: DataFrame) -> DataFrame:
+    """Standard error and t out of the interval."""
+    return cells.withColumn("se", (F.col("ci_high") - F.col("ci_low")) / (2 * 1.96)).withColumn("t", F.try_divide("mean", "se"))
+
+
 def derived(cells: DataFrame, reps: int) -> DataFrame:
     """Standard error, t, Monte-Carlo error of p, and whether p lies within two of those of its threshold."""
-    got = cells.withColumn("se", (F.col("ci_high") - F.col("ci_low")) / (2 * 1.96))
-    got = got.withColumns({"t": F.try_divide("mean", "se"), "mc_se": F.sqrt(F.col("p_value") * (1 - F.col("p_value")) / reps)})
+    got = spread(cells)
+    got = got.withColumns({"mc_se": F.sqrt(F.col("p_value") * (1 - F.col("p_value")) / reps)})
     return got.withColumn("straddle", F.abs(F.col("p_value") - F.col("threshold")) <= 2 * F.col("mc_se"))
 
 

@@ -67,6 +67,18 @@ def cells(long: DataFrame, study: Study, label: str = "base") -> DataFrame:
     return stats.derived(stats.fdr(stats.every_cell(got, study), study.q), study.reps)
 
 
+def seed_invariance(long: DataFrame, study: Study, labels: tuple[str, ...] = ("base", "base-seed2", "base-seed3")) -> DataFrame:
+    """(seed, significant, matches): the significant cells under each seed, and whether they are those under the first."""
+    long, out = long.persist(), None
+    cell = F.struct("signal", "h")
+    for label in labels:
+        family = stats.fdr(stats.every_cell(stats.bootstrap_means(long, study.reps, label), study), study.q)
+        part = family.agg(F.array_sort(F.collect_list(F.when(F.col("significant"), cell))).alias("significant")).withColumn("seed", F.lit(label))
+        out = part if out is None else out.unionByName(part)
+    first = out.where(F.col("seed") == labels[0]).select(F.col("significant").alias("_first"))
+    return out.crossJoin(F.broadcast(first)).select("seed", "significant", (F.col("significant") == F.col("_first")).alias("matches"))
+
+
 def promoted(long: DataFrame, study: Study) -> DataFrame:
     return stats.promotion(cells(long, study), stats.year_signs(long, study), study)
 
@@ -101,7 +113,12 @@ def variant(study: Study, bar_ms: int | None = None, delta: float | None = None)
 
 
 def sensitivity(bars: DataFrame, buckets: DataFrame, study: Study, variants: dict[str, Study], chunk: int = series.CHUNK) -> DataFrame:
-    """Cell means of every variant that whole multiples of bars or buckets give: re-aggregated, detected, warmed, de-duplicated; no quarantine."""
+    """Every cell of every variant that whole multiples of bars or buckets give: re-aggregated, detected, warmed, de-duplicated; no quarantine.
+
+    (config, signal, h, n, mean, se, t, ci_low, ci_high, n_raw, n_final): the
+    day-cluster bootstrap of grid_reps replicates seeded by variant, and the
+    signal's events as detected and as kept. Absent cells have n 0 and nulls.
+    """
     out = None
     for name, v in variants.items():
         b, k = bars, buckets
@@ -109,8 +126,12 @@ def sensitivity(bars: DataFrame, buckets: DataFrame, study: Study, variants: dic
             k = B.rebucket(k, v.delta, study.delta)
         if v.bar_ms != study.bar_ms:
             b, k = B.rebar(b, k, v.bar_ms, study.bar_ms, chunk)
-        events = hygiene.hygiene(detectors.detect_all(b, k, v.delta, v.detect, chunk), v.warmup, v.gap, chunk)
-        long = returns.long_form(returns.in_sample(returns.add_forward_returns(events, b, v, chunk)), v)
-        part = stats.cell_means(long).withColumn("config", F.lit(name))
+        raw = detectors.detect_all(b, k, v.delta, v.detect, chunk).persist()
+        events = hygiene.hygiene(raw, v.warmup, v.gap, chunk).persist()
+        long = returns.long_form(returns.in_sample(returns.add_forward_returns(events, b, v, chunk)), v).persist()
+        part = stats.spread(stats.every_cell(stats.bootstrap_means(long, v.grid_reps, name), v))
+        for d, count in ((raw, "n_raw"), (events, "n_final")):
+            part = part.join(F.broadcast(d.groupBy("signal").agg(F.count("*").alias(count))), "signal", "left").na.fill(0, [count])
+        part = part.select(F.lit(name).alias("config"), "signal", "h", "n", "mean", "se", "t", "ci_low", "ci_high", "n_raw", "n_final")
         out = part if out is None else out.unionByName(part)
     return out
