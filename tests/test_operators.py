@@ -3,7 +3,10 @@ import hashlib
 import zipfile
 import zlib
 from dataclasses import replace
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,33 +94,69 @@ def test_seeds_agree(spark):
 
 def test_step_up_rule(spark):
     p = [0.001, 0.008, 0.039, 0.041, 0.42]
-    df = spark.createDataFrame([("H1", i, x) for i, x in enumerate(p)] + [("H2", 9, None)], "signal string, h int, p_value double")
-    got = {r.h: r.significant for r in stats.fdr(df.where("signal = 'H1'"), 0.10).collect()}
+    df = spark.createDataFrame([("SYN", "H1", i, x) for i, x in enumerate(p)] + [("SYN", "H2", 9, None), ("TWO", "H1", 0, 0.09)], "symbol string, signal string, h int, p_value double")
+    got = {r.h: r.significant for r in stats.fdr(df.where("symbol = 'SYN' and signal = 'H1'"), 0.10).collect()}
     assert got == {0: True, 1: True, 2: True, 3: True, 4: False}
     assert not stats.fdr(df, 0.10).where("h = 9").first().significant
+    assert stats.fdr(df, 0.10).where("symbol = 'TWO'").first().significant  # a family of its own
 
 
 def test_bootstrap_finds_an_effect_and_weighs_days_by_events(spark):
-    rows = [("H1", 1, d, 0.01 + 0.005 * ((d * 7) % 11 - 5) / 5) for d in range(200)] + [("H2", 1, d, 0.01 * ((d * 7) % 11 - 5)) for d in range(198)]
-    long = spark.createDataFrame(rows, "signal string, h int, day long, r double")
+    rows = [("SYN", "H1", 1, d, 0.01 + 0.005 * ((d * 7) % 11 - 5) / 5) for d in range(200)] + [("SYN", "H2", 1, d, 0.01 * ((d * 7) % 11 - 5)) for d in range(198)]
+    long = spark.createDataFrame(rows, "symbol string, signal string, h int, day long, r double")
     got = {r.signal: r for r in stats.bootstrap_means(long, 2000).collect()}
     assert got["H1"].p_value < 0.01 < got["H1"].ci_high and got["H2"].p_value > 0.05
     again = {r.signal: r for r in stats.bootstrap_means(long.repartition(3), 2000).collect()}
-    rounded = lambda rows: {k: [round(x, 9) for x in r[2:]] for k, r in rows.items()}
+    rounded = lambda rows: {k: [round(x, 9) for x in r[3:]] for k, r in rows.items()}
     assert rounded(again) == rounded(got)
-    few = spark.createDataFrame([("H1", 1, 0, 10.0)] * 100 + [("H1", 1, 1, -10.0)], "signal string, h int, day long, r double")
+    few = spark.createDataFrame([("SYN", "H1", 1, 0, 10.0)] * 100 + [("SYN", "H1", 1, 1, -10.0)], "symbol string, signal string, h int, day long, r double")
     assert abs(stats.cell_means(few).first().mean - 990 / 101) < 1e-9
 
 
-def test_rank_correlation_and_placebo(spark):
-    long = spark.createDataFrame([("H1", 1, d, d, float(d), d * 2.0) for d in range(50)] + [("H2", 1, d, d, 1.0, d * 2.0) for d in range(5)], "signal string, h int, day long, bar_index long, magnitude double, r double")
-    got = {r.signal: r.ic for r in stats.bootstrap_spearman(long, 50).collect()}
-    assert abs(got["H1"] - 1) < 1e-12 and got["H2"] is None
-    n = HOURLY.n_bars
-    bars = spark.range(n).select(F.lit("SYN").alias("symbol"), F.col("id").alias("bar_index"), (F.lit(HOURLY.start_ms) + F.col("id") * HOURLY.bar_ms).alias("bar_ts_ms"), F.when(F.col("id") % 100 >= 12, 101.0).otherwise(100.0).alias("open"))
-    jumps = events(spark, [(i, "H1", 1) for i in range(110, 700, 100)])
-    row = stats.placebo(jumps, bars, replace(HOURLY, placebo_reps=200)).where("h = 1").first()
-    assert row.placebo_p < 0.1 and row.n_valid > 100
+def test_rank_correlation(spark):
+    schema = "symbol string, signal string, h int, day long, bar_index long, magnitude double, r double"
+    long = spark.createDataFrame([("SYN", "H1", 1, d, d, float(d), d * 2.0) for d in range(50)] + [("SYN", "H2", 1, d, d, 1.0, d * 2.0) for d in range(5)] + [("TWO", "H1", 1, d, d, float(d), -float(d)) for d in range(9)], schema)
+    got = {(r.symbol, r.signal): r.ic for r in stats.bootstrap_spearman(long, 50).collect()}
+    assert abs(got["SYN", "H1"] - 1) < 1e-12 and got["SYN", "H2"] is None and abs(got["TWO", "H1"] + 1) < 1e-12
+
+
+def test_replicates_rank_like_rows_drawn_again():
+    r = np.random.default_rng(4)
+    row = SimpleNamespace(days=r.integers(0, 7, 60), magnitudes=r.integers(0, 9, 60).astype(float), returns=r.integers(0, 9, 60).astype(float))
+    days, fn, _ = stats._ic_of(row)
+    pick = r.integers(0, days, (40, days))
+    names = np.unique(row.days)
+    for got, draw in zip(fn(pick), pick, strict=True):
+        at = np.concatenate([np.flatnonzero(row.days == names[i]) for i in draw])
+        want = pd.Series(row.magnitudes[at]).rank().corr(pd.Series(row.returns[at]).rank())
+        assert got == pytest.approx(want) or np.isnan(got) and np.isnan(want)
+
+
+def test_placebo_by_symbol_in_sample(spark):
+    n, inside = HOURLY.n_bars, stats.in_sample_bars(HOURLY)
+    base = spark.range(n).select(F.lit("SYN").alias("symbol"), F.col("id").alias("bar_index"), (F.lit(HOURLY.start_ms) + F.col("id") * HOURLY.bar_ms).alias("bar_ts_ms"), F.when(F.col("id") % 100 >= 12, 101.0).otherwise(100.0).alias("open"))
+    # the other symbol is flat; beyond the sample both jump wildly, which must not be seen
+    bars = base.unionByName(base.withColumn("symbol", F.lit("TWO")).withColumn("open", F.lit(50.0))).withColumn("open", F.when(F.col("bar_index") >= inside, F.col("bar_index").cast("double")).otherwise(F.col("open")))
+    jumps = events(spark, [(i, "H1", 1) for i in range(110, 460, 100)])
+    both = jumps.unionByName(jumps.withColumn("symbol", F.lit("TWO")))
+    study = replace(HOURLY, placebo_reps=200)
+    windows = spark.createDataFrame([], "symbol string, start_ms long, end_ms long")
+    used = returns.in_sample(returns.add_forward_returns(both, bars, study))
+    got = {r.symbol: r for r in stats.placebo(used, bars, study, windows).where("h = 1").collect()}
+    assert got["SYN"].placebo_p < 0.1 and got["SYN"].n_valid > 100 and got["SYN"].observed > 0
+    assert got["TWO"].observed == 0 and got["TWO"].placebo_p == 1.0
+    # one known offset: events at 110.. move by 90 and land on 200, 300, 400 and, past the end, in the warm-up
+    one = spark.createDataFrame([("SYN", "H1", 0, 90)], "symbol string, signal string, rep long, offset long")
+    row = stats.placebo(used, bars, study, windows, one).where("h = 12").first()
+    assert row.n_valid == 1 and row.mean_admitted == pytest.approx(sum(60 <= (i + 90) % inside and (i + 90) % inside + 13 < inside for i in range(110, 460, 100)) / 4)
+
+
+def test_stretches_of_the_sample_need_not_be_equal(spark):
+    study = replace(HOURLY, stretches=((HOURLY.start_ms, HOURLY.start_ms + 9), (HOURLY.start_ms + 10, HOURLY.start_ms + 19), (HOURLY.start_ms + 20, HOURLY.start_ms + 99)))
+    row = lambda s, ms, x: ("SYN", s, 1, ts(HOURLY.start_ms + ms), x)
+    rows = [row("H1", 5, 1.0), row("H1", 15, 1.0), row("H1", 50, -9.0), row("H2", 5, 1.0), row("H2", 50, -1.0), row("H2", 200, 1.0), row("H3", 5, -1.0), row("H3", 6, 1.0), row("H3", 15, -1.0)]
+    long = spark.createDataFrame(rows, "symbol string, signal string, h int, bar_ts timestamp, r double")
+    assert {r.signal: r.agree for r in stats.year_signs(long, study).collect()} == {"H1": True, "H2": False, "H3": False}
 
 
 def test_purge_at_the_border_of_segments(spark):
@@ -130,9 +169,9 @@ def test_purge_at_the_border_of_segments(spark):
 
 
 def test_gates(spark):
-    rows = [(s, h, 400, 0.002, 5.0 + h, s != "H2") for s in SIGNALS for h in HOURLY.horizons]
-    cells = spark.createDataFrame(rows, "signal string, h int, n long, mean double, t double, significant boolean")
-    signs = cells.select("signal", "h", (F.col("signal") != "H3").alias("agree"))
+    rows = [("SYN", s, h, 400, 0.002, 5.0 + h, s != "H2") for s in SIGNALS for h in HOURLY.horizons]
+    cells = spark.createDataFrame(rows, "symbol string, signal string, h int, n long, mean double, t double, significant boolean")
+    signs = cells.select("symbol", "signal", "h", (F.col("signal") != "H3").alias("agree"))
     got = {r.signal: r for r in stats.promotion(cells, signs, replace(HOURLY, min_events=300)).collect()}
     assert got["H1"].promoted and got["H1"].h_star == 12
     assert not got["H2"].promoted and not got["H3"].g4
@@ -203,6 +242,23 @@ def test_gate_words_and_reconciliation(spark):
     assert got == {1: ("both", False), 2: ("left", None), 3: ("right", None), 4: ("both", True)}
 
 
+def test_ranks_and_predecessors_cross_chunks(spark):
+    rows = [("S", i, None if i == 50 else float(i * 37 % 101), [float(i * j % 17) for j in range(i % 4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "symbol string, bar_index long, x double, v array<double>")
+    got = {r.bar_index: r.q for r in series.trailing_quantile(df, "x", 9, 6, "q", 20).collect()}
+    for i in range(300):
+        frame = [rows[j][2] for j in range(max(0, i - 9), i)]
+        assert got[i] == (sorted(frame)[6] if len(frame) == 9 and None not in frame else None)
+    pooled = {r.bar_index: (r.a, r.b) for r in series.pooled_ranks(df, "v", 9, {"a": 0.25, "b": 0.5}, 20).collect()}
+    for i in range(300):
+        pool = sorted(x for j in range(max(0, i - 9), i) for x in rows[j][3])
+        assert pooled[i] == tuple(pool[min(int(p * len(pool)), len(pool) - 1)] if pool else None for p in (0.25, 0.5))
+    gaps = df.where("bar_index % 70 < 3 or bar_index = 299")
+    before = {r.bar_index: r.p for r in series.previous(gaps, "bar_index", "bar_index", "p", 20).collect()}
+    order = sorted(before)
+    assert [before[i] for i in order] == [None, *order[:-1]]
+
+
 def test_prefix_sums_equal_frames(spark):
     df = spark.range(300).select(F.lit("S").alias("symbol"), F.col("id").alias("bar_index"), F.when(F.col("id") % 13 == 0, None).otherwise((F.col("id") * 37 % 101).cast("double")).alias("x"))
     got = series.rolling_sum(series.with_halo(df, 5, 20), "x", 5, "s", 20)

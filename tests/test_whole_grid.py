@@ -19,6 +19,7 @@ def test_grid_has_every_cell_with_errors_and_counts(spark):
     bars, buckets = P.prepared(adapter.trades(spark, SF), SMALL)
     variants = {"base": SMALL}
     got = P.sensitivity(bars, buckets, SMALL, variants).collect()
+    assert P.variant(SMALL, bar_ms=2 * SMALL.bar_ms).gap == SMALL.gap // 2
     assert sorted((r.config, r.signal, r.h) for r in got) == sorted((c, s, h) for c in variants for s in SIGNALS for h in SMALL.horizons)
     assert any(r.n > 1 for r in got)
     for r in got:
@@ -35,8 +36,8 @@ def test_grid_has_every_cell_with_errors_and_counts(spark):
 
 def test_seeds_are_compared(spark):
     # H1 is far from zero at every horizon; H2 is as often above as below it
-    rows = [(s, h, d, x) for h in SMALL.horizons for d in range(20) for s, x in (("H1", 0.01 + d * 1e-4), ("H2", (-1.0) ** d))]
-    long = spark.createDataFrame(rows, "signal string, h int, day long, r double")
+    rows = [("SYN", s, h, d, x) for h in SMALL.horizons for d in range(20) for s, x in (("H1", 0.01 + d * 1e-4), ("H2", (-1.0) ** d))]
+    long = spark.createDataFrame(rows, "symbol string, signal string, h int, day long, r double")
     got = P.seed_invariance(long, SMALL).collect()
     assert len({r.seed for r in got}) == 3
     for r in got:

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.config import GIVEN as G
 from tickloom.config import HOURLY as S
 from tickloom.config import SIGNALS
 from tickloom.functions import columns as C
-from tickloom.functions import series
+from tickloom.functions import series, tables
 from tickloom.operators import bars as B
 from tickloom.operators import costs, detectors, hygiene, quality, returns, stats
 from tickloom.plans import study as P
@@ -58,7 +59,8 @@ def _returned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _long(spark: SparkSession, sf: str) -> DataFrame:
-    return returns.long_form(returns.in_sample(_returned(spark, sf)), S)
+    """In-sample returns in long form, written once for the statistics that read them."""
+    return tables.keep(returns.long_form(returns.in_sample(_returned(spark, sf)), S))
 
 
 _BARS = "symbol, bar_index, bar_ts_ms, open, high, low, close, round(volume, 6) as volume, round(delta, 6) as delta, round(cumulative_delta, 6) as cumulative_delta, trade_count"
@@ -345,19 +347,19 @@ def hyg_null_returns(spark, sf):
     return _rounded(_returned(spark, sf).select(*detectors.EVENT, "segment", "purge_ok", *[f"r_{h}" for h in S.horizons]))
 
 
-@query("select signal, h::int as h, day, round(sum(r), 6) as total, count(*) as n from long_rows group by signal, h, day")
+@query("select symbol, signal, h::int as h, day, round(sum(r), 6) as total, count(*) as n from long_rows group by all")
 def agg_day_sums(spark, sf):
     """AGG11, FLT2, FLT4."""
     return _rounded(stats.day_sums(_long(spark, sf)))
 
 
-@query("select signal, h::int as h, round(avg(r), 6) as mean, count(*) as n from long_rows group by signal, h")
+@query("select symbol, signal, h::int as h, round(avg(r), 6) as mean, count(*) as n from long_rows group by all")
 def agg_cell_means(spark, sf):
     """AGG12."""
     return _rounded(stats.cell_means(_long(spark, sf)))
 
 
-@query("select signal, h::int as h, round(case when count(*) < 2 or min(rx) = max(rx) or min(ry) = max(ry) then null else corr(rx, ry) end, 6) as ic from spearman_ranks group by signal, h")
+@query("select symbol, signal, h::int as h, round(case when count(*) < 2 or min(rx) = max(rx) or min(ry) = max(ry) then null else corr(rx, ry) end, 6) as ic from spearman_ranks group by symbol, signal, h")
 def sta_spearman(spark, sf):
     """STA5: rank correlation."""
     return _rounded(stats.spearman(_long(spark, sf)))
@@ -375,11 +377,58 @@ def sta_bootstrap_ic(spark, sf):
     return stats.bootstrap_spearman(_long(spark, sf), S.ic_reps)
 
 
+_CELL_COLUMNS = "symbol, signal, h::int as h, n, round(mean, 6) as mean, round(p_value, 6) as p_value, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high"
+
+
+@query(f"select {_CELL_COLUMNS} from given_cells")
+def sta_bootstrap_given(spark, sf):
+    """STA4, STA8: the bootstrap under a given table of draws."""
+    return _rounded(stats.bootstrap_means(_long(spark, sf), G.reps, picks=stats.given_picks))
+
+
+@query("select symbol, signal, h::int as h, round(ic, 6) as ic, round(ic_low, 6) as ic_low, round(ic_high, 6) as ic_high from given_ics")
+def sta_bootstrap_ic_given(spark, sf):
+    """STA5: the rank correlation's intervals under given draws."""
+    return _rounded(stats.bootstrap_spearman(_long(spark, sf), G.ic_reps, picks=stats.given_picks))
+
+
+_FAMILY = f"{_CELL_COLUMNS}, round(ic, 6) as ic, round(ic_low, 6) as ic_low, round(ic_high, 6) as ic_high, rank::int as rank, round(threshold, 6) as threshold, significant, round(se, 6) as se, round(t, 6) as t, round(mc_se, 6) as mc_se, straddle"
+
+
+@query(f"select {_FAMILY} from given_family")
+def sta_cells_given(spark, sf):
+    """STA7-10: the family of cells under given draws."""
+    return _rounded(P.cells(_long(spark, sf), G, picks=stats.given_picks))
+
+
+@query("select symbol, signal, g1, g2, g3, g4, eligible, h_star, g1 and g2 and g3 and g4 as promoted from given_gates")
+def sta_promotion_given(spark, sf):
+    """STA11, AGG13: gates and promotion under given draws."""
+    return P.promoted(_long(spark, sf), G, stats.given_picks)
+
+
+@query("select symbol, seed, significant, true as matches from given_significant cross join (select unnest(['a', 'b', 'c']) as seed)")
+def sta_seed_invariance_given(spark, sf):
+    """STA12: three labels over the same draws call the same cells significant."""
+    return P.seed_invariance(_long(spark, sf), G, ("a", "b", "c"), stats.given_picks)
+
+
+@query(f"""select symbol, signal, h::int as h, round(observed, 6) as observed, round(placebo_p, 6) as placebo_p, n_valid, round(mean_admitted, 6) as mean_admitted from given_placebo""")
+def sta_placebo_given(spark, sf):
+    """STA6: the circular-shift placebo under given offsets."""
+    s, bars, _ = _stages(spark, sf)
+    events = tables.keep(returns.in_sample(P.returns_of(s, bars, _windows(spark), G)))
+    r, n = F.col("rep"), stats.in_sample_bars(G)
+    offsets = events.select("symbol", "signal").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(G.placebo_reps - 1).cast("long")))).withColumn("offset", F.lit(G.min_shift) + (r * 37) % (n - 2 * G.min_shift + 1))
+    return _rounded(stats.placebo(events, bars, G, _windows(spark), offsets))
+
+
 @query()
 def sta_placebo(spark, sf):
     """STA6: circular-shift placebo."""
     s, bars, _ = _stages(spark, sf)
-    return stats.placebo(s.kept, bars, S, _windows(spark))
+    events = tables.keep(returns.in_sample(P.returns_of(s, bars, _windows(spark), S)))
+    return stats.placebo(events, bars, S, _windows(spark))
 
 
 @query()
@@ -400,27 +449,23 @@ def sta_promotion(spark, sf):
     return P.promoted(_long(spark, sf), S)
 
 
-_PART = (S.is_end_ms - S.start_ms) // 3 + 1
-
-
-@query(f"""select signal, h::int as h, greatest(count(*) filter (s > 0), count(*) filter (s < 0)) >= 2 as agree from (
-  select signal, h, (epoch_ms(bar_ts) - {S.start_ms}) // {_PART} as part, sign(avg(r)) as s from long_rows group by all) group by signal, h""")
+@query("select symbol, signal, h::int as h, agree from agreements")
 def agg_sign_agreement(spark, sf):
-    """AGG13."""
+    """AGG13: one sign in two of the three in-sample stretches."""
     return stats.year_signs(_long(spark, sf), S)
 
 
 _P = "(select signal, h, abs(sin(ascii(substr(signal, 2, 1)) * 7 + h * 13)) * 0.2 as p from (select unnest(['H1', 'H2', 'H3', 'H6']) as signal) cross join (select unnest([1, 3, 6, 12]) as h))"
 
 
-@query(f"""select signal, h, round(p, 6) as p_value, rank::int as rank, round(rank / 16 * 0.1, 6) as threshold, coalesce(rank <= max(case when p <= rank / 16 * 0.1 then rank end) over (), false) as significant
+@query(f"""select 'SYN' as symbol, signal, h, round(p, 6) as p_value, rank::int as rank, round(rank / 16 * 0.1, 6) as threshold, coalesce(rank <= max(case when p <= rank / 16 * 0.1 then rank end) over (), false) as significant
   from (select *, row_number() over (order by p, signal, h) as rank from {_P})""")
 def sta_fdr(spark, sf):
     """STA7, WIN14: step-up rule over a fixed family of p-values."""
-    rows = spark.createDataFrame([(s, h) for s in SIGNALS for h in S.horizons], "signal string, h int")
+    rows = spark.createDataFrame([("SYN", s, h) for s in SIGNALS for h in S.horizons], "symbol string, signal string, h int")
     p = F.abs(F.sin((F.ascii(F.substring("signal", 2, 1)) * 7 + F.col("h") * 13).cast("double"))) * 0.2
     got = stats.fdr(rows.withColumn("p_value", p), S.q)
-    return _rounded(got.select("signal", "h", "p_value", "rank", "threshold", "significant"))
+    return _rounded(got.select("symbol", "signal", "h", "p_value", "rank", "threshold", "significant"))
 
 
 @query()
@@ -437,20 +482,54 @@ def win_first_full(spark, sf):
     return P.first_full_window(_stages(spark, sf)[0].kept, 10 * 86_400_000)
 
 
-@query(f"select {_EVENTS} from events_kept where epoch_ms(bar_ts) < {S.is_end_ms - max(S.horizons) * S.bar_ms}")
+@query(f"select {_EVENTS}, round(close, 6) as close from events_kept join (select symbol, bar_index, close from bars) using (symbol, bar_index) where epoch_ms(bar_ts) < {S.is_end_ms - max(S.horizons) * S.bar_ms}")
 def flt_figure_cutoff(spark, sf):
-    """FLT5, JN15: events whose horizons all end in sample."""
-    return _rounded(P.figure_cutoff(_stages(spark, sf)[0].kept, S).select(*detectors.EVENT))
+    """FLT5, JN15: events whose horizons all end in sample, with their closes."""
+    s, bars, _ = _stages(spark, sf)
+    return _rounded(P.figure_cutoff(s.kept, bars, S).select(*detectors.EVENT, "close"))
+
+
+_FROM = S.start_ms + 3 * 86_400_000
+
+
+@query(f"""select b.symbol, b.bar_index, b.bar_ts, round(b.close, 6) as close, round(b.cumulative_delta, 6) as cumulative_delta, list_sort(e.signals) as signals from bars b
+  left join (select symbol, bar_index, list(distinct signal) as signals from events_kept group by all) e on b.symbol = e.symbol and b.bar_index = e.bar_index where b.bar_ts_ms >= {_FROM} and b.bar_ts_ms < {_FROM + 5 * 86_400_000}""")
+def fig_price(spark, sf):
+    """SNK6: price, cumulative delta and signals of a stretch of bars."""
+    s, bars, _ = _stages(spark, sf)
+    return _rounded(P.figure_price(bars, s.kept, _FROM, 5 * 86_400_000))
+
+
+@query("""select e.symbol, e.signal, o.i::int as "offset", round(avg(e.direction * (ln(b.close) - ln(z.close))), 6) as path, count(*) as n from events_kept e cross join range(-4, 9) o(i)
+  join bars b on b.bar_index = e.bar_index + o.i and b.close > 0 join bars z on z.bar_index = e.bar_index and z.close > 0 group by all""")
+def fig_paths(spark, sf):
+    """SNK6: mean signed path of price around events."""
+    s, bars, _ = _stages(spark, sf)
+    return _rounded(P.figure_paths(s.kept, bars, S, 4, 8))
+
+
+@query(f"select symbol, signal, h::int as h, round(mean * 10000, 6) as mean_bp, round(ci_low * 10000, 6) as ci_low_bp, round(ci_high * 10000, 6) as ci_high_bp, {round(S.round_trip * 1e4, 6)}::double as cost_bp from given_cells")
+def fig_cells(spark, sf):
+    """SNK6: means and intervals beside the cost, under given draws."""
+    return _rounded(P.figure_bars(stats.bootstrap_means(_long(spark, sf), G.reps, picks=stats.given_picks), S))
+
+
+@query("select symbol, bar_index, bucket_px, round(buy_vol, 6) as buy_vol, round(sell_vol, 6) as sell_vol, round(buy_vol - sell_vol, 6) as net from buckets where bar_index between 298 and 302")
+def fig_footprint(spark, sf):
+    """SNK6: the footprint around one bar."""
+    return _rounded(P.figure_footprint(_prepared(spark, sf)[1], 300, 2))
 
 
-_BEST = "select signal, h::int as h, round(avg(r), 6) as mean, count(*) as n from long_rows group by signal, h"
+@query("select symbol, signal, h::int as h, round(t, 6) as t from given_family where abs(t) > 0.5")
+def flt_nominal(spark, sf):
+    """FLT6: cells beyond a limit of t, under given draws; a limit that a month's cells reach."""
+    return _rounded(stats.nominal(P.cells(_long(spark, sf), G, picks=stats.given_picks), 0.5).select("symbol", "signal", "h", "t"))
 
 
-@query(f"select * from ({_BEST}) where n >= 2 order by mean desc, signal, h limit 1")
+@query("select symbol, signal, h::int as h, round(mean, 6) as mean, n, round(p_value, 6) as p_value from given_cells where p_value < 0.8 order by mean desc, symbol, signal, h limit 1")
 def flt_best_cell(spark, sf):
-    """FLT6: the cell with the greatest mean."""
-    cells = _rounded(stats.cell_means(_long(spark, sf))).where("n >= 2")
-    return P.best_cell(cells.withColumn("p_value", F.lit(0.0))).drop("p_value")
+    """FLT6: the cell below a limit of p with the greatest mean, under given draws."""
+    return _rounded(P.best_cell(stats.bootstrap_means(_long(spark, sf), G.reps, picks=stats.given_picks), 0.8).select("symbol", "signal", "h", "mean", "n", "p_value"))
 
 
 # ---- costs ---------------------------------------------------------------------------------------------------------

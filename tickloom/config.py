@@ -31,6 +31,8 @@ class Study:
     end_ms: int = 1_782_863_999_000
     is_end_ms: int = 1_735_689_599_000
     oos_start_ms: int = 1_735_689_600_000
+    # in-sample stretches, first and last ms: the second half of 2022, 2023, 2024
+    stretches: tuple[tuple[int, int], ...] = ((1_656_633_600_000, 1_672_531_199_000), (1_672_531_200_000, 1_704_067_199_000), (1_704_067_200_000, 1_735_689_599_000))
     bar_ms: int = 300_000
     delta: float = 25.0
     warmup: int = 8640
@@ -63,7 +65,9 @@ SIGNALS = ("H1", "H2", "H3", "H6")
 _JAN = 1_704_067_200_000
 HOURLY = Study(
     start_ms=_JAN, end_ms=_JAN + 30 * DAY_MS - 1, is_end_ms=_JAN + 20 * DAY_MS - 1, oos_start_ms=_JAN + 20 * DAY_MS,
+    stretches=((_JAN, _JAN + 5 * DAY_MS - 1), (_JAN + 5 * DAY_MS, _JAN + 13 * DAY_MS - 1), (_JAN + 13 * DAY_MS, _JAN + 20 * DAY_MS - 1)),
     bar_ms=3_600_000, delta=10.0, warmup=60, horizons=(1, 3, 6, 12), min_events=10, min_bp=1.0, reps=20_000, ic_reps=500, placebo_reps=400, min_shift=48,
     detect=Detect(cum_window=6, sigma_window=48, high_window=6, volume_window=24, multiple=3.0, ratio=2.0, stack=2, climax_window=48, climax_quantile=0.80),
 )
-FIVE_MINUTE = replace(HOURLY, bar_ms=300_000)
+#: HOURLY with few replicates, for draws that are given and not random.
+GIVEN = replace(HOURLY, reps=300, ic_reps=60, placebo_reps=200)

@@ -8,6 +8,9 @@ result over one row per chunk.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,9 +110,70 @@ def trailing_std(df: DataFrame, value: str, width: int, out: str, size: int = CH
     return closed(got, df).drop("_x", "_s", "_q", "_n", "_ds", "_dq", "_dn")
 
 
+def previous(df: DataFrame, value: str, at: str, out: str, size: int = CHUNK) -> DataFrame:
+    """The value of the row before each in the order of the whole number `at`, per symbol, whatever lies between; null for the first."""
+    parts = df.withColumn("chunk", F.floor(F.col(at) / F.lit(size)).cast("long"))
+    last = parts.groupBy("symbol", "chunk").agg(F.max(F.struct(F.col(at).alias("at"), F.col(value).alias("value"))).alias("_last"))
+    w = Window.partitionBy("symbol").orderBy("chunk")
+    carry = last.select("symbol", "chunk", F.lag("_last").over(w)["value"].alias("_carry"))
+    own = Window.partitionBy("symbol", "chunk").orderBy(at)
+    got = parts.withColumns({"_lag": F.lag(value).over(own), "_nth": F.row_number().over(own)}).join(carry, ["symbol", "chunk"])
+    return got.withColumn(out, F.when(F.col("_nth") == 1, F.col("_carry")).otherwise(F.col("_lag"))).drop("chunk", "_lag", "_nth", "_carry")
+
+
+#: Values that a rank step holds beside its input.
+_BLOCK = 2_000_000
+
+
+def _by_chunk(wide: DataFrame, names: list[str], fn, spent: str | None = None) -> DataFrame:
+    """wide, but for the column `spent`, with the double columns that fn(one chunk's table in order) gives."""
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema if f.name != spent] + [f"`{n}` double" for n in names])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["bar_index"]))
+        out = table if spent is None else table.drop_columns([spent])
+        for name, column in zip(names, fn(table), strict=True):
+            out = out.append_column(name, pa.array(column, pa.float64(), from_pandas=True))
+        return out
+
+    return wide.groupBy("symbol", "chunk").applyInArrow(run, schema)
+
+
 def trailing_quantile(df: DataFrame, value: str, width: int, index: int, out: str, size: int = CHUNK) -> DataFrame:
-    """The value of the 0-based rank `index` among the `width` bars before each; null until full."""
-    wide = framed(df, width, size)
-    w = order().rowsBetween(-width, -1)
-    ranked = F.get(F.sort_array(F.collect_list(value).over(w)), F.lit(index))
-    return closed(wide.withColumn(out, F.when(F.count(value).over(w) == width, ranked)), df)
+    """The value of the 0-based rank `index` among the `width` bars before each; null until full.
+
+    Built-in frames would gather and sort `width` values for every row; here a
+    chunk's frames are views of one array and only the asked rank is selected.
+    """
+
+    def ranks(table: pa.Table):
+        x = table[value].to_numpy().astype(float)
+        got = np.full(len(x), np.nan)
+        if len(x) > width:
+            frames = np.lib.stride_tricks.sliding_window_view(x, width)[:-1]
+            step = max(1, _BLOCK // width)
+            for lo in range(0, len(frames), step):
+                got[width + lo : width + lo + step] = np.partition(frames[lo : lo + step], index, axis=1)[:, index]
+            gone = np.concatenate([[0], np.cumsum(np.isnan(x))])
+            got[width:][gone[width:-1] > gone[: -width - 1]] = np.nan
+        return [got]
+
+    return closed(_by_chunk(framed(df, width, size), [out], ranks), df)
+
+
+def pooled_ranks(df: DataFrame, values: str, width: int, shares: dict[str, float], size: int = CHUNK) -> DataFrame:
+    """For each share a column with that pooled percentile (rank min(int(p n), n - 1)) of all values of the array column in the `width` bars before each; null if there are none."""
+
+    def ranks(table: pa.Table):
+        lists = table[values].combine_chunks()
+        flat = lists.flatten().to_numpy().astype(float)
+        at = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+        got = np.full((len(shares), len(lists)), np.nan)
+        for i in range(len(lists)):
+            part = flat[at[max(0, i - width)] : at[i]]
+            if len(part):
+                where = [min(int(p * len(part)), len(part) - 1) for p in shares.values()]
+                got[:, i] = np.partition(part, sorted(set(where)))[where]
+        return list(got)
+
+    return closed(_by_chunk(framed(df, width, size), list(shares), ranks, values), df)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import Detect
 from tickloom.functions import columns as C
-from tickloom.functions import series
+from tickloom.functions import series, tables
 
 EVENT = ("symbol", "bar_index", "bar_ts", "signal", "direction", "magnitude")
 
@@ -43,19 +45,15 @@ def divergence(bars: DataFrame, p: Detect, chunk: int = series.CHUNK) -> DataFra
 
 
 def pooled_percentiles(bars: DataFrame, buckets: DataFrame, window: int, chunk: int = series.CHUNK) -> DataFrame:
-    """bars with p25 and p50 over all bucket volumes of the `window` bars before each, from the first bar that has any. Arrays per bar are pooled, so a frame holds as many values as buckets."""
+    """bars with p25 and p50 over all bucket volumes of the `window` bars before each, from the first bar that has any. Volumes are pooled from one array per bar."""
     volumes = buckets.groupBy("symbol", "bar_index").agg(F.collect_list(F.col("buy_vol") + F.col("sell_vol")).alias("_v"))
-    wide = series.with_halo(bars.join(volumes, ["symbol", "bar_index"], "left"), window, chunk)
-    w = series.order().rowsBetween(-window, -1)
-    pool = F.sort_array(F.flatten(F.collect_list("_v").over(w)))
-    wide = wide.withColumn("_pool", pool).withColumn("_n", F.size("_pool"))
-    pick = lambda p: F.when(F.col("_n") > 0, F.get("_pool", C.rank_index(F.col("_n"), p)))
-    return series.no_halo(wide.withColumns({"p25": pick(0.25), "p50": pick(0.50)})).drop("_v", "_pool", "_n")
+    return series.pooled_ranks(bars.join(volumes, ["symbol", "bar_index"], "left"), "_v", window, {"p25": 0.25, "p50": 0.50}, chunk)
 
 
-def absorption(bars: DataFrame, buckets: DataFrame, delta: float, p: Detect, chunk: int = series.CHUNK) -> DataFrame:
-    """H2: outsized one-sided volume near a bar's edge that price has left."""
-    base = pooled_percentiles(bars, buckets, p.volume_window, chunk).where("p50 > 0").select("symbol", "bar_index", "bar_ts", "high", "low", "close", "p50")
+def absorption(bars: DataFrame, buckets: DataFrame, delta: float, p: Detect, chunk: int = series.CHUNK, pooled: DataFrame | None = None) -> DataFrame:
+    """H2: outsized one-sided volume near a bar's edge that price has left. pooled: pooled_percentiles of the bars, where they are known."""
+    pooled = pooled_percentiles(bars, buckets, p.volume_window, chunk) if pooled is None else pooled
+    base = pooled.where("p50 > 0").select("symbol", "bar_index", "bar_ts", "high", "low", "close", "p50")
     b = buckets.select("symbol", "bar_index", "bucket_px", "buy_vol", "sell_vol").join(base, ["symbol", "bar_index"])
     vol, span = F.col("buy_vol") + F.col("sell_vol"), F.col("high") - F.col("low")
     large = vol >= p.multiple * F.col("p50")
@@ -66,9 +64,10 @@ def absorption(bars: DataFrame, buckets: DataFrame, delta: float, p: Detect, chu
     return events_of(hit, "H2", "direction", "magnitude")
 
 
-def diagonal_ratios(bars: DataFrame, buckets: DataFrame, delta: float, p: Detect, chunk: int = series.CHUNK) -> DataFrame:
+def diagonal_ratios(bars: DataFrame, buckets: DataFrame, delta: float, p: Detect, chunk: int = series.CHUNK, pooled: DataFrame | None = None) -> DataFrame:
     """(symbol, bar_index, bar_ts, direction, level, ratio) of levels whose aggressors beat the other side one level off by p.ratio."""
-    base = pooled_percentiles(bars, buckets, p.volume_window, chunk).where("p25 > 0").select("symbol", "bar_index", "bar_ts", "high", "low", "p25")
+    pooled = pooled_percentiles(bars, buckets, p.volume_window, chunk) if pooled is None else pooled
+    base = pooled.where("p25 > 0").select("symbol", "bar_index", "bar_ts", "high", "low", "p25")
     lo, hi = C.level(F.col("low"), delta), C.level(F.col("high"), delta)
     b = buckets.select("symbol", "bar_index", C.grid_level(F.col("bucket_px"), delta).alias("level"), "buy_vol", "sell_vol").join(base, ["symbol", "bar_index"]).where((hi > lo) & F.col("level").between(lo, hi))
     # neighbouring rows are the diagonal only if their levels are neighbours
@@ -80,9 +79,9 @@ def diagonal_ratios(bars: DataFrame, buckets: DataFrame, delta: float, p: Detect
     return b.withColumn("side", F.explode(sides)).select("symbol", "bar_index", "bar_ts", "side.direction", "level", "side.ratio")
 
 
-def imbalance(bars: DataFrame, buckets: DataFrame, delta: float, p: Detect, chunk: int = series.CHUNK) -> DataFrame:
+def imbalance(bars: DataFrame, buckets: DataFrame, delta: float, p: Detect, chunk: int = series.CHUNK, pooled: DataFrame | None = None) -> DataFrame:
     """H3: the longest run of neighbouring imbalanced levels, at least p.stack; of equal ones the higher mean ratio. Magnitude: length times mean."""
-    flagged = diagonal_ratios(bars, buckets, delta, p, chunk)
+    flagged = diagonal_ratios(bars, buckets, delta, p, chunk, pooled)
     w = Window.partitionBy("symbol", "bar_index", "direction").orderBy("level")
     runs = flagged.withColumn("island", F.col("level") - F.row_number().over(w)).groupBy("symbol", "bar_index", "bar_ts", "direction", "island").agg(F.count("*").alias("n"), F.avg("ratio").alias("mean"), F.sum("ratio").alias("total"))
     best = runs.where(F.col("n") >= p.stack).groupBy("symbol", "bar_index", "bar_ts", "direction").agg(F.max(F.struct("n", "mean", "total")).alias("best"))
@@ -106,5 +105,7 @@ def exhaustion(bars: DataFrame, buckets: DataFrame, p: Detect, chunk: int = seri
 
 
 def detect_all(bars: DataFrame, buckets: DataFrame, delta: float, p: Detect, chunk: int = series.CHUNK) -> DataFrame:
-    """All detectors' events."""
-    return divergence(bars, p, chunk).unionByName(absorption(bars, buckets, delta, p, chunk)).unionByName(imbalance(bars, buckets, delta, p, chunk)).unionByName(exhaustion(bars, buckets, p, chunk))
+    """All detectors' events. The pooled percentiles, which two detectors read, are written once."""
+    pooled = tables.keep(pooled_percentiles(bars, buckets, p.volume_window, chunk).select("symbol", "bar_index", "bar_ts", "high", "low", "close", "p25", "p50"))
+    parts = [divergence(bars, p, chunk), absorption(bars, buckets, delta, p, chunk, pooled), imbalance(bars, buckets, delta, p, chunk, pooled), exhaustion(bars, buckets, p, chunk)]
+    return functools.reduce(DataFrame.unionByName, parts)

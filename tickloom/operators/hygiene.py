@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import series
 
-#: Quarantine windows are broadcast up to this many rows; beyond it they meet events by day.
-MANY_WINDOWS = 100_000
-
 
 def warm(events: DataFrame, bars: int) -> DataFrame:
     return events.where(F.col("bar_index") >= bars)
@@ -50,12 +47,16 @@ def _overlapping(spans: DataFrame, windows: DataFrame) -> DataFrame:
     return a.join(b, ["symbol", "_day"]).where((F.col("lo") < F.col("end_ms")) & (F.col("hi") > F.col("start_ms"))).select("key").distinct()
 
 
+def outside_windows(spans: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of spans (symbol, lo, hi, and the columns of key) whose span overlaps no window; without lo and hi."""
+    hit = _overlapping(spans.select(F.struct(*key).alias("key"), "symbol", "lo", "hi").distinct(), windows).select("key.*")
+    return spans.drop("lo", "hi").join(hit, key, "left_anti")
+
+
 def outside_quarantine(events: DataFrame, windows: DataFrame, bar_ms: int) -> DataFrame:
     """Events whose bar overlaps no window (symbol, start_ms, end_ms)."""
     ms = F.unix_millis("bar_ts")
-    spans = events.select(F.struct("symbol", "bar_index").alias("key"), "symbol", ms.alias("lo"), (ms + bar_ms).alias("hi")).distinct()
-    hit = _overlapping(spans, windows).select("key.symbol", "key.bar_index")
-    return events.join(hit, ["symbol", "bar_index"], "left_anti")
+    return outside_windows(events.select("*", ms.alias("lo"), (ms + bar_ms).alias("hi")), windows, ["symbol", "bar_index"])
 
 
 def null_quarantined_returns(events: DataFrame, windows: DataFrame, horizons: tuple[int, ...], start_ms: int, bar_ms: int) -> DataFrame:

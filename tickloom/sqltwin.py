@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from tickloom.config import GIVEN as G
 from tickloom.config import HOURLY as S
+from tickloom.config import SIGNALS
 
 D = S.detect
+_IS = (S.is_end_ms - S.start_ms) // S.bar_ms + 1
 _T = [
     ("trades", """select 'SYN' as symbol, event_id as agg_trade_id, 1000.0 + cast(json_extract(props, '$.k') as double) as price, value as quantity,
       (epoch_us(ts) // 1000) as transact_time, (user_id % 2 = 1) as is_buyer_maker from events"""),
@@ -85,8 +88,42 @@ _T = [
     ("klines", "select day, case when day % 5 = 0 then volume * 1.01 else volume end as volume from klines_a where day % 7 <> 3 union all select 19800, 1.0"),
     ("reconciled", """select coalesce(a.day, b.day) as day, a.volume as a, b.volume as b, case when a.day is null then 'right' when b.day is null then 'left' else 'both' end as side,
       case when a.day is not null and b.day is not null then abs((a.volume - b.volume) / b.volume * 100) end as pct from klines_a a full outer join klines b on a.day = b.day"""),
-    ("spearman_ranks", """select *, rank() over (partition by signal, h order by magnitude) + (count(*) over (partition by signal, h, magnitude) - 1) / 2.0 as rx,
-      rank() over (partition by signal, h order by r) + (count(*) over (partition by signal, h, r) - 1) / 2.0 as ry from long_rows"""),
+    ("spearman_ranks", """select *, rank() over (partition by symbol, signal, h order by magnitude) + (count(*) over (partition by symbol, signal, h, magnitude) - 1) / 2.0 as rx,
+      rank() over (partition by symbol, signal, h order by r) + (count(*) over (partition by symbol, signal, h, r) - 1) / 2.0 as ry from long_rows"""),
+    ("agreements", f"""select symbol, signal, h, greatest(count(*) filter (s > 0), count(*) filter (s < 0)) >= 2 as agree from (
+      select symbol, signal, h, case {" ".join(f"when epoch_ms(bar_ts) between {a} and {b} then {i}" for i, (a, b) in enumerate(S.stretches))} end as part, sign(avg(r)) as s from long_rows group by all)
+      where part is not null group by symbol, signal, h"""),
+    # draws by arithmetic: day `pick` of a cell's days stands at `place` of replicate `rep`
+    ("cell_days", """select symbol, signal, h, day, sum(r) as total, count(*) as n, row_number() over (partition by symbol, signal, h order by day) - 1 as i, count(*) over (partition by symbol, signal, h) as days
+      from long_rows group by symbol, signal, h, day"""),
+    ("draws", f"""select c.symbol, c.signal, c.h, rep, (rep * place * 1103515 + rep * 48271 + place * 69621 + 12345) // 1009 % days as pick
+      from (select distinct symbol, signal, h, days from cell_days) c, range({G.reps}) x(rep), range(400) y(place) where place < days"""),
+    ("given_stats", "select d.symbol, d.signal, d.h, d.rep, sum(c.total) / sum(c.n) as stat from draws d join cell_days c on d.symbol = c.symbol and d.signal = c.signal and d.h = c.h and d.pick = c.i group by all"),
+    ("given_cells", """select m.*, least(1, 2 * least(g.below, g.above)) as p_value, g.ci_low, g.ci_high from (select symbol, signal, h, avg(r) as mean, count(*) as n from long_rows group by symbol, signal, h) m join (
+      select symbol, signal, h, avg((stat <= 0)::int) as below, avg((stat >= 0)::int) as above, quantile_cont(stat, 0.025) as ci_low, quantile_cont(stat, 0.975) as ci_high from given_stats group by all) g using (symbol, signal, h)"""),
+    ("ic_rows", f"""select d.symbol, d.signal, d.h, d.rep, l.magnitude, l.r from draws d join cell_days c on d.symbol = c.symbol and d.signal = c.signal and d.h = c.h and d.pick = c.i
+      join long_rows l on l.symbol = c.symbol and l.signal = c.signal and l.h = c.h and l.day = c.day where d.rep < {G.ic_reps}"""),
+    ("ic_ranks", """select *, rank() over (partition by symbol, signal, h, rep order by magnitude) + (count(*) over (partition by symbol, signal, h, rep, magnitude) - 1) / 2.0 as rx,
+      rank() over (partition by symbol, signal, h, rep order by r) + (count(*) over (partition by symbol, signal, h, rep, r) - 1) / 2.0 as ry from ic_rows"""),
+    ("given_ic_stats", "select symbol, signal, h, rep, case when min(rx) < max(rx) and min(ry) < max(ry) then corr(rx, ry) end as stat from ic_ranks group by all"),
+    ("given_ics", """select * from (select symbol, signal, h, case when count(*) >= 2 and min(rx) < max(rx) and min(ry) < max(ry) then corr(rx, ry) end as ic from spearman_ranks group by all) left join (
+      select symbol, signal, h, quantile_cont(stat, 0.025) as ic_low, quantile_cont(stat, 0.975) as ic_high from given_ic_stats where stat is not null group by all) using (symbol, signal, h)"""),
+    ("given_ranked", f"""select f.symbol, f.signal, f.h, coalesce(c.n, 0) as n, c.mean, c.p_value, c.ci_low, c.ci_high, i.ic, i.ic_low, i.ic_high, row_number() over (partition by f.symbol order by c.p_value nulls last, f.signal, f.h) as rank,
+      count(*) over (partition by f.symbol) as cells from (select distinct symbol, signal, h from (select distinct symbol from given_cells) cross join (select unnest({list(SIGNALS)}) as signal) cross join (select unnest({list(S.horizons)}) as h)) f
+      left join given_cells c using (symbol, signal, h) left join given_ics i using (symbol, signal, h)"""),
+    ("given_family", f"""select *, abs(p_value - threshold) <= 3 * mc_se as straddle from (select *, rank / cells * {S.q} as threshold, coalesce(rank <= max(case when p_value <= rank / cells * {S.q} then rank end) over (partition by symbol) and p_value is not null, false) as significant,
+      (ci_high - ci_low) / 3.92 as se, mean / nullif((ci_high - ci_low) / 3.92, 0) as t, sqrt(p_value * (1 - p_value) / {G.reps}) as mc_se from given_ranked)"""),
+    ("given_eligible", f"select f.*, a.agree, significant and h >= {S.material_horizon} as material, significant and h >= {S.material_horizon} and mean * 10000 >= {S.min_bp} as able from given_family f left join agreements a using (symbol, signal, h)"),
+    ("given_gates", f"""select symbol, signal, max(n) >= {S.min_events} as g1, count(*) filter (significant) >= 2 and count(*) filter (material) >= 1 as g2, count(*) filter (able) > 0 as g3,
+      coalesce(arg_max(agree, (abs(t), h)) filter (able), false) as g4, coalesce(list_sort(list(h) filter (able)), []) as eligible, arg_max(h, (abs(t), h)) filter (able) as h_star from given_eligible group by all"""),
+    ("given_significant", "select symbol, coalesce(list_sort(list({'signal': signal, 'h': h}) filter (significant)), []) as significant from given_family group by all"),
+    ("shifts", f"""select e.symbol, e.signal, e.direction, rep, (e.bar_index + {S.min_shift} + (rep * 37) % ({_IS} - 2 * {S.min_shift} + 1)) % {_IS} as t
+      from nulled e cross join range({G.placebo_reps}) x(rep) where e.segment = 'IS' and e.purge_ok"""),
+    ("shifted", f"""select s.*, a.bar_index is not null as ok, {", ".join(f"s.direction * a.f_{h} as r_{h}" for h in S.horizons)} from shifts s left join (select * from aheads where bar_index >= {S.warmup} and bar_index + {1 + max(S.horizons)} < {_IS}
+      and not exists (select 1 from windows w where w.symbol = aheads.symbol and {S.start_ms} + bar_index * {S.bar_ms} < w.end_ms and {S.start_ms} + (bar_index + {max(S.horizons) + 2}) * {S.bar_ms} > w.start_ms)) a on a.symbol = s.symbol and a.bar_index = s.t"""),
+    ("shift_means", " union all ".join(f"select symbol, signal, {h} as h, rep, avg(r_{h}) as m, avg(ok::int) as admitted from shifted group by all" for h in S.horizons)),
+    ("given_placebo", """select s.symbol, s.signal, s.h, o.observed, count(*) filter (abs(m) >= abs(observed)) / nullif(count(m), 0) as placebo_p, count(m) as n_valid, avg(admitted) as mean_admitted
+      from shift_means s join (select symbol, signal, h, avg(r) as observed from long_rows group by symbol, signal, h) o using (symbol, signal, h) group by all"""),
 ]
 CTES = dict(_T)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions import series
+
 LEVELS = "array<array<string>>"
 CHECKED = "symbol string, n_events long, n_stale long, n_gaps long, last_u long"
 
@@ -19,10 +21,10 @@ def sync_point(events: DataFrame, last_id: int) -> DataFrame:
     return events.where((F.col("first_id") <= last_id + 1) & (F.col("last_id") >= last_id + 1)).groupBy("symbol").agg(F.min("ordinal").alias("sync_ordinal"))
 
 
-def continuity(events: DataFrame) -> DataFrame:
-    """events with continuous: pu, the predecessor that it names, is the last_id before; the first is continuous."""
-    w = Window.partitionBy("symbol").orderBy("ordinal")
-    return events.withColumn("continuous", F.coalesce(F.col("pu") == F.lag("last_id").over(w), F.lit(True)))
+def continuity(events: DataFrame, stretch: int = 100_000) -> DataFrame:
+    """events with continuous: pu, the predecessor that it names, is the last_id before; the first is continuous. Stretches of ordinals carry their last id over, so no symbol is one task."""
+    got = series.previous(events, "last_id", "ordinal", "_before", stretch)
+    return got.withColumn("continuous", F.coalesce(F.col("pu") == F.col("_before"), F.lit(True))).drop("_before")
 
 
 def checked_stream(events: DataFrame, snapshot_id: int) -> DataFrame:
