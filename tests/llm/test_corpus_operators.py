@@ -150,7 +150,7 @@ def linked(texts):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("options", [{}, {"fine": True}, {"region": 50}])
+@pytest.mark.parametrize("options", [{}, {"percent": (8, 8)}, {"region": 50}])
 def test_jaccard_join(spark, docs, options):
     want = linked(texts_of(docs))
     got = jaccard_join.near_duplicates(docs, **options).collect()
@@ -169,8 +169,8 @@ def test_jaccard_chains_of_near_copies(spark):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = linked(dict(rows))
-    for region in (jaccard_join.REGION, 1500):
-        assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(df, region=region).collect()} == want
+    for options in ({}, {"members": 5}):
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(df, **options).collect()} == want
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
     kept = {x.doc_id for x in jaccard_join.keep_first(df).collect()}
     assert kept == {c for _, c in want.values()}

@@ -1,12 +1,18 @@
 """Jaccard metric-space self-join on 5-word shingle sets: link at 100 * intersection >= 80 * union, exactly.
 
 Jaccard distance is a metric, and eps = 0.2 is the join's radius. A join
-works region by region: pivots make Voronoi regions, and a document also goes to
+works region by region: pivots make Voronoi regions, and a set also goes to
 every region whose pivot is no more than 2 eps farther than its own, which by
 the triangle inequality brings every linked pair together; regions are split
-the same way until they are small, and then joined exactly. A document linked
-to a pivot is in the pivot's component, so groups of near copies cost one
-distance per member and level, never all pairs.
+the same way until they are small, and then joined exactly.
+
+A large region is split over the cluster: its sets are measured, in parts of a
+bounded size, against a few pivots. Pivots that are linked make one group; a set linked to a group is in its component and leaves the region,
+which is how a group of near copies, however large, costs one pass. Only sets
+not linked to a group but within 2 eps of it can be linked to one of the sets
+that left, and those visit them, block by block. What no group holds goes on by
+Voronoi regions, unless windows would copy it more than SPREAD times; regions
+still too large after ROUNDS meet block against block, exactly.
 
 Over a whole corpus almost all documents are at distance 1 from any pivot, where
 the triangle inequality says nothing. So the first level cuts the corpus by an
@@ -16,9 +22,11 @@ k + 1 filled classes of each there is one that both fill alike. Sets that share
 such a class meet there, and two that meet are neighbours unless the parities
 of their shingles, counted by hash in about as many places as there are
 shingles, differ in more places than linked sets can differ in shingles. The
-components of neighbours are the first regions: no link leaves one.
+components of neighbours are the first regions: no link leaves one. A set that
+fills too few classes is looked for once more by its single shingles.
 
-Sets, not documents, are joined: equal sets are one class from the start.
+Sets, not documents, are joined: equal sets are one class from the start, named
+by a hash of the set, so that a doc_id may stand for several texts.
 """
 
 from __future__ import annotations
@@ -32,11 +40,17 @@ from . import components, session, textkit
 
 _U = np.uint64
 WORDS = 5
-#: Shingles of a region that one task joins; larger regions are split over the cluster.
+#: Shingles, and sets, of a region that one task joins; larger regions are split over the cluster.
 REGION = 6_000_000
+MEMBERS = 400
+#: Pivots of a large region, about; passes over large regions; copies for each set that Voronoi windows may make.
+PIVOTS = 16
 ROUNDS = 4
+SPREAD = 1.5
 LEAF = 24
 EPS = 0.2
+#: Signatures of sets that fill too few classes, as many as every task may hold; beyond them all sets are dealt by single shingles.
+RARE = 1_000_000
 
 #: Places of parities, at least; a larger set has the next power of two above its size.
 PLACES = 1024
@@ -64,9 +78,13 @@ def _bands() -> np.ndarray:
 BANDS = _bands()
 
 
-def classes_of(low: np.ndarray) -> np.ndarray:
+#: Hash classes of a band in percent of its lower bound, for bands from 128 and from 512 on.
+PERCENT = (42, 36)
+
+
+def classes_of(low: np.ndarray, percent: tuple[int, int] = PERCENT) -> np.ndarray:
     """Hash classes of a band by its lower bound; 0: every shingle is its own class."""
-    return np.where(low < 64, 0, np.where(low < 512, low * 42 // 100, low * 36 // 100))
+    return np.where(low < 128, 0, np.where(low < 512, low * percent[0] // 100, low * percent[1] // 100))
 
 
 def shingle_sets(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +139,8 @@ def distinct(records: np.ndarray) -> np.ndarray:
     return records[new]
 
 
-def signatures(codes: np.ndarray, offsets: np.ndarray, fine: bool = False) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(row, signature) such that linked sets share one; and whether that holds for every row (always, if fine)."""
+def signatures(codes: np.ndarray, offsets: np.ndarray, fine: bool = False, percent: tuple[int, int] = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature) such that linked sets share one; and the rows for which that does not hold, as they fill too few classes (none, if fine)."""
     n = np.diff(offsets)
     size_band = np.searchsorted(BANDS, n, "right") - 1
     least_band = np.searchsorted(BANDS, -(-n * 4 // 5), "right") - 1
@@ -132,7 +150,7 @@ def signatures(codes: np.ndarray, offsets: np.ndarray, fine: bool = False) -> tu
     band = least_band[row] + np.arange(len(row)) - np.repeat(np.cumsum(reps) - reps, reps)
     own = band == size_band[row]
     most = np.where(own, n[row] // 4, (n[row] + BANDS[band + 1] - 1) // 9)
-    m = np.zeros(len(band), np.int64) if fine else classes_of(BANDS[band])
+    m = np.zeros(len(band), np.int64) if fine else classes_of(BANDS[band], percent)
     size = n[row]
     at = np.concatenate([[0], np.cumsum(size)])
     t = codes[np.repeat(offsets[row] - at[:-1], size) + np.arange(at[-1])]
@@ -150,21 +168,26 @@ def signatures(codes: np.ndarray, offsets: np.ndarray, fine: bool = False) -> tu
     cls, slot = cls[begin], slot[begin]
     first = np.searchsorted(slot, np.arange(len(row)))
     rank = np.arange(len(slot)) - first[slot]
-    whole = bool((np.diff(np.append(first, len(slot))) > most).all())
+    thin = np.unique(row[np.diff(np.append(first, len(slot))) <= most])
     keep = rank <= most[slot]
     sig = textkit.mix(content[keep] + textkit.mix(cls[keep] + _U(7)) + band[slot[keep]].astype(_U) * _U(0x9E3779B97F4A7C15))
-    return row[slot[keep]], sig, whole
+    return row[slot[keep]], sig, thin
 
 
 #: Records of a task that are held before they are sent, so that blobs are few.
 HELD = 500_000
 
 
-def _emit(bucket_count: int, fine: bool):
+def _emit(bucket_count: int, fine: bool, percent: tuple[int, int] = PERCENT, only: np.ndarray | None = None):
+    """Profiles (bucket -1) and signatures by bucket; under bucket -2 the fine signatures of sets with too few classes. With `only`, nothing but fine signatures that are among these."""
+
     def sent(held: list[np.ndarray]) -> pa.RecordBatch:
         out = distinct(np.concatenate(held))  # copies within a task are sent once
         return textkit.packed(out, (out["sig"] % _U(bucket_count)).astype(np.int64), bucket_count, BLOB_ARROW)
 
+    def blob(bucket: int, payload: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], schema=BLOB_ARROW)
+
     def run(batches):
         held, size = [], 0
         for batch in batches:
@@ -174,12 +197,18 @@ def _emit(bucket_count: int, fine: bool):
             for lo, hi, body, offsets in textkit.text_slices(batch):
                 codes, at = shingle_sets(body, offsets)
                 h1, h2 = set_hashes(codes, at)
-                row, sig, whole = signatures(codes, at, fine)
-                got = np.empty(hi - lo, PROFILE)
-                got["doc"], got["n"], got["h1"], got["h2"], got["known"] = ids[lo:hi], np.diff(at), h1, h2, known[lo:hi]
-                profile = len(got).to_bytes(8, "little") + got.tobytes() + parities(codes, at).tobytes()
-                cols = [pa.array([-1] if whole else [-1, -2], pa.int32()), pa.array([profile] if whole else [profile, b""], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, schema=BLOB_ARROW)
+                row, sig, thin = signatures(codes, at, fine or only is not None, percent)
+                if only is None:
+                    got = np.empty(hi - lo, PROFILE)
+                    got["doc"], got["n"], got["h1"], got["h2"], got["known"] = ids[lo:hi], np.diff(at), h1, h2, known[lo:hi]
+                    yield blob(-1, len(got).to_bytes(8, "little") + got.tobytes() + parities(codes, at).tobytes())
+                    if len(thin):
+                        again, more, _ = signatures(codes, at, True)
+                        yield blob(-2, np.unique(more[np.isin(again, thin)]).tobytes())
+                else:
+                    found = np.minimum(np.searchsorted(only, sig), len(only) - 1)
+                    some = only[found] == sig
+                    row, sig = row[some], sig[some]
                 use = known[lo:hi][row]
                 out = np.empty(int(use.sum()), SIG)
                 out["sig"], out["node"] = sig[use], h1[row[use]]
@@ -223,14 +252,15 @@ def _meet(batches):
     """Profiles (kind 0; 2 without id) and who meets in the classes of each bucket.
 
     Kind 1: (meeting, node), each distinct group of nodes once for each bucket.
-    Kind 4: (node, first node) of a meeting too large to look at. Kind 3: a set
-    had too few classes.
+    Kind 4: (node, first node) of a meeting too large to look at. Kind 3: a
+    fine signature of a set with too few classes.
     """
     held = []
     for batch in batches:
         bucket = textkit.column(batch, "bucket").to_numpy()
-        if (bucket == -2).any():
-            yield _row(3, np.zeros(1, np.int64), np.zeros(1, np.int64))
+        for blob in textkit.column(batch.filter(pa.array(bucket == -2)), "payload").to_pylist():
+            rare = np.frombuffer(blob, np.int64)
+            yield _row(3, rare, rare)
         if (bucket == -1).any():
             for blob in textkit.column(batch.filter(pa.array(bucket == -1)), "payload").to_pylist():
                 count = int.from_bytes(blob[:8], "little")
@@ -268,9 +298,9 @@ def _meet(batches):
             yield _row(4, node[where], np.repeat(node[first], n))
 
 
-def neighbours(size: np.ndarray, parity: list[bytes]) -> Forest:
-    """Components of the sets that parities and sizes do not rule out as linked."""
-    forest = Forest(len(size))
+def neighbours(size: np.ndarray, parity: list[bytes]) -> np.ndarray:
+    """Component (its least member) of each set, by what parities and sizes do not rule out as linked. Sets already in one component are not compared."""
+    root = np.arange(len(size))
     order = np.argsort(size, kind="stable")
     places = places_of(size)
     for level in np.unique(places).tolist():
@@ -285,11 +315,14 @@ def neighbours(size: np.ndarray, parity: list[bytes]) -> Forest:
             if places[x] != level:
                 break
             end = int(np.searchsorted(ordered, ordered[i] * 5 // 4, "right"))
-            if end > i + 1:
-                differ = np.bitwise_count(rows[i + 1 : end] ^ rows[i]).sum(axis=1, dtype=np.int64)
-                for y in some[i + 1 : end][9 * differ <= ordered[i] + ordered[i + 1 : end]].tolist():
-                    forest.join(x, y)
-    return forest
+            open_ = np.flatnonzero(root[some[i + 1 : end]] != root[x]) + i + 1
+            if len(open_):
+                differ = np.bitwise_count(rows[open_] ^ rows[i]).sum(axis=1, dtype=np.int64)
+                near = np.unique(root[some[open_[9 * differ <= ordered[i] + ordered[open_]]]])
+                if len(near):
+                    merged = np.append(near, root[x])
+                    root[np.isin(root, merged)] = merged.min()
+    return root
 
 
 def _look(batches):
@@ -306,11 +339,11 @@ def _look(batches):
     cut = np.flatnonzero(np.diff(meeting[order])) + 1
     edges = []
     for group in np.split(order, cut):
-        up = neighbours(size[group], [parity[int(i)].as_py() for i in group])
+        root = neighbours(size[group], [parity[int(i)].as_py() for i in group])
         own = node[group]
-        edges.extend((own[i], own[r]) for i in range(len(group)) if (r := up.find(i)) != i)
-    edges = np.array(edges, np.int64).reshape(-1, 2)
-    edges = np.unique(edges, axis=0)
+        moved = np.flatnonzero(root != np.arange(len(group)))
+        edges.append(np.stack([own[moved], own[root[moved]]], 1))
+    edges = np.unique(np.concatenate(edges), axis=0)
     yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=EDGE_ARROW)
 
 
@@ -388,126 +421,236 @@ class Region:
         return np.array([self.forest.find(i) for i in range(len(self.sets))], np.int64)
 
 
-LAID = "region long, rep long, n long, home boolean, codes binary"
-LAID_ARROW = pa.schema([("region", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("home", pa.bool_()), ("codes", pa.binary())])
+LAID = "region long, node long, n long, codes binary"
+LAID_ARROW = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("codes", pa.binary())])
+_LONGS = pa.list_(pa.int64())
+LABELLED = LAID + ", pivot boolean, links array<long>, near array<long>, cells array<long>"
+LABELLED_ARROW = pa.schema([*LAID_ARROW, ("pivot", pa.bool_()), ("links", _LONGS), ("near", _LONGS), ("cells", _LONGS)])
 
 
 def _lay(batches):
-    """(region, rep, set) of the documents that stand for a class within a region."""
+    """(region, node, n, set) of the documents that stand for a class within a region."""
     for batch in batches:
-        ids, region, n, h2 = (textkit.column(batch, c).to_numpy() for c in ("rep", "region", "n", "h2"))
+        region, node, n, h2 = (textkit.column(batch, c).to_numpy() for c in ("region", "node", "n", "h2"))
         for lo, hi, body, offsets in textkit.text_slices(batch):
             codes, at = shingle_sets(body, offsets)
-            mine = set_hashes(codes, at)[1]
-            rows = [i for i in range(hi - lo) if mine[i] == h2[lo + i]]  # a doc_id may stand for several texts
-            cols = [pa.array(region[lo:hi][rows]), pa.array(ids[lo:hi][rows]), pa.array(n[lo:hi][rows]), pa.array([True] * len(rows)), pa.array([codes[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, schema=LAID_ARROW)
+            first, second = set_hashes(codes, at)
+            rows = np.flatnonzero((first == node[lo:hi]) & (second == h2[lo:hi]))  # a doc_id may stand for several texts
+            cols = [pa.array(c[lo:hi][rows]) for c in (region, node, n)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([codes[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())], schema=LAID_ARROW)
+
+
+def _sets(batches, *keys: str) -> dict[int, dict]:
+    """What a task's rows hold, by the first key: a dict from the other columns to the set."""
+    out: dict[int, dict] = {}
+    for batch in batches:
+        columns = [textkit.column(batch, c).to_pylist() for c in (*keys, "codes")]
+        for first, *rest, codes in zip(*columns, strict=True):
+            out.setdefault(first, {})[tuple(rest)] = codes
+    return out
 
 
 def _join(batches):
-    """(rep, least rep linked with it within the region)."""
-    regions: dict[int, dict[int, bytes]] = {}
+    """(node, least node linked with it within the region)."""
+    for members in _sets(batches, "region", "node").values():
+        nodes = np.array(sorted(n for (n,) in members), np.int64)
+        roots = Region([np.frombuffer(members[n,], _U) for n in nodes.tolist()]).roots()
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], schema=EDGE_ARROW)
+
+
+def linked(common, size, other) -> bool:
+    return 100 * common >= 80 * (size + other - common)
+
+
+class Pivots:
+    """The pivots of one region, and the groups that linked ones make; a group is named by its least node."""
+
+    def __init__(self, members: list[tuple[int, bytes]]):
+        members = sorted(members)
+        sets, forest = [np.frombuffer(c, _U) for _, c in members], Forest(len(members))
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if linked(len(np.intersect1d(x, sets[j], assume_unique=True)), len(x), len(sets[j])):
+                    forest.join(i, j)
+        laid = np.concatenate([np.zeros(0, _U), *sets])
+        order = np.argsort(laid, kind="stable")
+        self.nodes = {n for n, _ in members}
+        self.group = np.array([members[forest.find(i)][0] for i in range(len(members))], np.int64)
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.laid, self.owner = laid[order], np.repeat(np.arange(len(sets)), self.size)[order]
+
+    def label(self, mine: np.ndarray) -> tuple[list, list, list]:
+        """(groups linked, other groups within 2 eps, groups of its Voronoi cells if it is linked to none) of a set."""
+        n = len(mine)
+        if not len(self.size):
+            return [], [], [0]
+        lo, hi = np.searchsorted(self.laid, mine), np.searchsorted(self.laid, mine, "right")
+        count = hi - lo
+        hit = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = np.bincount(self.owner[hit], minlength=len(self.size))
+        far = 1 - common / (n + self.size - common)
+        links = np.unique(self.group[linked(common, n, self.size)])
+        near = np.setdiff1d(self.group[far <= 2 * EPS + 1e-9], links)
+        cells = links[:0] if len(links) else np.unique(self.group[far <= far.min() + 2 * EPS + 1e-9])
+        return links.tolist(), near.tolist(), cells.tolist()
+
+
+def _label(batches):
+    """Each set measured against the pivots of its region, which come before it in the order of the rows."""
+    at, members, own = None, [], None
     for batch in batches:
-        for region, rep, codes in zip(*(textkit.column(batch, c).to_pylist() for c in ("region", "rep", "codes")), strict=True):
-            regions.setdefault(region, {})[rep] = codes
-    schema = EDGE_ARROW
-    for members in regions.values():
-        reps = sorted(members)
-        roots = Region([np.frombuffer(members[r], _U) for r in reps]).roots()
-        reps = np.array(reps, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(reps[roots])], schema=schema)
-
-
-def _split_large(laid: DataFrame, limit: int, rounds: int) -> tuple[DataFrame, bool]:
-    """Split regions above the limit by pivots drawn from themselves; every level is one pass over the large regions' sets."""
-    whole = True
-    for level in range(rounds):
-        sizes = laid.groupBy("region").agg(F.sum("n").alias("total"), F.count("*").alias("members")).where(F.col("total") > limit)
-        sizes = session.materialize(sizes)
-        if not sizes.limit(1).count():
-            break
-        whole = False
-        # about twice as many pivots as tasks' worth of shingles, by a hash of the rep
-        want = F.least(F.ceil(F.col("total") * 2 / limit) + 1, F.lit(64))
-        large = laid.join(sizes, "region")
-        chosen = large.where(F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < want / F.col("members"))
-        pivots = chosen.groupBy("region").agg(F.collect_list("codes").alias("pivots"))
-        dealt = large.select(*LAID_ARROW.names).join(pivots, "region", "left").mapInArrow(_deal(level), LAID)
-        rest = laid.join(sizes.select("region"), "region", "left_anti")
-        laid = session.materialize(rest.unionByName(dealt))
-    return laid, whole
-
-
-def _deal(level: int):
-    def run(batches):
-        for batch in batches:
-            columns = [textkit.column(batch, c).to_pylist() for c in LAID_ARROW.names]
-            pivots = textkit.column(batch, "pivots")
-            out = []
-            for i, (region, rep, n, home, codes) in enumerate(zip(*columns, strict=True)):
-                own = pivots[i].as_py()
-                if not own:
-                    out.append((region, rep, n, home, codes))
-                    continue
+        columns = [textkit.column(batch, c).to_pylist() for c in ("region", "part", "kind", "node", "n", "codes")]
+        out = []
+        for region, part, kind, node, n, codes in zip(*columns, strict=True):
+            if at != (region, part):
+                at, members, own = (region, part), [], None
+            if kind == 0:
+                members.append((node, codes))
+                continue
+            own = own or Pivots(members)
+            out.append((region, node, n, codes, node in own.nodes, *own.label(np.frombuffer(codes, _U))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(LABELLED_ARROW.types)], schema=LABELLED_ARROW)
+
+
+def _visit(batches):
+    """(visitor, home set linked with it), one at most for each visitor and block: the home sets of a block are in one component."""
+    for members in _sets(batches, "region", "home", "node").values():
+        homes = [(n, np.frombuffer(c, _U)) for (home, n), c in members.items() if home]
+        if not homes:
+            continue
+        laid, size = np.concatenate([c for _, c in homes]), np.array([len(c) for _, c in homes])
+        offsets, edges = np.concatenate([[0], np.cumsum(size)]), []
+        for (home, node), codes in members.items():
+            if not home:
                 mine = np.frombuffer(codes, _U)
-                near = []
-                for p in sorted(own):
-                    p = np.frombuffer(p, _U)
-                    common = len(np.intersect1d(mine, p, assume_unique=True))
-                    near.append(1 - common / (len(mine) + len(p) - common))
-                least = min(near)
-                for j, d in enumerate(near):
-                    if d <= least + 2 * EPS + 1e-9:
-                        key = textkit.mix(np.array([region], np.int64).view(_U) + _U(j + 1 + 1000 * level)).view(np.int64)[0]
-                        out.append((int(key), rep, n, home and d == least, codes))
-            cols = [pa.array([r[c] for r in out], t) for c, t in enumerate(LAID_ARROW.types)]
-            yield pa.RecordBatch.from_arrays(cols, schema=LAID_ARROW)
+                hit = np.flatnonzero(linked(overlaps(mine, laid, offsets), len(mine), size))
+                if len(hit):
+                    edges.append((node, homes[hit[0]][0]))
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], schema=EDGE_ARROW)
+
+
+def _large(laid: DataFrame, limit: int, members: int) -> DataFrame:
+    return laid.groupBy("region").agg(F.sum("n").alias("total"), F.count("*").alias("members")).where((F.col("total") > limit) | (F.col("members") > members))
+
+
+def _blocks(total, limit: int):
+    return F.greatest(F.ceil(total / F.lit(limit)), F.lit(1).cast("long"))
+
+
+def _block(of, salt: int):
+    return F.pmod(F.xxhash64("node", F.lit(salt)), of)
 
-    return run
+
+def _visits(labelled: DataFrame, limit: int) -> DataFrame:
+    """Edges between sets that left with a group and the sets that may be linked to one of them. Both sides are cut into blocks of about `limit` shingles."""
+    homes = labelled.where((F.size("links") > 0) & ~F.col("pivot")).select(F.array_min("links").alias("group"), "node", "n", "codes")
+    guests = labelled.where(F.size("near") > 0).select(F.explode("near").alias("group"), "node", "n", "codes")
+    a = homes.groupBy("group").agg(_blocks(F.sum("n"), limit).alias("a"))
+    b = guests.groupBy("group").agg(_blocks(F.sum("n"), limit).alias("b"))
+    sizes = session.materialize(a.join(b, "group"))
+    sizes = session.maybe_broadcast(sizes, F.lit(32))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = homes.join(sizes, "group").withColumns({"i": _block(F.col("a"), 1)}).withColumn("j", every("b")).withColumn("home", F.lit(True))
+    right = guests.join(sizes, "group").withColumns({"j": _block(F.col("b"), 2)}).withColumn("i", every("a")).withColumn("home", F.lit(False))
+    both = left.unionByName(right).select(F.xxhash64("group", "i", "j").alias("region"), "home", "node", "codes")
+    return both.repartition("region").mapInArrow(_visit, "a long, b long")
+
+
+def _split_large(laid: DataFrame, limit: int, members: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
+    """(sets of regions that one task can join, edges found on the way or None). Every round is one pass over the large regions' sets."""
+    edges = None
+    for level in range(rounds):
+        sizes = session.materialize(_large(laid, limit, members))
+        if not sizes.limit(1).count():
+            return laid, edges
+        # a region is measured in parts, each with a copy of its pivots: few enough to be a small share of a part
+        few = F.greatest(F.least(F.lit(float(PIVOTS)), F.lit(limit / 4.0) * F.col("members") / F.col("total")), F.lit(1.0))
+        sizes = sizes.withColumns({"parts": F.greatest(_blocks(F.col("members"), members), _blocks(F.col("total"), limit)), "share": few / F.col("members")})
+        sizes = session.maybe_broadcast(sizes, F.lit(48))
+        large = laid.join(sizes, "region").withColumns({"part": _block(F.col("parts"), 5), "kind": F.lit(1)})
+        chance = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        pivots = large.where(chance < F.col("share")).withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "kind": F.lit(0)})
+        columns = ["region", "part", "kind", "node", "n", "codes"]
+        sent = large.select(*columns).unionByName(pivots.select(*columns)).repartition("region", "part").sortWithinPartitions("region", "part", "kind")
+        labelled = session.materialize(sent.mapInArrow(_label, LABELLED))
+        found = labelled.select(F.col("node").alias("a"), F.explode("links").alias("b")).where("a <> b").unionByName(_visits(labelled, limit))
+        edges = found if edges is None else edges.unionByName(found)
+        # what no group holds goes on, by Voronoi cells where their windows copy little
+        rest = labelled.where(F.size("links") == 0)
+        copies = rest.groupBy("region").agg((F.sum(F.size("cells")) <= SPREAD * F.count("*")).alias("apart"))
+        rest = rest.join(session.maybe_broadcast(session.materialize(copies), F.lit(16)), "region")
+        cell = F.explode(F.when(F.col("apart"), F.col("cells")).otherwise(F.array(F.lit(0).cast("long"))))
+        rest = rest.select("region", "node", "n", "codes", cell.alias("cell")).select(F.xxhash64("region", "cell", F.lit(level)).alias("region"), "node", "n", "codes")
+        laid = session.materialize(laid.join(sizes.select("region"), "region", "left_anti").unionByName(rest))
+    return _grid(laid, limit, members), edges
+
+
+def _grid(laid: DataFrame, limit: int, members: int) -> DataFrame:
+    """laid with regions above the limit as pairs of blocks, each pair a region of its own."""
+    sizes = _large(laid, limit, members).select("region", F.greatest(_blocks(2 * F.col("total"), limit), _blocks(2 * F.col("members"), members)).alias("blocks"))
+    sizes = session.maybe_broadcast(session.materialize(sizes), F.lit(32))
+    own = laid.join(sizes, "region").withColumn("i", _block(F.col("blocks"), 3)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = own.select(F.xxhash64("region", F.least("i", "j"), F.greatest("i", "j")).alias("region"), "node", "n", "codes")
+    return laid.join(sizes.select("region"), "region", "left_anti").unionByName(pairs)
 
 
 OUT = ("doc_id", "n_shingles", "component_id")
 
 
-def near_duplicates(docs: DataFrame, region: int = REGION, fine: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, region: int = REGION, members: int = MEMBERS, percent: tuple[int, int] = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row.
 
     A null or wordless text has no shingles and is linked with nothing, so its
     component is itself. A row without doc_id is linked with nothing and has no
-    component. Repeated rows of one doc_id share its component. With fewer than
-    five words the whole sequence is the one shingle. Other columns are ignored;
-    an empty table gives an empty result.
+    component. Repeated rows of one doc_id share its component; rows that share a
+    doc_id but not a text are joined each by its own text. With fewer than five
+    words the whole sequence is the one shingle. Very long texts are whole sets
+    like others; one is held by a task at a time. Equal distances change nothing:
+    every link counts. Other columns are ignored; an empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     session.ship(spark)
     count = session.buckets(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = texts.mapInArrow(_emit(count, fine), BLOB).withColumn("deal", F.when(F.col("bucket") < 0, F.xxhash64("payload")).otherwise(F.col("bucket")))
-    met = session.materialize(sent.repartition("deal").select("bucket", "payload").mapInArrow(_meet, MET))
-    if not fine and met.where("kind = 3").limit(1).count():
-        return near_duplicates(docs, region, True)
+
+    def meet(emit) -> DataFrame:
+        sent = texts.mapInArrow(emit, BLOB).withColumn("deal", F.when(F.col("bucket") < 0, F.xxhash64("payload")).otherwise(F.col("bucket")))
+        return session.materialize(sent.repartition("deal").select("bucket", "payload").mapInArrow(_meet, MET))
+
+    met = meet(_emit(count, False, percent))
+    meeting = met
+    rare = met.where("kind = 3").select("a").distinct()
+    if n := rare.count():
+        # sets that fill too few classes are met by single shingles; all other signatures stay unsent
+        only = np.sort(np.array([r["a"] for r in rare.collect()], np.int64).view(_U)) if n <= RARE else None
+        meeting = met.unionByName(meet(_emit(count, True, percent, only)))
     profile = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("h1"), "n", "h2", "parity")
     nobody = met.where("kind = 2").select(F.lit(None).cast("long").alias("doc_id"), "n", F.lit(None).cast("long").alias("component_id"))
-    classes = profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity"))
-    meetings = met.where("kind = 1").select(F.col("a").alias("meeting"), F.col("b").alias("node")).distinct()
+    classes = profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("parity").alias("parity"))
+    meetings = meeting.where("kind = 1").select(F.col("a").alias("meeting"), F.col("b").alias("node")).distinct()
     looked = meetings.join(classes.select(F.col("h1").alias("node"), "n", "parity"), "node").repartition("meeting").select("meeting", "node", "n", "parity").mapInArrow(_look, "a long, b long")
-    first = components.components(looked.unionByName(met.where("kind = 4").select("a", "b")))
-    members = session.materialize(classes.join(first.select(F.col("node").alias("h1"), F.col("root").alias("region")), "h1").select("rep", "region", "n", "h2"))
-    asked = session.maybe_broadcast(members, F.lit(48))
-    laid = texts.join(asked, texts["doc_id"] == asked["rep"]).select("rep", "region", "n", "h2", "text").mapInArrow(_lay, LAID)
-    if members.groupBy("region").agg(F.sum("n").alias("total")).where(F.col("total") > region).limit(1).count():
-        laid, whole = _split_large(session.materialize(laid), region, ROUNDS)
-    else:
-        whole = True
+    first = components.components(looked.unionByName(meeting.where("kind = 4").select("a", "b")))
+    asked = session.materialize(classes.join(first.select(F.col("node").alias("h1"), F.col("root").alias("region")), "h1").select("rep", F.col("h1").alias("node"), "region", "n", "h2"))
+    large = _large(asked, region, members).limit(1).count() > 0
+    asked = session.maybe_broadcast(asked, F.lit(56))
+    laid, edges = texts.join(asked, texts["doc_id"] == asked["rep"]).select("node", "region", "n", "h2", "text").mapInArrow(_lay, LAID), None
+    if large:
+        laid, edges = _split_large(session.materialize(laid.distinct()), region, members)
     links = laid.repartition("region").mapInArrow(_join, "a long, b long")
-    if whole:
-        joined = links.select(F.col("a").alias("rep"), F.col("b").alias("component"))
-    else:
-        joined = components.components(links).select(F.col("node").alias("rep"), F.col("root").alias("component"))
-    linked = classes.drop("parity").join(joined, "rep", "left").select("h1", "h2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component_id"))
-    whole_rows = profile.drop("parity").join(linked, (profile["h1"] == linked["h1"]) & (profile["h2"] == linked["h2"]) & (profile["n"] == linked["size"]), "left")
-    found = whole_rows.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return found.unionByName(nobody).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    joined = components.components(links.unionByName(edges)) if edges is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    joined = joined.select(F.col("node").alias("h1"), "root")
+    # only classes of several rows or of a component with others say more of a row than its own id
+    named = classes.drop("parity").join(joined, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component"))
+    told = named.join(least, "root").where("component <> last or rep <> last").select("h1", "h2", F.col("n").alias("size"), "component")
+    told = session.maybe_broadcast(session.materialize(told), F.lit(48))
+    some = profile.drop("parity").where("n > 0")
+    whole_rows = some.join(told, (some["h1"] == told["h1"]) & (some["h2"] == told["h2"]) & (some["n"] == told["size"]), "left")
+    found = whole_rows.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    blank = profile.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return found.unionByName(blank).unionByName(nobody).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
