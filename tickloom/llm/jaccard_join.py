@@ -542,12 +542,19 @@ def _block(of, salt: int):
     return F.pmod(F.xxhash64("node", F.lit(salt)), of)
 
 
-def _visits(labelled: DataFrame, limit: int) -> DataFrame:
-    """Edges between sets that left with a group and the sets that may be linked to one of them. Both sides are cut into blocks of about `limit` shingles."""
-    homes = labelled.where((F.size("links") > 0) & ~F.col("pivot")).select(F.array_min("links").alias("group"), "node", "n", "codes")
-    guests = labelled.where(F.size("near") > 0).select(F.explode("near").alias("group"), "node", "n", "codes")
-    a = homes.groupBy("group").agg(_blocks(F.sum("n"), limit).alias("a"))
-    b = guests.groupBy("group").agg(_blocks(F.sum("n"), limit).alias("b"))
+def _visits(labelled: DataFrame, limit: int, members: int) -> DataFrame:
+    """Edges between sets that left with a group and the sets that may be linked to one of them. Both sides are cut into blocks of about `limit` shingles and `members` sets. Groups that a set links are one."""
+    both = labelled.where(F.size("links") > 1).select(F.array_min("links").alias("a"), F.explode("links").alias("b"))
+    roots = session.maybe_broadcast(components.components(both), F.lit(32))
+
+    def merged(df: DataFrame, group: str) -> DataFrame:
+        return df.join(roots.select(F.col("node").alias(group), "root"), group, "left").withColumn(group, F.coalesce("root", group)).drop("root")
+
+    homes = merged(labelled.where((F.size("links") > 0) & ~F.col("pivot")).select(F.array_min("links").alias("group"), "node", "n", "codes"), "group")
+    guests = merged(labelled.where(F.size("near") > 0).select(F.array_min("links").alias("own"), F.explode("near").alias("group"), "node", "n", "codes"), "group")
+    guests = merged(guests, "own").where("own is null or own <> group").select("group", "node", "n", "codes").distinct()
+    blocks = F.greatest(_blocks(F.sum("n"), limit), _blocks(F.count("*"), members))
+    a, b = homes.groupBy("group").agg(blocks.alias("a")), guests.groupBy("group").agg(blocks.alias("b"))
     sizes = session.materialize(a.join(b, "group"))
     sizes = session.maybe_broadcast(sizes, F.lit(32))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
@@ -574,7 +581,7 @@ def _split_large(laid: DataFrame, limit: int, members: int, rounds: int = ROUNDS
         columns = ["region", "part", "kind", "node", "n", "codes"]
         sent = large.select(*columns).unionByName(pivots.select(*columns)).repartition("region", "part").sortWithinPartitions("region", "part", "kind")
         labelled = session.materialize(sent.mapInArrow(_label, LABELLED))
-        found = labelled.select(F.col("node").alias("a"), F.explode("links").alias("b")).where("a <> b").unionByName(_visits(labelled, limit))
+        found = labelled.select(F.col("node").alias("a"), F.explode("links").alias("b")).where("a <> b").unionByName(_visits(labelled, limit, members))
         edges = found if edges is None else edges.unionByName(found)
         # what no group holds goes on, by Voronoi cells where their windows copy little
         rest = labelled.where(F.size("links") == 0)
