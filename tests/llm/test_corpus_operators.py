@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import automaton_dedup, components, crf, decontaminate, html_text, jaccard_join, language_id, mpeg_audio, packing, secrets, sharding, suffix_dedup
+from tickloom.llm import automaton_dedup, components, crf, decontaminate, html_text, jaccard_join, language_id, mpeg_audio, packing, repeats, secrets, sharding, suffix_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kind string, spans string, n int"
@@ -91,20 +91,51 @@ def test_large_groups_agree_with_pairs():
     r = random.Random(5)
     plan = suffix_dedup.PLAN
     anchor, far = bytes(range(32)), plan.window - plan.gram
-    held = sorted((7, d, far, far, bytes(r.choice(b"ab") for _ in range(3)) + b"x" * (far - 3) + anchor + b"y" * (far - 2 - d % 3) + bytes(r.choice(b"ab") for _ in range(2 + d % 3))) for d in range(30))
-    got = {x[1]: (lo, hi) for x, lo, hi in suffix_dedup.resolve(held, plan)}
+    group = sorted(repeats.Context(7, d // 2, d % 2, far, far, bytes(r.choice(b"ab") for _ in range(3)) + b"x" * (far - 3) + anchor + b"y" * (far - 2 - d % 3) + bytes(r.choice(b"ab") for _ in range(2 + d % 3))) for d in range(30))
+    got = {(x.doc, x.tag): (lo, hi) for x, lo, hi in suffix_dedup.resolve(group, plan)}
     want = {}
-    for j, y in enumerate(held):
+    for j, y in enumerate(group):
         ends = []
-        for x in held[:j]:
-            left, right = suffix_dedup.lcp(x[4][:far][::-1], y[4][:far][::-1]), suffix_dedup.lcp(x[4][far:], y[4][far:])
-            if left + right >= plan.window:
+        for x in group[:j]:
+            left, right = suffix_dedup.lcp(x.units[:far][::-1], y.units[:far][::-1]), suffix_dedup.lcp(x.units[far:], y.units[far:])
+            if left + right >= plan.window and x.doc != y.doc:
                 ends.append((far - left, far + right))
         if ends:
-            want[y[1]] = (min(a for a, _ in ends), max(b for _, b in ends))
+            want[y.doc, y.tag] = (min(a for a, _ in ends), max(b for _, b in ends))
     assert got == want and want
 
 
+@pytest.mark.parametrize("operator, units, window", [(suffix_dedup, lambda t: t.encode(), 100), (automaton_dedup, lambda t: WORD.findall(t), 20)])
+def test_dedup_of_ids_that_stand_for_several_texts(spark, operator, units, window):
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{r.randrange(10_000)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, c + " " + c), (4, b[10:] + " tail"), (5, None), (5, "")]
+    dedup = operator.dedup_substrings if operator is suffix_dedup else operator.dedup_windows
+    got = Counter((x.doc_id, x[1], x.n_removed) for x in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = {t: len(units(t)) for t in (a, b, c, c + " " + c, b[10:] + " tail")}
+    # the second half of the doubled text starts later in the same document; b stands in a smaller doc_id than its rest
+    twice = sum(repeated({0: units(c + " " + c)}, window)[0])
+    tail = sum(repeated({0: units(b), 1: units(b[10:] + " tail")}, window)[1])
+    assert twice and tail
+    assert got == Counter([(1, n[a], 0), (2, n[a], n[a]), (2, n[b], 0), (2, n[b], 0), (3, n[c], 0), (3, n[c + " " + c], twice), (4, n[b[10:] + " tail"], tail), (5, 0, 0), (5, 0, 0)])
+
+
+@pytest.mark.parametrize("operator, units, window", [(suffix_dedup, lambda t: t.encode(), 100), (automaton_dedup, lambda t: WORD.findall(t), 20)])
+@pytest.mark.parametrize("hot, hot_task", [(20, 1000), (1000, 3)])
+def test_anchors_with_many_contexts_meet_by_windows(spark, operator, units, window, hot, hot_task):
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(400)}"
+    line = " ".join(word() for _ in range(26))
+    rows = [(i, " ".join([*(word() for _ in range(r.randrange(9))), line, *(word() for _ in range(r.randrange(9)))])) for i in range(400)]
+    rows += [(500, " ".join([line] * 6)), (500, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = repeats.spans(df, operator.PLAN, operator.resolve, hot, hot_task)
+    got = {(x.doc_id, x.n_removed) for x in repeats.cut(df, found, operator._cut(False), operator.OUT).collect()}
+    gone = repeated({i: units(t) for i, t in rows[:-1]}, window)
+    assert got == {(i, sum(g)) for i, g in gone.items()} | {(500, len(units(line)))}
+
+
 def test_automaton_dedup(spark, docs):
     units = {d: WORD.findall(t) for d, t in texts_of(docs).items()}
     gone = repeated(units, 20)

@@ -12,6 +12,7 @@ grow with the corpus.
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -104,25 +105,29 @@ def maximal_spans(statistics: list[int], least: int) -> list[tuple[int, int]]:
     return out
 
 
-def resolve(held, plan):
-    """Stream each anchor's contexts, earliest first, through the automaton of those before."""
-    i = 0
-    while i < len(held):
-        j = i + 1
-        while j < len(held) and held[j][0] == held[i][0]:
-            j += 1
-        if j - i > 1:
-            automaton = SuffixAutomaton()
-            for x in held[i:j]:
-                # a symbol is a word at its distance from the anchor, so that overlapping contexts of one document do not match themselves
-                words = np.frombuffer(x[4], np.uint64)
-                words = (words + (np.arange(len(words)) - x[3]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
-                if x is not held[i]:
-                    for lo, hi in maximal_spans(automaton.matching(words), plan.window):
+def _symbols(x: repeats.Context) -> list[int]:
+    """A word at its distance from the anchor, so that overlapping contexts of one document do not match themselves."""
+    words = np.frombuffer(x.units, np.uint64)
+    return (words + (np.arange(len(words)) - x.left).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+
+
+def resolve(group, plan):
+    """Stream one anchor's contexts, earliest first, through the automaton of earlier doc_ids and that of their own document."""
+    before = SuffixAutomaton()
+    for _, same in groupby(group, key=lambda x: x.doc):
+        read = []
+        for _, own in groupby(same, key=lambda x: x.tag):
+            within = None
+            for x in own:
+                words = _symbols(x)
+                for automaton in (before, within):
+                    for lo, hi in maximal_spans(automaton.matching(words), plan.window) if automaton else ():
                         yield x, lo, hi
-                if x is not held[j - 1]:
-                    automaton.add(words)
-        i = j
+                within = within or SuffixAutomaton()
+                within.add(words)
+                read.append(words)
+        for words in read:
+            before.add(words)
 
 
 PLAN = repeats.Plan(WINDOW, GRAM, repeats.word_units)
@@ -167,8 +172,10 @@ def dedup_windows(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Nulls: a null text has no words; a row without doc_id is kept whole and
     counts for nobody. Documents below 20 words never lose anything. Exact
     copies lose all but the one with the smallest doc_id. Repeated rows of one
-    doc_id are one document. An empty table gives an empty result; other
-    columns are ignored.
+    doc_id and text are one document; of two texts under one doc_id neither
+    comes before the other, so ties take nothing from either. Very long texts
+    are read whole, one at a time. An empty table gives an empty result; other
+    columns, whatever their names, are ignored.
     """
     found = repeats.spans(docs, PLAN, resolve)
     return repeats.cut(docs, found, _cut(with_text), OUT_KEPT if with_text else OUT)

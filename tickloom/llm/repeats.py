@@ -13,18 +13,23 @@ place. Three passes follow.
    occurrence of each of their contexts is fetched with its units and handed to
    a resolver, which orders the contexts and says what each shares with earlier
    ones. The resolvers are the methods of the two operators.
+   An anchor with more than HOT contexts (a line that stands in very many
+   documents) is not handed to one resolver: each window that holds it is hashed
+   and meets its equals by that hash, so no task holds the anchor.
 3. Intervals meet by document, merge, and cut the text.
 
-An earlier occurrence has a smaller doc_id, or the same doc_id and an earlier
-start. Rows without a doc_id are never compared and keep all their text; null
-texts are empty. Rows that share a doc_id are one document read again: neither
-starts earlier than the other.
+An earlier occurrence has a smaller doc_id, or stands in the same document with
+an earlier start. A document is a doc_id with a text: rows that share both are
+one document read again, rows that share a doc_id only are documents of which
+neither comes before the other. Rows without a doc_id are never compared and
+keep all their text; null texts are empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +39,20 @@ from pyspark.sql import functions as F
 from . import session, textkit
 
 _U = np.uint64
-RECORD = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
-CONTEXT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("left", "<i4"), ("size", "<i4")])
+RECORD = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("pos", "<i4")])
+CONTEXT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("pos", "<i4"), ("left", "<i4"), ("size", "<i4")])
 SEGMENT = 1 << 20
+#: Contexts of one anchor that one resolver takes, and that one task sends to the anchor's bucket.
+HOT = 2000
+HOT_TASK = 256
 #: Records of a task that are held before they are sent.
 HELD = 400_000
 
 BLOB = "bucket int, payload binary"
 BLOB_ARROW = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
-FOUND = "doc_id long, lo int, hi int, open boolean"
-FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("open", pa.bool_())])
+#: kind 0: an interval; 1: an anchor for a resolver, at lo; 2: an anchor whose windows are to be hashed.
+FOUND = "doc_id long, tag int, lo int, hi int, kind int"
+FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("kind", pa.int32())])
 
 
 @dataclass(frozen=True)
@@ -123,20 +132,15 @@ def context_hashes(codes, lo, hi, left) -> np.ndarray:
     return out
 
 
-def _known(batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids = textkit.column(batch, "doc_id")
-    return batch.filter(ids.is_valid()) if ids.null_count else batch
-
-
 def _records(batches: Iterable[pa.RecordBatch], plan: Plan) -> Iterator[np.ndarray]:
     held, size = [], 0
-    for batch in map(_known, batches):
-        ids = textkit.column(batch, "doc_id").to_numpy()
+    for batch in batches:
+        ids, tags = (textkit.column(batch, c).to_numpy() for c in ("doc_id", "tag"))
         for lo, hi, body, offsets in textkit.text_slices(batch):
             codes, at = plan.units(body, offsets)
             row, pos, key = anchors(codes, at, plan)
             got = np.empty(len(row), RECORD)
-            got["key"], got["doc"], got["pos"] = key, ids[lo:hi][row], pos
+            got["key"], got["doc"], got["tag"], got["pos"] = key, ids[lo:hi][row], tags[lo:hi][row], pos
             got["ctx"] = context_hashes(codes, *reach(codes, at, row, pos, plan))
             held.append(got)
             size += len(got)
@@ -147,69 +151,164 @@ def _records(batches: Iterable[pa.RecordBatch], plan: Plan) -> Iterator[np.ndarr
         yield np.concatenate(held)
 
 
-def _by_context(got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted records, index of the first record of each one's context)."""
-    got = got[np.lexsort((got["pos"], got["doc"], got["ctx"], got["key"]))]
+def _changes(got: np.ndarray, *names: str) -> np.ndarray:
     new = np.ones(len(got), bool)
-    new[1:] = (got["key"][1:] != got["key"][:-1]) | (got["ctx"][1:] != got["ctx"][:-1])
-    return got, np.maximum.accumulate(np.where(new, np.arange(len(got)), 0))
+    new[1:] = False
+    for c in names:
+        new[1:] |= got[c][1:] != got[c][:-1]
+    return new
+
 
+def _leading(new: np.ndarray) -> np.ndarray:
+    """Index of the last True up to each place."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
-def _again(got: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return (got["doc"] != got["doc"][first]) | (got["pos"] != got["pos"][first])
+
+def _by_context(got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct records by context, document and place; whether each one's context starts earlier: in a smaller doc_id, or in the same document)."""
+    got = got[np.lexsort((got["pos"], got["tag"], got["doc"], got["ctx"], got["key"]))]
+    got = got[_changes(got, "key", "ctx", "doc", "tag", "pos")]
+    context, document = _changes(got, "key", "ctx"), _changes(got, "key", "ctx", "doc", "tag")
+    return got, (got["doc"] != got["doc"][_leading(context)]) | ~document
 
 
 def _mark(records: np.ndarray, bucket_count: int) -> np.ndarray:
     return (textkit.mix(records["key"]) % _U(bucket_count)).astype(np.int64)
 
 
-def _emit(plan: Plan, bucket_count: int):
-    """Pass 1: records by bucket. What already repeats within the task is sent under bucket -1, as found intervals."""
+def _contexts_of_key(got: np.ndarray) -> np.ndarray:
+    """How many contexts each record's key has among records sorted by key and context."""
+    if not len(got):
+        return np.zeros(0, np.int64)
+    group = np.cumsum(_changes(got, "key")) - 1
+    return np.bincount(group, _changes(got, "key", "ctx"))[group].astype(np.int64)
+
+
+def _emit(plan: Plan, bucket_count: int, hot_task: int):
+    """Pass 1: records by bucket. What already repeats within the task is sent under bucket -1, as found intervals.
+
+    An anchor with many contexts in one task is dealt by context, to buckets
+    from bucket_count on, and its own bucket is told by a record at place -1.
+    """
 
     def run(batches):
         for got in _records(batches, plan):
-            got, first = _by_context(got)
-            again = _again(got, first)
+            got, again = _by_context(got)
             if again.any():
-                done = got[again]
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([done.tobytes()], pa.binary())], schema=BLOB_ARROW)
-            keep = ~again & (np.arange(len(got)) == first)
-            yield textkit.packed(got[keep], _mark(got[keep], bucket_count), bucket_count, BLOB_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([got[again].tobytes()], pa.binary())], schema=BLOB_ARROW)
+            got = got[~again]
+            bucket = _mark(got, bucket_count)
+            hot = _contexts_of_key(got) > hot_task
+            if hot.any():
+                told = got[hot][_changes(got[hot], "key")].copy()
+                told["pos"] = -1
+                bucket[hot] = bucket_count + (textkit.mix(got["key"][hot] + textkit.mix(got["ctx"][hot])) % _U(bucket_count)).astype(np.int64)
+                got, bucket = np.concatenate([got, told]), np.concatenate([bucket, _mark(told, bucket_count)])
+            yield textkit.packed(got, bucket, 2 * bucket_count, BLOB_ARROW)
 
     return run
 
 
-def _found(records: np.ndarray, plan: Plan, open_: bool) -> pa.RecordBatch:
+def _found(records: np.ndarray, lo, hi, kind) -> pa.RecordBatch:
+    cols = [pa.array(np.ascontiguousarray(records["doc"])), pa.array(np.ascontiguousarray(records["tag"])), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(np.broadcast_to(kind, len(records)).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, schema=FOUND_ARROW)
+
+
+def _reached(records: np.ndarray, plan: Plan) -> pa.RecordBatch:
     """A record's whole reach as an interval; the row's end is applied when the text is cut."""
-    n = len(records)
-    lo = np.maximum(records["pos"] - plan.reach, 0).astype(np.int32)
-    hi = (records["pos"] + plan.window).astype(np.int32)
-    if open_:
-        lo = hi = records["pos"].astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(records["doc"].astype(np.int64)), pa.array(lo), pa.array(hi), pa.array(np.full(n, open_))], schema=FOUND_ARROW)
+    return _found(records, np.maximum(records["pos"] - plan.reach, 0), records["pos"] + plan.window, 0)
+
+
+def _decide(plan: Plan, bucket_count: int, hot: int):
+    def run(batches):
+        held, salted = [], []
+        for batch in batches:
+            bucket = textkit.column(batch, "bucket").to_numpy()
+            if (bucket == -1).any():
+                yield _reached(textkit.unpacked([batch.filter(pa.array(bucket == -1))], RECORD), plan)
+            for part, into in (((bucket >= 0) & (bucket < bucket_count), held), (bucket >= bucket_count, salted)):
+                if part.any():
+                    into.append(textkit.unpacked([batch.filter(pa.array(part))], RECORD))
+        if held:
+            got = np.concatenate(held)
+            told = np.unique(got["key"][got["pos"] < 0])
+            got, again = _by_context(got[got["pos"] >= 0])
+            yield _reached(got[again], plan)
+            got = got[~again]
+            many = _contexts_of_key(got)
+            kind = np.where((many > hot) | np.isin(got["key"], told), 2, 1)
+            some = (many > 1) | (kind == 2)
+            yield _found(got[some], got["pos"][some], got["pos"][some], kind[some])
+        if salted:
+            got, again = _by_context(np.concatenate(salted))
+            yield _reached(got[again], plan)
+            yield _found(got[~again], got["pos"][~again], got["pos"][~again], 2)
+
+    return run
+
+
+def _asked(batches, plan: Plan):
+    """(body, codes, offsets of rows, row, anchor's place within the row, doc ids, tags) of each slice with asked-for anchors."""
+    for batch in batches:
+        ids, tags = (textkit.column(batch, c).to_numpy() for c in ("doc_id", "tag"))
+        asked = textkit.column(batch, "asked")
+        for lo, hi, body, offsets in textkit.text_slices(batch):
+            part = asked.slice(lo, hi - lo)
+            pos = part.flatten().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
+            codes, at = plan.units(body, offsets)
+            order = np.lexsort((pos, row))
+            if len(order):
+                yield body, codes, at, row[order], pos[order], ids[lo:hi], tags[lo:hi]
+
+
+def _windows(plan: Plan, bucket_count: int):
+    """Every window that holds an asked-for anchor, as a record under its own hash; what repeats within the task is sent under bucket -1."""
+
+    def packed(held: list[np.ndarray]):
+        got, again = _by_context(np.concatenate(held))
+        if again.any():
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([got[again].tobytes()], pa.binary())], schema=BLOB_ARROW)
+        yield textkit.packed(got[~again], _mark(got[~again], bucket_count), bucket_count, BLOB_ARROW)
+
+    def run(batches):
+        held, size = [], 0
+        for _, codes, at, row, pos, ids, tags in _asked(batches, plan):
+            lo = np.maximum(pos - plan.reach, 0)
+            count = np.maximum(np.minimum(pos, np.diff(at)[row] - plan.window) - lo + 1, 0)
+            start = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+            own = np.repeat(row, count)
+            new = np.ones(len(start), bool)  # anchors close together share windows
+            new[1:] = (own[1:] != own[:-1]) | (start[1:] > np.maximum.accumulate(start + (own << 32))[:-1] - (own[1:] << 32))
+            start, own = start[new], own[new]
+            got = np.empty(len(start), RECORD)
+            got["key"] = got["ctx"] = _ranges(codes, at[own] + start, at[own] + start + plan.window)
+            got["doc"], got["tag"], got["pos"] = ids[own], tags[own], start
+            held.append(got)
+            size += len(got)
+            if size >= HELD:
+                yield from packed(held)
+                held, size = [], 0
+        if size:
+            yield from packed(held)
+
+    return run
 
 
-def _decide(plan: Plan):
+def _decide_windows(plan: Plan):
     def run(batches):
         held = []
         for batch in batches:
             bucket = textkit.column(batch, "bucket").to_numpy()
-            local = bucket == -1
-            if local.any():
-                yield _found(textkit.unpacked([batch.filter(pa.array(local))], RECORD), plan, False)
-            if not local.all():
-                held.append(textkit.unpacked([batch.filter(pa.array(~local))], RECORD))
-        if not held:
-            return
-        got, first = _by_context(np.concatenate(held))
-        again = _again(got, first)
-        yield _found(got[again], plan, False)
-        firsts = got[np.unique(first)]
-        same = firsts["key"][1:] == firsts["key"][:-1]
-        shared = np.zeros(len(firsts), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        yield _found(firsts[shared], plan, True)
+            if (bucket == -1).any():
+                got = textkit.unpacked([batch.filter(pa.array(bucket == -1))], RECORD)
+                yield _found(got, got["pos"], got["pos"] + plan.window, 0)
+            if (bucket >= 0).any():
+                held.append(textkit.unpacked([batch.filter(pa.array(bucket >= 0))], RECORD))
+        if held:
+            got, again = _by_context(np.concatenate(held))
+            got = got[again]
+            yield _found(got, got["pos"], got["pos"] + plan.window, 0)
 
     return run
 
@@ -218,41 +317,22 @@ def _contexts(plan: Plan, bucket_count: int):
     """Pass 2: the units around each asked-for anchor, by bucket of the anchor."""
 
     def run(batches):
-        for batch in map(_known, batches):
-            ids = textkit.column(batch, "doc_id").to_numpy()
-            asked = textkit.column(batch, "asked")
-            for lo, hi, body, offsets in textkit.text_slices(batch):
-                part = asked.slice(lo, hi - lo)
-                pos = part.flatten().to_numpy().astype(np.int64)
-                row = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
-                codes, at = plan.units(body, offsets)
-                fits = at[row] + pos + plan.gram <= at[row + 1]  # a doc_id may stand for several texts
-                row, pos = row[fits], pos[fits]
-                order = np.lexsort((pos, row))
-                row, pos = row[order], pos[order]
-                if not len(row):
-                    continue
-                a, b, left = reach(codes, at, row, pos, plan)
-                place = a + left
-                key = np.empty(len(row), _U)
-                key[:] = context_grams(codes, place, plan.gram)
-                head = np.empty(len(row), CONTEXT)
-                head["key"], head["doc"], head["pos"], head["left"], head["size"] = key, ids[lo:hi][row], pos, left, b - a
-                units = body if plan.units is byte_units else codes
-                width = units.dtype.itemsize
-                bucket = _mark(head, bucket_count)
-                order = np.argsort(bucket, kind="stable")
-                size = CONTEXT.itemsize + (b - a) * width
-                blobs, last = [], None
-                for i in order:
-                    blob = head[i].tobytes() + units[a[i] : b[i]].tobytes()
-                    if last == bucket[i]:
-                        blobs[-1][1].append(blob)
-                    else:
-                        blobs.append((int(bucket[i]), [blob]))
-                        last = bucket[i]
-                del size
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in blobs], pa.int32()), pa.array([b"".join(x) for _, x in blobs], pa.binary())], schema=BLOB_ARROW)
+        for body, codes, at, row, pos, ids, tags in _asked(batches, plan):
+            a, b, left = reach(codes, at, row, pos, plan)
+            head = np.empty(len(row), CONTEXT)
+            head["key"] = context_grams(codes, a + left, plan.gram)
+            head["doc"], head["tag"], head["pos"], head["left"], head["size"] = ids[row], tags[row], pos, left, b - a
+            units = body if plan.units is byte_units else codes
+            bucket = _mark(head, bucket_count)
+            blobs, last = [], None
+            for i in np.argsort(bucket, kind="stable"):
+                blob = head[i].tobytes() + units[a[i] : b[i]].tobytes()
+                if last == bucket[i]:
+                    blobs[-1][1].append(blob)
+                else:
+                    blobs.append((int(bucket[i]), [blob]))
+                    last = bucket[i]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in blobs], pa.int32()), pa.array([b"".join(x) for _, x in blobs], pa.binary())], schema=BLOB_ARROW)
 
     return run
 
@@ -273,12 +353,24 @@ def _ranges(codes, lo, hi) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True, order=True)
+class Context:
+    """The units around an anchor; `left` of them stand before it. Contexts are ordered by document and place."""
+
+    key: int
+    doc: int
+    tag: int
+    pos: int
+    left: int
+    units: bytes
+
+
 def _resolve(plan: Plan, resolver):
     """Contexts by anchor, earliest first, through the resolver; it yields (context, first unit, end) within contexts."""
     width = 1 if plan.units is byte_units else 8
 
     def run(batches):
-        held = []
+        held = set()
         for batch in batches:
             for blob in textkit.column(batch, "payload"):
                 blob, i = blob.as_py(), 0
@@ -286,16 +378,14 @@ def _resolve(plan: Plan, resolver):
                     head = np.frombuffer(blob, CONTEXT, 1, i)[0]
                     i += CONTEXT.itemsize
                     n = int(head["size"]) * width
-                    held.append((int(head["key"]), int(head["doc"]), int(head["pos"]), int(head["left"]), blob[i : i + n]))
+                    held.add(Context(int(head["key"]), int(head["doc"]), int(head["tag"]), int(head["pos"]), int(head["left"]), blob[i : i + n]))
                     i += n
-        held.sort(key=lambda x: x[:3])
-        held = [x for i, x in enumerate(held) if not i or x[:3] != held[i - 1][:3] or x[4] != held[i - 1][4]]
-        docs, lows, highs = [], [], []
-        for x, lo, hi in resolver(held, plan):
-            docs.append(x[1])
-            lows.append(x[2] - x[3] + lo)
-            highs.append(x[2] - x[3] + hi)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array([False] * len(docs))], schema=FOUND_ARROW)
+        out = []
+        for _, group in groupby(sorted(held), key=lambda x: x.key):
+            group = list(group)
+            if len(group) > 1:
+                out.extend((x.doc, x.tag, x.pos - x.left + lo, x.pos - x.left + hi, 0) for x, lo, hi in resolver(group, plan))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(FOUND_ARROW.types)], schema=FOUND_ARROW)
 
     return run
 
@@ -316,7 +406,8 @@ def removed_mask(size: int, offsets: np.ndarray, spans: pa.ListArray) -> np.ndar
     return np.cumsum(step[:-1]) > 0
 
 
-MERGED_ARROW = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))])
+MERGED = "doc_id long, tag int, spans array<struct<lo:int,hi:int>>"
+MERGED_ARROW = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))])
 
 
 def _merge(batches):
@@ -336,29 +427,42 @@ def _merge(batches):
         end = reach[np.append(begin[1:], len(lo)) - 1] - shift[begin] if len(begin) else begin
         spans = pa.StructArray.from_arrays([pa.array(lo[begin], pa.int32()), pa.array(end, pa.int32())], ["lo", "hi"])
         offsets = pa.array(np.searchsorted(row[begin], np.arange(len(found) + 1)), pa.int32())
-        yield pa.RecordBatch.from_arrays([textkit.column(batch, "doc_id"), pa.ListArray.from_arrays(offsets, spans)], schema=MERGED_ARROW)
+        yield pa.RecordBatch.from_arrays([textkit.column(batch, "doc_id"), textkit.column(batch, "tag"), pa.ListArray.from_arrays(offsets, spans)], schema=MERGED_ARROW)
 
 
-def spans(docs: DataFrame, plan: Plan, resolver) -> DataFrame:
-    """doc_id and spans array<struct<lo,hi>> (units, hi possibly past the end) of documents with repeated windows; disjoint, in order."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, tag): a tag tells the texts of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF))).cast("int").alias("tag"))
+
+
+def spans(docs: DataFrame, plan: Plan, resolver, hot: int = HOT, hot_task: int = HOT_TASK) -> DataFrame:
+    """doc_id, tag and spans array<struct<lo,hi>> (units, hi possibly past the end) of documents with repeated windows; disjoint, in order."""
     spark = docs.sparkSession
     session.ship(spark)
     count = session.buckets(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _texts(docs)
+    known = texts.where("doc_id is not null")
+
     # local intervals need no meeting, so they are spread over all partitions
-    sent = texts.mapInArrow(_emit(plan, count), BLOB).select("bucket", "payload", F.when(F.col("bucket") < 0, F.xxhash64("payload")).otherwise(F.col("bucket")).alias("deal"))
-    found = session.materialize(sent.repartition("deal").select("bucket", "payload").mapInArrow(_decide(plan), FOUND))
-    asked = found.where("open").groupBy("doc_id").agg(F.collect_list("lo").alias("asked"))
-    asked = session.maybe_broadcast(asked, F.size("asked") * 4 + 40)
-    fetched = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_contexts(plan, count), BLOB)
-    late = fetched.repartition("bucket").mapInArrow(_resolve(plan, resolver), FOUND)
-    both = found.where("not open").select("doc_id", "lo", "hi").unionByName(late.select("doc_id", "lo", "hi"))
-    gathered = both.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return session.materialize(gathered.mapInArrow(_merge, "doc_id long, spans array<struct<lo:int,hi:int>>"))
+    def dealt(sent: DataFrame) -> DataFrame:
+        deal = F.when(F.col("bucket") < 0, F.xxhash64("payload")).otherwise(F.col("bucket"))
+        return sent.select("bucket", "payload", deal.alias("deal")).repartition("deal").select("bucket", "payload")
+
+    def asked(kind: int) -> DataFrame:
+        some = found.where(F.col("kind") == kind).groupBy("doc_id", "tag").agg(F.collect_list("lo").alias("asked"))
+        return known.join(session.maybe_broadcast(some, F.size("asked") * 4 + 44), ["doc_id", "tag"]).select("doc_id", "text", "tag", "asked")
+
+    found = session.materialize(dealt(known.mapInArrow(_emit(plan, count, hot_task), BLOB)).mapInArrow(_decide(plan, count, hot), FOUND))
+    late = asked(1).mapInArrow(_contexts(plan, count), BLOB).repartition("bucket").mapInArrow(_resolve(plan, resolver), FOUND)
+    both = found.where("kind = 0").unionByName(late)
+    if found.where("kind = 2").limit(1).count():
+        both = both.unionByName(dealt(asked(2).mapInArrow(_windows(plan, count), BLOB)).mapInArrow(_decide_windows(plan), FOUND))
+    gathered = both.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return session.materialize(gathered.mapInArrow(_merge, MERGED))
 
 
 def cut(docs: DataFrame, found: DataFrame, fn, schema: str) -> DataFrame:
     """Apply fn, a mapInArrow function over (doc_id, text, spans), to every document."""
-    found = session.maybe_broadcast(found, F.size("spans") * 8 + 48)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(found, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(fn, schema)
+    found = session.maybe_broadcast(found, F.size("spans") * 8 + 52)
+    return _texts(docs).join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(fn, schema)

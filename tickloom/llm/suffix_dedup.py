@@ -128,50 +128,47 @@ def _ranks(order: list[int], common: list[int], depth: int) -> list[int]:
     return out
 
 
-def resolve(held, plan):
-    """For each context, what it shares with earlier contexts of its anchor: (context, first byte, end).
+def resolve(group, plan):
+    """For each context of an anchor, what it shares with earlier ones: (context, first byte, end).
 
     A shared window lies `a` bytes left and `window - a` right of the anchor.
     Two contexts share it when both their left parts agree to a and their right
     parts to window - a, so each `a` is one pass over the two orders' classes.
     Small groups compare pairwise bounds instead; both give the same spans.
     """
-    i = 0
-    while i < len(held):
-        j = i + 1
-        while j < len(held) and held[j][0] == held[i][0]:
-            j += 1
-        group = held[i:j]
-        i = j
-        if len(group) < 2:
-            continue
-        left = [x[4][: x[3]][::-1] for x in group]
-        right = [x[4][x[3] :] for x in group]
-        if len(group) <= 8:
-            rights, lefts = _pairwise(right), _pairwise(left)
-            for y in range(1, len(group)):
-                most = [(lefts[x][y], rights[x][y]) for x in range(y) if lefts[x][y] + rights[x][y] >= plan.window]
-                if most:
-                    at = group[y][3]
-                    yield group[y], at - max(a for a, _ in most), at + max(b for _, b in most)
-            continue
-        lo_order, hi_order = classes(left), classes(right)
-        span: dict[int, tuple[int, int]] = {}
-        for a in range(plan.reach + 1):
-            l, r = _ranks(*lo_order, a), _ranks(*hi_order, plan.window - a)
-            seen = set()
-            for y, x in enumerate(group):
-                if x[3] < a or len(x[4]) - x[3] < plan.window - a:
-                    continue
-                pair = (l[y], r[y])
-                if pair in seen:
-                    got = span.get(y)
-                    lo, hi = x[3] - a, x[3] - a + plan.window
-                    span[y] = (min(lo, got[0]), max(hi, got[1])) if got else (lo, hi)
-                else:
-                    seen.add(pair)
-        for y, (lo, hi) in span.items():
-            yield group[y], lo, hi
+    left = [x.units[: x.left][::-1] for x in group]
+    right = [x.units[x.left :] for x in group]
+    if len(group) <= 8:
+        rights, lefts = _pairwise(right), _pairwise(left)
+        for y in range(1, len(group)):
+            most = [(lefts[x][y], rights[x][y]) for x in range(y) if lefts[x][y] + rights[x][y] >= plan.window and _earlier(group[x], group[y])]
+            if most:
+                at = group[y].left
+                yield group[y], at - max(a for a, _ in most), at + max(b for _, b in most)
+        return
+    lo_order, hi_order = classes(left), classes(right)
+    span: dict[int, tuple[int, int]] = {}
+    for a in range(plan.reach + 1):
+        l, r = _ranks(*lo_order, a), _ranks(*hi_order, plan.window - a)
+        seen: dict[tuple, tuple] = {}  # the first doc_id that holds a window, and its texts that do
+        for y, x in enumerate(group):
+            if x.left < a or len(x.units) - x.left < plan.window - a:
+                continue
+            pair = (l[y], r[y])
+            doc, tags = seen.setdefault(pair, (x.doc, set()))
+            if doc != x.doc or x.tag in tags:
+                got = span.get(y)
+                lo, hi = x.left - a, x.left - a + plan.window
+                span[y] = (min(lo, got[0]), max(hi, got[1])) if got else (lo, hi)
+            else:
+                tags.add(x.tag)
+    for y, (lo, hi) in span.items():
+        yield group[y], lo, hi
+
+
+def _earlier(x: repeats.Context, y: repeats.Context) -> bool:
+    """Whether x, which comes first in order, starts earlier: two texts under one doc_id do not."""
+    return x.doc != y.doc or x.tag == y.tag
 
 
 def _pairwise(strings: list[bytes]) -> list[list[int]]:
@@ -214,8 +211,11 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     Nulls: a null text is empty; a row without doc_id is kept whole and counts
     for nobody. Texts below 100 bytes never lose anything. Exact copies lose all
-    but the one with the smallest doc_id. Repeated rows of one doc_id are one
-    document. An empty table gives an empty result; other columns are ignored.
+    but the one with the smallest doc_id. Repeated rows of one doc_id and text are
+    one document; of two texts under one doc_id neither comes before the other,
+    so ties take nothing from either. Very long texts are read whole, one at a
+    time. An empty table gives an empty result; other columns, whatever their
+    names, are ignored.
     """
     found = repeats.spans(docs, PLAN, resolve)
     return repeats.cut(docs, found, _cut(with_text), OUT_KEPT if with_text else OUT)
