@@ -8,17 +8,20 @@ A store is a folder:
 
 A run is the rows of one arrival, or of several merged ones. Appending writes
 every arrival's rows where they are read, without a shuffle. Compaction looks
-at the manifest only: within a lane of neighbouring arrivals, runs of one size
-tier (a factor of four) are cut, in order of arrival, where their bytes pass
-the target, and groups of at least MERGE runs become one file each. A version
-exists once its commit file does; that file is created and never replaced, so
-of two writers one starts again from the newer version, and files of crashed
-writers are never read.
+at the manifest only: runs are ranked by arrival, whatever the arrivals'
+numbers, and within a lane of neighbouring ranks runs of one size tier (a factor
+of four) are cut, in that order, where their bytes pass the target; groups of at
+least MERGE runs become one file each. A version exists once its commit file
+does. That file is written under another name and moved into place, which fails
+if the version is there: so a commit is there whole or not at all, of two
+writers one starts again from the newer version, and files of crashed writers
+are never read. Only folders that the manifest names are listed.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,7 +31,7 @@ from . import session
 
 TARGET = 16 << 20
 MERGE = 4
-#: Neighbouring arrivals that one planning window looks at.
+#: Neighbouring runs that one planning window looks at.
 LANE = 65_536
 #: Size tiers start at powers of four.
 TIERS = [4**k for k in range(5, 26)]
@@ -69,45 +72,75 @@ class ShardStore:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def versions(self) -> list[int]:
+        """Numbers that are taken, readable or not."""
         fs, path = self._fs(f"{self.root}/commits")
         if not fs.exists(path):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(path)]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
+    def _named(self, version: int) -> str | None:
+        """The manifest that a version names; None if its file is no commit, as one cut short by another tool."""
+        text = self.spark.read.text(f"{self.root}/commits/{version:020d}.json", wholetext=True).first()
+        try:
+            return json.loads(text[0])["manifest"] if text else None
+        except (ValueError, KeyError, TypeError):
+            return None
+
     def version(self) -> int:
-        return max(self.versions(), default=0)
+        """The newest version that can be read; 0 if there is none."""
+        return next((v for v in reversed(self.versions()) if self._named(v)), 0)
+
+    def _free(self) -> int:
+        return max(self.versions(), default=0) + 1
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """The runs of a version, the newest by default; version 0 has none."""
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        name = json.loads(self.spark.read.text(f"{self.root}/commits/{version:020d}.json", wholetext=True).first()[0])["manifest"]
+        name = self._named(version)
+        if name is None:
+            raise ValueError(f"version {version} has no readable commit")
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{name}")
 
     def _commit(self, runs: DataFrame, version: int) -> None:
         """Publish runs as `version`, or raise Conflict if it is there already."""
         name = f"{version:020d}-{uuid.uuid4().hex[:12]}"
         runs.select(*[c.split()[0] for c in MANIFEST.split(", ")]).write.parquet(f"{self.root}/manifests/{name}")
-        fs, path = self._fs(f"{self.root}/commits/{version:020d}.json")
+        fs, part = self._fs(f"{self.root}/commits/_{name}")
+        _, path = self._fs(f"{self.root}/commits/{version:020d}.json")
+        out = fs.create(part, False)
+        out.write(bytearray(json.dumps({"version": version, "manifest": name}).encode()))
+        out.close()
         try:
-            out = fs.create(path, False)
-        except Exception as e:  # the JVM's exception says whether the file was there
+            self._move(fs, part, path)
+        except Exception as e:  # of the JVM or of the system: what counts is whether the version is there
+            fs.delete(part, False)
             if fs.exists(path):
                 raise Conflict(f"version {version} exists") from e
             raise
-        out.write(bytearray(json.dumps({"version": version, "manifest": name}).encode()))
-        out.close()
 
-    # ---- rows ----
+    def _move(self, fs, part, path) -> None:
+        """Rename that fails where the goal exists. A local file system would replace it, so there a link is made, which does not."""
+        if fs.getUri().getScheme() == "file":
+            os.link(part.toUri().getPath(), path.toUri().getPath())
+            fs.delete(part, False)
+            return
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
+        none[0] = getattr(jvm, "Options$Rename").NONE
+        jvm.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(part, path, none)
 
-    def _stored(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.root}/data").parquet(f"{self.root}/data")
+    # ---- rows ----
 
     def _rows(self, runs: DataFrame) -> DataFrame:
-        """(shard_write, shard_run, row, and the runs' columns) of the given runs; other folders are pruned."""
-        stored = self._stored().select("row", F.col("shard_write").cast("string").alias("shard_write"), F.col("shard_run").cast("long").alias("shard_run"))
+        """(shard_write, shard_run, row, and the runs' columns) of the given runs. Only writes that hold some of them are listed, and of those other runs are pruned."""
+        writes = [r["shard_write"] for r in runs.select("shard_write").distinct().collect()]  # one for each version at most
+        if not writes:
+            raise ValueError("no runs")
+        stored = self.spark.read.option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/shard_write={w}" for w in sorted(writes)])
+        stored = stored.select("row", F.col("shard_write").cast("string").alias("shard_write"), F.col("shard_run").cast("long").alias("shard_run"))
         return stored.join(session.maybe_broadcast(runs, F.lit(96)), ["shard_write", "shard_run"])
 
     def read(self, version: int | None = None, places: bool = False) -> DataFrame:
@@ -123,20 +156,23 @@ class ShardStore:
         arrival: a long column expression, by default one arrival for all rows;
         null counts as -1. df may have any columns, an empty one commits nothing.
         """
-        write = f"{self.version() + 1:020d}-{uuid.uuid4().hex[:12]}"
+        write = f"{self._free():020d}-{uuid.uuid4().hex[:12]}"
         arrival = F.lit(0).cast("long") if arrival is None else F.coalesce(arrival.cast("long"), F.lit(-1).cast("long"))
         rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), arrival.alias("shard_run"))
         rows.write.option("compression", "zstd").partitionBy("shard_run").parquet(f"{self.root}/data/shard_write={write}")
         fs, path = self._fs(f"{self.root}/data/shard_write={write}")
-        if not any("shard_run=" in s.getPath().getName() for s in fs.listStatus(path)):
+        listed, some = fs.listStatusIterator(path), False
+        while not some and listed.hasNext():
+            some = "shard_run=" in listed.next().getPath().getName()
+        if not some:
             return self.version()
         new = self._measured(df, write, 0).select("shard_write", "shard_run", F.col("shard_run").alias("first_arrival"), F.lit(0).alias("level"), "n_rows", "n_bytes")
         new = session.materialize(new)
         while True:
-            now = self.version()
+            now, free = self.version(), self._free()
             try:
-                self._commit(self.manifest(now).unionByName(new), now + 1)
-                return now + 1
+                self._commit(self.manifest(now).unionByName(new), free)
+                return free
             except Conflict:
                 continue
 
@@ -144,16 +180,28 @@ class ShardStore:
         got = self.spark.read.parquet(f"{self.root}/data/shard_write={write}")
         return got.groupBy(F.col("shard_run").cast("long").alias("shard_run")).agg(F.count("*").alias("n_rows"), F.sum(row_bytes(df)).alias("n_bytes")).withColumn("shard_write", F.lit(write))
 
+    def _ranked(self, runs: DataFrame) -> DataFrame:
+        """runs with rank, their place in order of arrival from 0. More than a lane of them are ranked range by range."""
+        by = ["first_arrival", "shard_write", "shard_run"]
+        parts = -(-runs.count() // self.lane)
+        if parts <= 1:
+            return runs.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)).cast("long") - 1)
+        ranged = session.materialize(runs.repartitionByRange(parts, *by).withColumn("range", F.spark_partition_id()))
+        sizes = ranged.groupBy("range").agg(F.count("*").alias("_n"))
+        ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        own = F.row_number().over(Window.partitionBy("range").orderBy(*by)).cast("long") - 1
+        return ranged.withColumn("_own", own).join(F.broadcast(sizes.select("range", ahead.alias("_ahead"))), "range").withColumn("rank", F.col("_own") + F.col("_ahead")).drop("range", "_own", "_ahead")
+
     def plan(self, runs: DataFrame) -> DataFrame:
-        """runs with merged_run: the first arrival of the group that a run is merged into, or null."""
-        lane = F.floor(F.col("first_arrival") / self.lane)
-        marked = runs.withColumn("lane", lane).withColumn("tier", tier()).where(F.col("n_bytes") < self.target)
-        order = Window.partitionBy("lane", "tier").orderBy("first_arrival", "shard_write", "shard_run")
+        """runs with merged_run, the first arrival of the group that a run is merged into, or null, and merged_name, that group's least rank."""
+        ranked = self._ranked(runs).withColumn("lane", F.call_function("div", F.col("rank"), F.lit(self.lane).cast("long")))
+        marked = ranked.withColumn("tier", tier()).where(F.col("n_bytes") < self.target)
+        order = Window.partitionBy("lane", "tier").orderBy("rank")
         ahead = F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
         cut = marked.withColumn("part", F.floor(F.coalesce(ahead, F.lit(0)) / self.target))
         group = Window.partitionBy("lane", "tier", "part")
-        sized = cut.withColumn("members", F.count("*").over(group)).withColumn("merged_run", F.min("first_arrival").over(group))
-        merged = sized.where(F.col("members") >= self.merge).select("shard_write", "shard_run", "merged_run", "tier")
+        sized = cut.withColumns({"members": F.count("*").over(group), "merged_run": F.min("first_arrival").over(group), "merged_name": F.min("rank").over(group)})
+        merged = sized.where(F.col("members") >= self.merge).select("shard_write", "shard_run", "merged_run", "merged_name")
         return runs.join(merged, ["shard_write", "shard_run"], "left")
 
     def compact(self) -> int:
@@ -163,22 +211,21 @@ class ShardStore:
         merging = plan.where("merged_run is not null")
         if not merging.limit(1).count():
             return now
-        write = f"{now + 1:020d}-{uuid.uuid4().hex[:12]}"
-        # two tiers of a lane may both start with an arrival, so a merged run is named by both
-        name = F.col("merged_run") * 64 + F.col("tier")
+        write = f"{self._free():020d}-{uuid.uuid4().hex[:12]}"
+        name = F.col("merged_name")  # arrivals may repeat over tiers, ranks do not
         rows = self._rows(merging.select("shard_write", "shard_run", name.alias("merged"))).select("row", F.col("merged").alias("shard_run"))
         rows.repartition("shard_run").write.option("compression", "zstd").partitionBy("shard_run").parquet(f"{self.root}/data/shard_write={write}")
         new = merging.groupBy(name.alias("shard_run")).agg(F.min("first_arrival").alias("first_arrival"), (F.max("level") + 1).alias("level"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes")).withColumn("shard_write", F.lit(write))
         new = session.materialize(new.select(*[c.split()[0] for c in MANIFEST.split(", ")]))
         gone = merging.select("shard_write", "shard_run")
         while True:
-            latest = self.version()
+            latest, free = self.version(), self._free()
             live = self.manifest(latest)
             if latest != now and gone.join(live, ["shard_write", "shard_run"], "left_anti").limit(1).count():
                 return latest  # another compaction took some of these runs
             try:
-                self._commit(live.join(gone, ["shard_write", "shard_run"], "left_anti").unionByName(new), latest + 1)
-                return latest + 1
+                self._commit(live.join(gone, ["shard_write", "shard_run"], "left_anti").unionByName(new), free)
+                return free
             except Conflict:
                 continue
 
@@ -192,14 +239,16 @@ def compacted_documents(docs: DataFrame, root: str | None = None, target: int =
 
     Returns doc_id, run_id (first arrival of its run), level, n_bytes (logical
     bytes of the row), n_chars, text_sha256. An arrival is `arrival_rows`
-    consecutive doc_ids; rows without doc_id form one of their own. Repeated
-    rows and null texts are kept as they are; an empty table gives an empty
-    result.
+    consecutive doc_ids, however far apart arrivals are; rows without doc_id form
+    one of their own. Repeated rows, null, empty and very long texts are kept as
+    they are, and so are further columns, whatever their names; of equal arrivals
+    the earlier write comes first. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, root or session.scratch(spark), target)
     empty = "doc_id long, run_id long, level int, n_bytes long, n_chars long, text_sha256 string"
-    if not store.append(docs, F.floor(F.col("doc_id") / arrival_rows)):
+    number = F.col("doc_id").cast("long")
+    if not store.append(docs, F.call_function("div", number - F.pmod(number, F.lit(arrival_rows).cast("long")), F.lit(arrival_rows).cast("long"))):
         return spark.createDataFrame([], empty)
     store.compact()
     got = store._rows(store.manifest().select("shard_write", "shard_run", "first_arrival", "level"))
@@ -212,7 +261,7 @@ with sized as (
   select doc_id, coalesce(doc_id // {ARRIVAL_ROWS}, -1) as arrival, text,
          coalesce(strlen(text), 0) + coalesce(strlen(lang), 0) + coalesce(strlen(source), 0) + 16 as n_bytes
   from documents),
-runs as (select arrival, sum(n_bytes)::bigint as run_bytes, floor(arrival / {LANE}) as lane from sized group by arrival),
+runs as (select *, (row_number() over (order by arrival) - 1) // {LANE} as lane from (select arrival, sum(n_bytes)::bigint as run_bytes from sized group by arrival)),
 tiered as (select *, {" + ".join(f"(run_bytes >= {t})::int" for t in TIERS)} as tier from runs),
 summed as (
   select *, coalesce(sum(run_bytes) over (partition by lane, tier order by arrival rows between unbounded preceding and 1 preceding), 0) as ahead
