@@ -9,10 +9,8 @@ tournament tree of the remaining capacities finds in logarithmic time.
 
 from __future__ import annotations
 
-import base64
 import os
 import zlib
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +25,8 @@ GROUP_PIECES = 4096
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct space-separated parts whose ids a worker remembers.
 MEMORY = 700_000
+#: New parts that are encoded in one text.
+JOINED = 200
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -53,9 +53,9 @@ class Encoder:
     The vocabulary's splitter always cuts before a single space that has no
     white space beside it, so a text's ids are those of its parts, each with
     its leading space. Parts are told apart by 64-bit hashes and only new ones
-    are encoded: printable ones by the same vocabulary's rank file, which gives
-    the same ids sooner, others by the tokenizers library itself. Texts with
-    other white space beside a space go to that library whole.
+    are encoded, many plain ones in one text, whose ids are told apart by their
+    widths in bytes. Texts with other white space beside a space are encoded
+    whole.
     """
 
     def __init__(self, path: str):
@@ -64,7 +64,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.quick, self.widths = _ranked(path)
+        # a byte-level vocabulary writes one character for each byte of a token
+        vocabulary = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = list(map(len, vocabulary))
         self.clear()
 
     def clear(self) -> None:
@@ -79,15 +82,14 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids(self, parts: list[str]) -> list[list[int]]:
-        if self.quick is None:
-            return self._whole(parts)
         out: list = [None] * len(parts)
-        plain = [i for i, p in enumerate(parts) if p[0] == " " and len(p) > 1 and not p[1].isspace() and p.replace("\n", "").isprintable() and not any([s in p for s in self.special])]
-        # plain parts do not touch each other, so they are encoded in one text and told apart by their tokens' bytes
-        ids = np.array(self.quick("".join([parts[i] for i in plain])), np.int64)
+        # a plain part begins with its one space and neither begins nor ends by other white space, so it is split from its neighbours
+        plain = [i for i, p in enumerate(parts) if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and not any([s in p for s in self.special])]
+        joined = ["".join([parts[i] for i in plain[k : k + JOINED]]) for k in range(0, len(plain), JOINED)]
+        ids = np.array([x for got in self._whole(joined) for x in got], np.int64)
         ends = np.cumsum(self.widths[ids])
-        cuts = np.searchsorted(ends, np.cumsum([len(parts[i].encode()) for i in plain]), "right")
-        for i, lo, hi in zip(plain, np.concatenate([[0], cuts[:-1]]).astype(int).tolist() if plain else [], cuts.tolist(), strict=True):
+        cuts = np.searchsorted(ends, np.cumsum([len(parts[i].encode()) for i in plain]), "right").tolist()
+        for i, lo, hi in zip(plain, [0, *cuts[:-1]], cuts, strict=False):
             out[i] = ids[lo:hi].tolist()
         late = [i for i, x in enumerate(out) if x is None]
         for i, got in zip(late, self._whole([parts[i] for i in late]), strict=True):
@@ -144,20 +146,6 @@ class Encoder:
         return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
 
 
-def _ranked(path: str):
-    """The encoder of the rank file beside a vocabulary and the bytes of each id, if there is one."""
-    ranks = Path(path).with_suffix(".tiktoken")
-    if not ranks.exists():
-        return None, None
-    import public_tokenizers
-    import tiktoken
-
-    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.open("rb"))}
-    widths = np.zeros(max(table.values()) + 1, np.int64)
-    widths[list(table.values())] = [len(t) for t in table]
-    return tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary, widths
-
-
 _encoders: dict[str, Encoder] = {}
 
 
@@ -253,19 +241,21 @@ def tokenizer_path() -> str:
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """The pieces of every document's ids, cut at multiples of the length; the end id counts. Null texts are empty: one piece of that id. Ids of documents may be null or repeat; every row is cut by itself."""
+    """The pieces of every document's ids, cut at multiples of the length; the end id counts. Null texts are empty: one piece of that id. Ids of documents may be null or repeat; every row is cut by itself. A very long text is encoded whole, one at a time. Other columns, whatever their names, are ignored; an empty table gives an empty result."""
     session.ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_cut(path or tokenizer_path(), length, with_ids), PIECE + ", ids array<long>" * with_ids)
 
 
 def pack(cut: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES, seed: int = 17) -> DataFrame:
-    """Pieces with sequence_id, offset and padded_to: the length, or the used tokens where they are a power of two. Any further columns of the pieces stay. An empty table gives an empty result."""
+    """Pieces with sequence_id, offset and padded_to: the length, or the used tokens where they are a power of two. Any further columns of the pieces stay. Pieces of one length are placed in order of doc_id and start. An empty table gives an empty result."""
     spark = cut.sparkSession
     session.ship(spark)
     cut = session.materialize(cut)
     groups = max(1, -(-cut.count() // group_pieces))
-    dealt = cut.withColumn("group_id", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
+    # rows without an id are told apart by their place in the written table, so that they are not one group
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    dealt = cut.withColumn("group_id", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", place, F.lit(seed)), F.lit(groups)))
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name not in {x.split()[0] for x in PIECE.split(", ")})
     schema = PIECE + extra + ", sequence_id long, offset long, padded_to long"
     return dealt.groupBy("group_id").applyInPandas(_pack(length, groups), schema)
