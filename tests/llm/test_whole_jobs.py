@@ -1,9 +1,13 @@
 """Whole jobs: inputs that were once cut short."""
 
+import hashlib
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tickloom.llm import html_text, language_id, mpeg_audio, secrets
+from tickloom.llm import html_text, language_id, mpeg_audio, packing, secrets
 
 ARTICLE = "<article><h1>A title here</h1><p>First part of it, with some words.</p><p>Second part, and more words than that.</p></article>"
 
@@ -119,3 +123,71 @@ def test_audio_text_that_looks_like_a_tag(units):
         assert mpeg_audio.payload(media + behind, t) == raw and t.tags["TIT2"] == "A song"
     cut = mpeg_audio.parse(media[:-40] + tag)
     assert len(cut.offsets) == units - 1 and cut.tags["TIT2"] == "A song"
+
+
+def frames(head, body, count):
+    return (bytes.fromhex(head) + body) * count
+
+
+def test_audio_of_other_writers(spark):
+    first = frames("fffb9064", b"\0" * 413, 3)  # MPEG-1 layer III, 128 kbit/s, 44.1 kHz: 417 bytes
+    second = frames("fffd8004", b"\0" * 413, 4)  # layer II, 128 kbit/s: 417 bytes
+    alloc = bytes(32)
+    sound = bytes.fromhex("fffec004") + mpeg_audio.crc16(bytes.fromhex("c004") + alloc).to_bytes(2, "big") + alloc  # layer I with its checksum
+    rate = mpeg_audio.header(sound[:4])
+    one = sound + b"\1" * (rate.length - len(sound))
+    hurt = bytearray(one * 3)
+    hurt[rate.length + 8] ^= 1
+    rows = [(1, first), (2, second), (3, one * 3), (4, bytes(hurt)), (5, first[:-1]), (6, b"\xff" * 999), (7, None), (8, b"")]
+    media = spark.createDataFrame(rows, "doc_id long, media binary")
+    got = {r.doc_id: r for r in mpeg_audio.index_media(media).collect()}
+    assert [len(got[i].frame_offsets) for i in range(1, 9)] == [3, 4, 3, 3, 2, 0, 0, 0]
+    assert [got[i].n_samples for i in range(1, 5)] == [3456, 4608, 1152, 1152]
+    assert [(got[i].crc_checked, got[i].crc_bad) for i in (3, 4)] == [(3, 0), (3, 1)]
+    assert all(r.payload == b"" for r in got.values())
+    digest = {r.doc_id: r for r in mpeg_audio.digest_media(media).collect()}
+    assert len(digest) == 8 and digest[1].payload_bytes == 0 and "frames=3" in digest[1].feature
+    assert mpeg_audio.digest_media(media.limit(0)).count() == 0 and mpeg_audio.write_media(media.limit(0).selectExpr("doc_id", "'' as text")).count() == 0
+
+
+def test_audio_table_is_held_against_the_frames():
+    media = bytearray(mpeg_audio.encode(b"sound" * 20_000))
+    assert mpeg_audio.table_errors(mpeg_audio.parse(bytes(media))) == 0
+    at = media.find(b"Xing")
+    media[at + 16 + 50] ^= 0x55
+    media[at + 11] ^= 1
+    assert mpeg_audio.table_errors(mpeg_audio.parse(bytes(media))) == 2
+
+
+def test_audio_of_long_texts_ties_and_clashing_columns(spark):
+    rows = [(1, "é" * 1_500_000, "m"), (2, "tie", "m"), (2, "tie", "m"), (None, None, "m"), (3, "", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, media string")
+    got = [tuple(r)[:4] for r in mpeg_audio.digest_media(mpeg_audio.write_media(docs)).collect()]
+    body = ("é" * 1_500_000).encode()
+    assert (1, len(body), len(mpeg_audio.pad(body)), hashlib.sha256(mpeg_audio.pad(body)).hexdigest()) in got
+    assert len(got) == 5 and len(set(got)) == 4 and {g[1:] for g in got if g[0] in (None, 3)} == {(0, 576, hashlib.sha256(b"\xff" * 576).hexdigest())}
+
+
+def test_packing_ids_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["plain words, and 12345 numbers", " lead", "trail ", "two  spaces", "a \n b", "line\nline\n", "tab\tin a word\t", "end\n", "<|endoftext|> here", "x" * 9000, "\u3000wide \u3000 space", "é\x85 è", "don't we'll I'M", None, ""]
+    r = random.Random(2)
+    texts += ["".join(r.choice(["a", "B1", "é", " ", "  ", "\n", "\t", "'s", "漢", "\u00a0", "9", "-", "\x1c"]) for _ in range(r.randint(1, 60))) for _ in range(300)]
+    texts.append(" ".join(r.choice(["long", "text", "of\nlines", "1234"]) for _ in range(300_000)))
+    rows = [(i if i % 7 else None, t, 5, "s") for i, t in enumerate(texts)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, length int, start string"), with_ids=True)
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t, *_ in rows if i is not None}
+    pieces = {}
+    for p in got.where("doc_id is not null").collect():
+        pieces.setdefault(p.doc_id, {})[p.start] = p.ids
+    assert {d: [x for s in sorted(p) for x in p[s]] for d, p in pieces.items()} == want
+    assert got.where("doc_id is null").select("doc_tokens").count() >= sum(i is None for i, *_ in rows)
+
+
+def test_rows_without_ids_are_not_one_group(spark):
+    cut = spark.range(6000).selectExpr("cast(null as long) doc_id", "0L start", "100L length", "7L ids_crc32", "100L doc_tokens")
+    sizes = [r["n"] for r in packing.pack(cut, group_pieces=500).groupBy((F.col("sequence_id") % 12).alias("g")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 12 and max(sizes) < 1000
+    assert packing.pack(cut.limit(0)).count() == 0

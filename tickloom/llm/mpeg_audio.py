@@ -8,8 +8,10 @@ frame of 576 samples.
 
 Reading: tags are parsed, frame headers are found again after any junk (a
 header counts if the frame that it implies is followed by another header of the
-same kind, or by the end), variable-bitrate tables are read, CRC-16 words are
-checked, and each frame's offset and start sample are kept.
+same kind, or by the end), variable-bitrate tables are read and held against the
+frames, CRC-16 words are checked, and each frame's offset and start sample are
+kept. What a layer II checksum covers depends on its allocation tables; it is
+not checked.
 """
 
 from __future__ import annotations
@@ -62,6 +64,7 @@ class Header:
     length: int
     side: int
     protected: bool
+    covered: int  # bytes behind the checksum that it covers; 0: not known
 
 
 _headers: dict[bytes, Header | None] = {}
@@ -93,7 +96,10 @@ def _header(w: bytes) -> Header | None:
         samples = 1152 if first or layer == 2 else 576
         length = samples // 8 * bits // hz + pad
     side = (17 if mono else 32) if first else (9 if mono else 17)
-    return Header((version, layer, hertz), layer, hz, samples, length, side if layer == 3 else 0, not w[1] & 1)
+    # layer III: the side information; layer I: four bits for each subband and channel, one for both above the joint bound
+    bound = 4 * ((w[3] >> 4 & 3) + 1) if w[3] >> 6 == 1 else 32
+    covered = {3: side, 1: 16 if mono else (32 + bound) // 2, 2: 0}[layer]
+    return Header((version, layer, hertz), layer, hz, samples, length, side if layer == 3 else 0, not w[1] & 1, covered)
 
 
 @dataclass
@@ -108,6 +114,7 @@ class Stream:
     crc_checked: int = 0
     crc_bad: int = 0
     resyncs: int = 0
+    first: int = 0  # offset of the frame that holds the table
 
 
 def _size7(b: bytes) -> int:
@@ -182,8 +189,8 @@ def parse(data: bytes) -> Stream:
                 break
             continue
         lost = False
-        if h.protected and h.layer == 3:
-            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
+        if h.protected and h.covered:
+            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.covered]
             crc = _crcs.get(covered)
             if crc is None:
                 crc = crc16(covered)
@@ -194,7 +201,7 @@ def parse(data: bytes) -> Stream:
         table = _vbr(data, at, h) if kind is None else None
         kind, sure, out.hertz = h.kind, True, h.hertz
         if table:
-            out.vbr = table
+            out.vbr, out.first = table, at
         else:
             out.offsets.append(at)
             out.lengths.append(h.length)
@@ -236,17 +243,32 @@ def encode(raw: bytes) -> bytes:
 
 
 def payload(data: bytes, s: Stream) -> bytes:
-    """The ancillary units of a stream's frames."""
+    """The ancillary units of a stream's frames; empty if some are not of the kind that encode() writes."""
+    if any(n != FRAME for n in s.lengths):
+        return b""
     view = np.frombuffer(data, np.uint8)
     where = np.asarray(s.offsets, np.int64) + 6 + SIDE
     return view[where[:, None] + np.arange(UNIT)].tobytes() if len(where) else b""
 
 
+def table_errors(s: Stream) -> int:
+    """Entries of the seek table that are more than one off the frame at their percentage, and one more for each of frame and byte count that is not the stream's."""
+    if not s.vbr or not s.offsets:
+        return 0
+    _, frames, size, toc = s.vbr
+    held = s.offsets[-1] + s.lengths[-1] - s.first
+    wrong = int(frames is not None and frames != len(s.offsets)) + int(size is not None and size != held)
+    if len(toc) == 100:
+        at = np.asarray(s.offsets, np.int64)[np.arange(100) * len(s.offsets) // 100] - s.first
+        wrong += int((np.abs(np.minimum(255, 256 * at // held) - np.frombuffer(toc, np.uint8)) > 1).sum())
+    return wrong
+
+
 def feature(s: Stream) -> str:
-    """What the stream holds, as text: rate, frames, exact duration in samples and ms, table, checksums, a digest of the seek offsets."""
+    """What the stream holds, as text: rate, frames, exact duration in samples and ms, table and its errors, checksums, a digest of the seek offsets."""
     seek = np.stack([np.asarray(s.starts, "<i8"), np.asarray(s.offsets, "<i8")], 1).tobytes() if s.offsets else b""
     total = sum(s.samples)
-    vbr = f"{s.vbr[0]}:{s.vbr[1]}:{s.vbr[2]}" if s.vbr else "none"
+    vbr = f"{s.vbr[0]}:{s.vbr[1]}:{s.vbr[2]}:{table_errors(s)}" if s.vbr else "none"
     return f"hz={s.hertz};frames={len(s.offsets)};samples={total};ms={total * 1000 // s.hertz if s.hertz else 0};vbr={vbr};crc={s.crc_checked - s.crc_bad}/{s.crc_checked};resync={s.resyncs};seek={zlib.crc32(seek):08x}"
 
 
@@ -291,7 +313,7 @@ def _digest(media: bytes) -> tuple:
 
 def _full(media: bytes) -> tuple:
     s = parse(media)
-    body = payload(media, s) if all(n == FRAME for n in s.lengths) else b""
+    body = payload(media, s)
     return _length(s, body), body, media, s.hertz, sum(s.samples), s.offsets, s.starts, s.crc_checked, s.crc_bad, s.resyncs, s.vbr[0] if s.vbr else None, feature(s)
 
 
@@ -302,13 +324,13 @@ _OUT_ARROW = pa.schema(list(zip(_NAMES(OUT), [_L, _L, _L, _S, _L, _L, _S, _S], s
 
 
 def write_media(docs: DataFrame) -> DataFrame:
-    """doc_id and media, a stream holding each whole text. A null text is empty and gives one frame of padding; ids may be null or repeat; other columns are ignored."""
+    """doc_id and media, a stream holding each whole text. A null text is empty and gives one frame of padding; ids may be null or repeat, and equal texts give equal streams; a very long text is one stream, made by itself; other columns, whatever their names, are ignored; an empty table gives an empty result."""
     session.ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_write, MEDIA)
 
 
 def index_media(media: DataFrame) -> DataFrame:
-    """Every stream of (doc_id, media) with exact duration in samples, seek offsets (byte and start sample of each frame), checksum counts and payload. Null or broken media have no frames."""
+    """Every stream of (doc_id, media) with exact duration in samples, seek offsets (byte and start sample of each frame), checksum counts and payload. Null or broken media have no frames; whole frames before or behind the break count. Streams of other writers have no payload."""
     session.ship(media.sparkSession)
     return media.select("doc_id", "media").mapInArrow(_read(_full, _INDEX_ARROW), INDEX)
 

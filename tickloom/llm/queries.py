@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton_dedup, decontaminate, html_text, jaccard_join, language_id, mpeg_audio, packing, secrets, sharding, suffix_dedup
+from . import automaton_dedup, decontaminate, html_text, jaccard_join, language_id, mpeg_audio, packing, secrets, session, sharding, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg_audio.digest_media(mpeg_audio.write_media(_table(spark, sf_dir, "documents")))
+    stored = session.materialize(mpeg_audio.write_media(_table(spark, sf_dir, "documents")), "zstd")
+    return mpeg_audio.digest_media(stored)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,33 +6,28 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions import tables
+
 #: A table is broadcast up to this many estimated bytes; beyond it joins shuffle.
 BROADCAST_BYTES = 24 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, below a local temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(scratch, "own", None)
-        if base is None:
-            base = scratch.own = tempfile.mkdtemp(prefix="tickloom-")
-            atexit.register(shutil.rmtree, base, True)
+    """A new folder below spark.checkpoint.dir; only a local session may do without that setting."""
     ship(spark)
-    return f"{base.rstrip('/')}/tickloom/{uuid.uuid4().hex}"
+    return tables.folder(spark)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """df as a written table in the shared folder: lineage ends here, and lost executors lose nothing."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
