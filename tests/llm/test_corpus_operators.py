@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -280,6 +281,45 @@ def test_html_extraction(spark):
         assert r.text == "\n\n".join(p for p in want if p)
 
 
+ONE = "<p>" + "A sentence of the main text that goes on for a while, and then ends here. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><body><section>{ONE}{ONE}</section></body></html>",
+        f"<body><nav><ul><li><a href=x>Home</a></li><li><a href=y>About</a></li></ul></nav><div>{ONE}{ONE}</div><footer>&copy; 2020 us</footer>",
+        f"<article>{ONE}{ONE}<div class='comments'><p>I do not agree with any of this at all.</p><p>Nice article, thanks for the read.</p></div></article>",
+        f'<body><div class="x7-wrap"><div id="q">{ONE}{ONE}</div></div><div class="cookie-notice">We use cookies to make this site work.</div></body>',
+        f'<div>{ONE}{ONE}<section id="comment-list"><h3>2 comments</h3><div><p>First, I say, and by far the best of all.</p></div></section></div>',
+    ],
+)
+def test_html_of_unnamed_containers_and_comments_within(page):
+    one = " ".join(re.sub("</?p>", "", ONE).split())
+    assert html_text.Extractor(html_text.train()).text(page) == f"{one}\n\n{one}"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>x", '<a ">"', "<script/>", "<div></section>", "<svg></math>", '<p class="', "<ul><li>x", "<!--", "<object>", "&", "<"])
+def test_html_hostile_markup_takes_linear_time(part):
+    e = html_text.Extractor(html_text.train())
+
+    def seconds(n):
+        began = time.process_time()
+        e.text(part * n)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(32_000) < 8 * seconds(8_000) + 0.5
+
+
+def test_html_tables(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+    long = f"<article>{ONE * 4000}</article>"
+    rows = [(1, "u", long, "clash", 3), (1, "u", long, "clash", 3), (None, None, "", None, None)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert sorted(r.n_chars for r in got) == [0, *[4000 * len(" ".join(re.sub("</?p>", "", ONE).split())) + 2 * 3999] * 2]
+
+
 def test_viterbi_and_cuts_agree():
     r = np.random.default_rng(6)
     model = crf.Chain(np.zeros((1, 3)), r.normal(size=(3, 3)), r.normal(size=3))

@@ -20,25 +20,26 @@ class Chain:
         return self.weights[x].sum(axis=1)
 
 
-def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
-    m = a.max(axis=axis, keepdims=True)
-    return np.log(np.exp(a - m).sum(axis=axis)) + m.squeeze(axis)
-
-
 def _gradients(model: Chain, x: np.ndarray, y: np.ndarray):
+    """(node, pair): expected less seen labels and label pairs, by the forward-backward recursion, each step scaled to sum to one."""
     e = model.emissions(x)
     n, labels = e.shape
-    ahead, back = np.empty((n, labels)), np.zeros((n, labels))
-    ahead[0] = model.start + e[0]
+    e = np.exp(e - e.max(axis=1, keepdims=True))
+    step = np.exp(model.transitions - model.transitions.max())
+    ahead, back, scale = np.empty((n, labels)), np.ones((n, labels)), np.ones(n)
+    v = np.exp(model.start - model.start.max()) * e[0]
+    ahead[0] = v / v.sum()
     for t in range(1, n):
-        ahead[t] = e[t] + _logsum(ahead[t - 1][:, None] + model.transitions, 0)
+        v = (ahead[t - 1] @ step) * e[t]
+        scale[t] = v.sum()
+        ahead[t] = v / scale[t]
     for t in range(n - 2, -1, -1):
-        back[t] = _logsum(model.transitions + (e[t + 1] + back[t + 1])[None, :], 1)
-    z = _logsum(ahead[-1], 0)
-    node = np.exp(ahead + back - z)
+        back[t] = step @ (e[t + 1] * back[t + 1]) / scale[t + 1]
+    node = ahead * back
+    node /= node.sum(axis=1, keepdims=True)
     pair = np.zeros((labels, labels))
     if n > 1:
-        pair = np.exp(ahead[:-1, :, None] + model.transitions[None] + (e[1:] + back[1:])[:, None, :] - z).sum(axis=0)
+        pair = (ahead[:-1, :, None] * step[None] * ((e[1:] * back[1:]) / scale[1:, None])[:, None, :]).sum(axis=0)
         np.subtract.at(pair, (y[:-1], y[1:]), 1)
     node[np.arange(n), y] -= 1
     return node, pair

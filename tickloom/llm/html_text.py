@@ -2,9 +2,13 @@
 
 A leaf block is the text between two block-level boundaries. Its features are
 its ancestors' tags with their roles, the class and id words of its ancestors,
-its own tag, and the shape of its text: length, links, sentences, digits,
-place. The field is trained on pages made and labelled by rule, with many
-layouts: no table holds labelled pages.
+its own tag, the shape of its text (length, links, sentences, place), and where
+it stands to the container that holds most of the page's prose. The field is
+trained on pages made and labelled by rule, with many layouts, named and
+unnamed containers and noise within articles: no table holds labelled pages.
+
+Reading is linear in the page, also on hostile markup: what a failed look ahead
+costs is counted, and beyond a few readings of the page tags end at the next >.
 """
 
 from __future__ import annotations
@@ -30,10 +34,12 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in HIDDEN.split() if t not in ("head", "svg", "math", "object")}
 _TAG = re.compile(
     r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
+    r"|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S,
 )
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
+#: Readings of a page that failed looks ahead for a tag's end may add up to.
+READINGS = 4
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _SKIP = {"svg", "math", "object"}
@@ -42,6 +48,8 @@ _HEAD_ENDS = {"head", "body", "html", "br"}
 _BARE_VALUE = re.compile(r"=\s*[^\s\"']+\Z")
 _GAPS = {"br", "img", "input"}
 _PARAGRAPH = {"p"}
+#: Elements that hold text but do not contain an article.
+_PARTS = set("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table tbody thead tfoot tr td th caption figure figcaption address center hr".split())
 
 FEATURES = 1 << 14
 
@@ -50,13 +58,25 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) % FEATURES
 
 
+class Node:
+    """An open element: its parent, the features that no ancestor has, and the nearest container."""
+
+    __slots__ = ("up", "tag", "new", "own", "box", "mass", "weight")
+
+    def __init__(self, up, tag: str, new: tuple, own: tuple):
+        self.up, self.tag, self.new, self.own = up, tag, new, own
+        self.box = up.box if up is not None and tag in _PARTS else self
+        self.mass = 0
+        self.weight = None
+
+
 class Block:
-    """path: ancestors from the root, each (tag, names); text; characters inside links."""
+    """node: the innermost open element; text; characters inside links."""
 
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("node", "text", "linked")
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, node: Node, text: str, linked: int):
+        self.node, self.text, self.linked = node, text, linked
 
 
 def _closed(attrs: str) -> bool:
@@ -64,6 +84,29 @@ def _closed(attrs: str) -> bool:
     return attrs.endswith("/") and not _BARE_VALUE.search(attrs)
 
 
+def _reader(page: str):
+    """next tag at or behind a place: a match whose group 2 is None for comments and declarations, or None."""
+    last, left = page.rfind(">"), READINGS * len(page) + 4096
+
+    def following(at: int):
+        nonlocal left
+        while (i := page.find("<", at)) >= 0:
+            nxt = page[i + 1 : i + 2]
+            if not (nxt.isascii() and nxt.isalpha() or nxt in ("/", "!", "?")):
+                at = i + 1
+                continue
+            m = _TAG.match(page, i) if left > 0 or nxt in ("!", "?") else None
+            if m is None:
+                left -= len(page) - i if nxt != "/" or page[i + 2 : i + 3].isalpha() else 0
+                m = _PLAIN_TAG.match(page, i) if i < last else None
+            if m is not None:
+                return m
+            at = i + 1
+        return None
+
+    return following
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order; character references decoded, white space made one space.
 
@@ -71,10 +114,14 @@ def blocks(page: str) -> list[Block]:
     in it. An svg, math or object without an end tag hides nothing.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    root = Node(None, "", (_slot("any"),), ())
+    stack: list[Node] = []
+    opened: dict[str, int] = {}  # open elements by tag
+    active: dict[int, int] = {root.new[0]: 1}  # features of the open elements
     parts: list[tuple[str, bool]] = []
     hidden: list[tuple[str, int]] = []  # open svg, math and object, with where their content begins
     bare: set[int] = set()  # begins of those never closed
+    endless: set[str] = set()  # hidden elements without a further end tag
     head = False
     link = 0
 
@@ -84,13 +131,28 @@ def blocks(page: str) -> list[Block]:
             text = html.unescape(text)
         text = " ".join(text.split())
         if text:
-            out.append(Block(tuple(stack), text, sum([len(p) for p, inside in parts if inside])))
+            out.append(Block(stack[-1] if stack else root, text, sum([len(p) for p, inside in parts if inside])))
         parts.clear()
 
+    def push(tag: str, names: str) -> None:
+        up = stack[-1] if stack else root
+        new = tuple([x for x in _element_slots(tag, names) if x not in active])
+        for x in new:
+            active[x] = 1
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append(Node(up, tag, new, _leaf_slots(tag, up.tag)))
+
+    def pop() -> str:
+        node = stack.pop()
+        for x in node.new:
+            del active[x]
+        opened[node.tag] -= 1
+        return node.tag
+
     at = 0
-    search = _TAG.search
-    while (m := search(page, at)) is not None or hidden:
-        if hidden and (m is None or (m[2] or m[5] or "").lower() == "body" and not (m[1] or m[4])):
+    following = _reader(page)
+    while (m := following(at)) is not None or hidden:
+        if hidden and (m is None or (m[2] or "").lower() == "body" and not m[1]):
             # these stay open to the body or the end of the page: read on behind the outermost
             bare.update(begin for _, begin in hidden)
             at = hidden[0][1]
@@ -103,9 +165,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         end, tag, attrs = m.group(1, 2, 3)
         if tag is None:
-            end, tag, attrs = m.group(4, 5, 6)
-            if tag is None:
-                continue
+            continue
         tag = tag.lower()
         if head and (tag in _HEAD_ENDS if end else tag not in _HEAD):
             head = False
@@ -119,9 +179,11 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in _RAW and not end:
             closed = _closed(attrs)
-            if closed and any(t != "object" for t, _ in hidden):
+            if closed and (tag in endless or any(t != "object" for t, _ in hidden)):
                 continue
-            shut = _RAW[tag].search(page, at)
+            shut = None if tag in endless else _RAW[tag].search(page, at)
+            if shut is None:
+                endless.add(tag)
             if shut or not closed:
                 at = shut.end() if shut else len(page)
             continue
@@ -132,7 +194,7 @@ def blocks(page: str) -> list[Block]:
             if not end:
                 if at not in bare and not _closed(attrs):
                     hidden.append((tag, at))
-            else:
+            elif any(t == tag for t, _ in hidden[-64:]):
                 for i in range(len(hidden) - 1, -1, -1):
                     if hidden[i][0] == tag:
                         bare.update(begin for _, begin in hidden[i + 1 :])
@@ -145,43 +207,43 @@ def blocks(page: str) -> list[Block]:
         if hidden:
             continue
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                while pop() != tag:
+                    pass
             continue
         if tag in VOID:
             continue
         shut = CLOSES.get(tag, _PARAGRAPH)
-        while stack and stack[-1][0] in shut:
-            stack.pop()
+        while stack and stack[-1].tag in shut:
+            pop()
         names = ""
         if "=" in attrs:
             names = " ".join(sorted({w.lower() for found in _NAMES.findall(attrs) for w in _WORD.findall(" ".join(found))}))
-        stack.append((tag, names))
+        push(tag, names)
     if at < len(page):
         parts.append((page[at:], link > 0))
     flush()
     return out
 
 
+#: Stems of names that often stand for a role, with something before or behind them.
+_STEMS = ("comment", "ad", "ads", "advert", "banner", "promo", "sponsor", "side", "menu", "nav", "foot", "head", "cookie", "consent", "notice", "share", "social", "related", "login", "form", "widget", "content", "article", "post", "entry", "main", "body", "story", "text")
+
+
 @functools.lru_cache(20_000)
-def _path_slots(path: tuple) -> tuple[int, ...]:
-    slots = {_slot("any")}
-    for tag, names in path:
-        slots.add(_slot("t:" + tag))
-        for w in names.split():
-            slots.add(_slot("c:" + w))
-            # a name often is a role with something before or behind it
-            for stem in ("comment", "ad", "ads", "advert", "banner", "promo", "sponsor", "side", "menu", "nav", "foot", "head", "cookie", "consent", "notice", "share", "social", "related", "login", "form", "widget", "content", "article", "post", "entry", "main", "body", "story", "text"):
-                if len(stem) > 3 and stem in w and stem != w:
-                    slots.add(_slot("s:" + stem))
-    if path:
-        slots.add(_slot("own:" + path[-1][0]))
-        slots.add(_slot("up:" + ">".join(t for t, _ in path[-2:])))
+def _element_slots(tag: str, names: str) -> tuple[int, ...]:
+    slots = {_slot("t:" + tag)}
+    for w in names.split()[:64]:
+        slots.add(_slot("c:" + w))
+        slots.update(_slot("s:" + stem) for stem in _STEMS if len(stem) > 3 and stem in w and stem != w)
     return tuple(sorted(slots))
 
 
+@functools.lru_cache(20_000)
+def _leaf_slots(tag: str, up: str) -> tuple[int, ...]:
+    return _slot("own:" + tag), _slot("up:" + up + ">" + tag if up else "up:" + tag)
+
+
 _CUES = ("©", "copyright", "all rights", "cookie", "subscri", "sign in", "log in", "login", "advert", "sponsored", "newsletter", "share this", "accept")
 
 
@@ -212,14 +274,52 @@ _CUE = [_slot(f"cue{i}") for i in range(2)]
 _PAD = FEATURES
 
 
+_SHARE = [_slot(f"share{i}") for i in range(5)]
+_KIN = [_slot(f"kin{i}") for i in range(5)]
+_SIDE = [_slot(f"side{i}") for i in range(3)]
+
+
+def _prose_slots(page_blocks: list[Block]) -> list[tuple[int, ...]]:
+    """Per block: its container's share of the page's prose, its kinship to the container with most of it, and its place before, among or behind that one's prose."""
+    masses, total = [], 0
+    for b in page_blocks:
+        mass = max(0, len(b.text) - b.linked) if b.text.count(" ") >= 5 else 0
+        b.node.box.mass += mass
+        masses.append(mass)
+        total += mass
+    boxes = [b.node.box for b in page_blocks]
+    best = max(boxes, key=lambda x: x.mass)
+    above, x = set(), best.up
+    while x is not None:
+        above.add(id(x))
+        x = x.up
+    among = [i for i, (b, m) in enumerate(zip(boxes, masses, strict=True)) if b is best and m] or [0]
+    first, last = among[0], among[-1]
+    out = []
+    for i, b in enumerate(boxes):
+        share = 0 if not b.mass else 1 + min(3, int(b.mass * 10 // total) // 2)
+        up = b.up
+        kin = 0 if b is best else 1 if up is best else 2 if up is best.up else 3 if id(b) in above else 4
+        out.append((_SHARE[share], _KIN[kin], _SIDE[0 if i < first else 1 if i <= last else 2]))
+    return out
+
+
+def _path(node: Node) -> tuple[int, ...]:
+    slots, x = list(node.own), node
+    while x is not None:
+        slots.extend(x.new)
+        x = x.up
+    return tuple(slots)
+
+
 def _rows(page_blocks: list[Block]) -> np.ndarray:
     n = len(page_blocks)
-    rows = [_path_slots(b.path) + _text_slots(b, i, n) for i, b in enumerate(page_blocks)]
+    rows = [(*_path(b.node), *_text_slots(b, i, n), *prose) for i, (b, prose) in enumerate(zip(page_blocks, _prose_slots(page_blocks), strict=True))] if n else []
     width = max(map(len, rows), default=0)
     return np.array([r + (_PAD,) * (width - len(r)) for r in rows], np.int64)
 
 
-def made_pages(count: int = 260, seed: int = 23) -> list[tuple[str, list[bool]]]:
+def made_pages(count: int = 420, seed: int = 23) -> list[tuple[str, list[bool]]]:
     """Pages with, for each leaf block, whether it belongs to the article."""
     r = np.random.default_rng(seed)
     bits = ["th", "on", "er", "an", "re", "he", "in", "ed", "nd", "ha", "tion", "ment", "que", "sch", "ung", "os", "la", "ver", "eau", "ll"]
@@ -240,6 +340,20 @@ def made_pages(count: int = 260, seed: int = 23) -> list[tuple[str, list[bool]]]
                 put(f'<li><a href="/{word()}">{word()}{" " + word() if r.random() < 0.3 else ""}</a></li>', False)
             page.append("</ul>")  # noqa: B023
 
+        def comments() -> None:
+            own = any_of("div", "section", "aside", "ol", "ul")
+            page.append(f'<{own} {any_of("class", "id")}="{any_of("comments", "comments", "comment-list", "user-comments", "replies", "discussion", "disqus", "responses")}">')  # noqa: B023
+            if r.random() < 0.4:
+                put(f"<h3>{int(r.integers(1, 99))} {word()}</h3>", False)
+            for _ in range(int(r.integers(1, 6))):
+                if r.random() < 0.5:
+                    put(f'<{any_of("div", "p", "li")} class="{any_of("comment", "reply", word())}">{prose(any_of(3, 10, 40, 90))}', False)
+                else:
+                    page.append("<div>")  # noqa: B023
+                    put(f"<p>{prose(any_of(3, 10, 40, 90))}</p>", False)
+                    page.append("</div>")  # noqa: B023
+            page.append(f"</{own}>")  # noqa: B023
+
         def noise() -> None:
             kind = int(r.integers(12))
             own = any_of("div", "section", "aside")
@@ -266,10 +380,7 @@ def made_pages(count: int = 260, seed: int = 23) -> list[tuple[str, list[bool]]]
             elif kind == 6:
                 put(f'<div class="{any_of("cookie", "cookie-notice", "consent", "notice", "gdpr", "popup", "alert")}">{prose(int(r.integers(4, 25)))}</div>', False)
             elif kind == 7:
-                page.append(f'<{own} {any_of("class", "id")}="{any_of("comments", "comment", "comment-list", "replies", "discussion", "disqus")}">')  # noqa: B023
-                for _ in range(int(r.integers(1, 5))):
-                    put(f'<{any_of("div", "p", "li")} class="comment">{prose(int(r.integers(3, 40)))}', False)
-                page.append(f"</{own}>")  # noqa: B023
+                comments()
             elif kind == 8:
                 page.append(f'<form action="/{word()}">')  # noqa: B023
                 put(f"<label>{word()} {word()}</label><input name={word()}>", False)
@@ -285,7 +396,8 @@ def made_pages(count: int = 260, seed: int = 23) -> list[tuple[str, list[bool]]]
                 put(f'<div {any_of("class", "id")}="{any_of("header", "masthead", "site-header", "topbar")}">{word()} {word()}</div>', False)
 
         def article() -> None:
-            opened = any_of("<article>", "<article>", "<article>", '<article class="post">', "<main>", '<div class="content">', '<div id="content">', '<div class="post-body">', '<div class="article">', '<section class="entry">', '<div class="story">', "<main><article>", '<div id="main">')
+            named = f'class="{word()}{any_of("", "-" + word(), str(int(r.integers(99))))}"'
+            opened = any_of("<section>", "<div>", "<div>", f"<div {named}>", f"<section {named}>", f"<div><div {named}>", "<section><div>", "", "<article>", f"<article {named}>", "<article>", "<article>", "<article>", '<article class="post">', "<main>", '<div class="content">', '<div id="content">', '<div class="post-body">', '<div class="article">', '<section class="entry">', '<div class="story">', "<main><article>", '<div id="main">')
             page.append(opened)  # noqa: B023
             for _ in range(int(r.integers(0, 2)) + (r.random() < 0.7)):
                 put(f"<{any_of('h1', 'h1', 'h2')}>{prose(int(r.integers(2, 10)))}" + "</h1>", True)
@@ -310,8 +422,16 @@ def made_pages(count: int = 260, seed: int = 23) -> list[tuple[str, list[bool]]]
                     page.append("<table>")  # noqa: B023
                     put(f"<tr><td>{prose(3)}</td>", True)
                     page.append("</tr></table>")  # noqa: B023
+                elif kind < 0.985:
+                    page.append(f"<div {named}>")  # noqa: B023
+                    put(f"<p>{prose(n)}</p>", True)
+                    page.append("</div>")  # noqa: B023
                 else:
                     noise()
+            if r.random() < 0.25:
+                noise()
+            if r.random() < 0.45:
+                comments()
             page.append("".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opened))))  # noqa: B023
 
         page.append("<!DOCTYPE html><html><head><title>x</title></head><body>")
@@ -340,22 +460,25 @@ def train() -> crf.Chain:
 
 
 class Extractor:
-    """Scores paths once, then labels pages with plain arithmetic."""
+    """Scores each element once, then labels pages with plain arithmetic."""
 
     def __init__(self, model: crf.Chain):
         w = model.weights
         self.w = (w[:, 1] - w[:, 0]).tolist()  # only the difference matters to the best path
         self.t = model.transitions.tolist()
         self.s = model.start.tolist()
-        self.paths: dict[tuple, float] = {}
 
-    def _path(self, path: tuple) -> float:
-        got = self.paths.get(path)
-        if got is None:
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            got = self.paths[path] = sum(self.w[i] for i in _path_slots(path))
-        return got
+    def _weight(self, node: Node) -> float:
+        """The weight of a node's features and its ancestors', each kept once it is known."""
+        chain = []
+        while node is not None and node.weight is None:
+            chain.append(node)
+            node = node.up
+        total = node.weight if node is not None else 0.0
+        for x in reversed(chain):
+            total += sum([self.w[i] for i in x.new])
+            x.weight = total
+        return total
 
     def text(self, page: str) -> str:
         found = blocks(page)
@@ -365,8 +488,9 @@ class Extractor:
         w, (t00, t01), (t10, t11) = self.w, *self.t
         back = []
         a = b = 0.0
+        prose = _prose_slots(found)
         for i, block in enumerate(found):
-            e = self._path(block.path) + sum([w[j] for j in _text_slots(block, i, n)])
+            e = self._weight(block.node) + sum([w[j] for j in block.node.own]) + sum([w[j] for j in _text_slots(block, i, n)]) + sum([w[j] for j in prose[i]])
             if i:
                 p, q = a + t00, b + t10
                 x, y = a + t01, b + t11
@@ -391,8 +515,11 @@ def extract(pages: DataFrame, model: crf.Chain | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row.
 
     A null or empty html, or one without an article, gives an empty text. Broken
-    markup is read as far as it goes. Repeated rows give equal rows; other
-    columns are ignored; an empty table gives an empty result.
+    markup is read as far as it goes, very long pages whole and one at a time. Of
+    equally good labellings the one with fewer article blocks is taken, and of
+    containers with equally much prose the first counts. Repeated rows give equal
+    rows; other columns, whatever their names, are ignored; an empty table gives
+    an empty result.
     """
     session.ship(pages.sparkSession)
     model = model or train()
