@@ -191,3 +191,42 @@ def test_rows_without_ids_are_not_one_group(spark):
     sizes = [r["n"] for r in packing.pack(cut, group_pieces=500).groupBy((F.col("sequence_id") % 12).alias("g")).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 12 and max(sizes) < 1000
     assert packing.pack(cut.limit(0)).count() == 0
+
+
+def test_secret_field_on_lines_held_out(spark):
+    """What the field adds to the base spans: most secrets of every made form are found, and little else is."""
+    lines = secrets._lines(300, seed=77)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lines)], "doc_id long, text string")
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = secrets.train(plain)
+    found = {r.doc_id: r.secret_spans for r in secrets.scan(docs, model).collect()}
+    whole, known, added, wrong = 0, 0, 0, 0
+    for i, (text, spans) in enumerate(lines):
+        inside = np.zeros(len(text) + 1, bool)
+        covered = np.zeros(len(text) + 1, bool)
+        for s in found[i]:
+            covered[s["start"] : s["end"]] = True
+        for a, b in spans:
+            lo, hi = (len(text.encode()[:x].decode()) for x in (a, b))
+            inside[lo:hi] = True
+            whole += 1
+            known += covered[lo:hi].mean() > 0.9
+        field = [s for s in found[i] if s["kind"] == "field"]
+        added += len(field)
+        wrong += sum(inside[s["start"] : s["end"]].mean() < 0.5 for s in field)
+    assert whole > 400 and known / whole >= 0.95 and added > 200 and wrong / added <= 0.05
+    # prose without secrets gets next to nothing
+    assert secrets.scan(plain, model).where("exists(secret_spans, s -> s.kind = 'field')").count() <= 1
+    # the sample, and so the model, does not depend on how rows are laid out
+    again = secrets.train(plain.unionByName(plain).repartition(5))
+    assert (again.weights == secrets.train(plain.unionByName(plain).repartition(2)).weights).all()
+
+
+def test_secrets_in_long_texts_ties_and_clashing_columns(spark):
+    key = "AKIA" + "Q7" * 9
+    rows = [(1, "word " * 300_000 + key, "c"), (2, f"a {key}", "c"), (2, f"a {key}", "c"), (None, None, "c"), (3, "", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = sorted((r.doc_id or 0, r.n_access, r.spans) for r in secrets.scan_digest(docs).collect())
+    at = len("word " * 300_000)
+    assert got == [(0, 0, ""), (1, 1, f"access:{at}:{at + 22}"), (2, 1, "access:2:24"), (2, 1, "access:2:24"), (3, 0, "")]
+    assert secrets.redact(docs).columns == docs.columns and secrets.scan_digest(docs.limit(0)).count() == 0
