@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import html_text, language_id, mpeg_audio, packing, secrets
+from tickloom.llm import decontaminate, html_text, language_id, mpeg_audio, packing, secrets
 
 ARTICLE = "<article><h1>A title here</h1><p>First part of it, with some words.</p><p>Second part, and more words than that.</p></article>"
 
@@ -230,3 +231,95 @@ def test_secrets_in_long_texts_ties_and_clashing_columns(spark):
     at = len("word " * 300_000)
     assert got == [(0, 0, ""), (1, 1, f"access:{at}:{at + 22}"), (2, 1, "access:2:24"), (2, 1, "access:2:24"), (3, 0, "")]
     assert secrets.redact(docs).columns == docs.columns and secrets.scan_digest(docs.limit(0)).count() == 0
+
+
+def benchmark_rows(r, n=40):
+    return [(i, " ".join(f"w{r.randrange(300)}" for _ in range(r.randint(6, 40)))) for i in range(n)]
+
+
+def test_dismissal_and_search_equal_all_scores():
+    """candidates() and block-max WAND together retrieve what scoring every item for every passage does."""
+    import pyarrow as pa
+
+    from tickloom.llm import textkit
+
+    r = random.Random(6)
+    items = benchmark_rows(r)
+    index = decontaminate.build(items)
+    searcher = decontaminate.Searcher(index)
+    lists = index.lists()
+    texts = []
+    for _ in range(120):
+        words = [f"w{r.randrange(600)}" for _ in range(r.randint(1, 200))]
+        if r.random() < 0.7:
+            held = r.choice(items)[1].split()
+            at = r.randrange(len(words) + 1)
+            words[at:at] = [w for w in held if r.random() < r.choice([0.5, 0.8, 1.0])]
+        texts.append(" ".join(words))
+    body, offsets = textkit.raw_text(pa.array(texts))
+    words = decontaminate.words_of(body, offsets)
+    passages, cells, begin, term = searcher.candidates(words)
+    found, kept = 0, set(passages.tolist())
+    for p in {int(c) - b for c in cells for b in (0, 1) if (int(c) & 0xFFFFFFFF) >= b}:
+        i = np.searchsorted(cells, [p, p + 2])
+        own = np.unique(term[begin[i[0]] : begin[i[1]]]).tolist()
+        score = np.zeros(len(index.items))
+        for t in own:
+            score[lists[t][0]] += lists[t][1]
+        want = [(n, round(x, 9)) for n, x in enumerate(score) if x >= searcher.threshold - 1e-9]
+        got = decontaminate.block_max_wand([lists[t] for t in own], index.bounds[own].tolist(), searcher.threshold)
+        assert [(n, round(x, 9)) for n, x in got] == want
+        assert not want or p in kept
+        found += len(want)
+    assert found > 50 and len(kept) < len(cells)
+
+
+def test_leaks_over_several_indexes(spark):
+    r = random.Random(7)
+    items = benchmark_rows(r)
+    words = lambda n: " ".join(f"z{r.randrange(900)}" for _ in range(n))
+    texts = [f"{words(30)} {items[i % 40][1]} {words(r.randint(0, 50))}" if i % 3 else words(80) for i in range(90)]
+    rows = [(i, t, 1.0, "c") for i, t in enumerate(texts)] + [(7, texts[7], 1.0, "c"), (None, texts[8], 1.0, "c"), (91, None, 1.0, "c"), (92, "", 1.0, "c"), (93, words(300_000) + " " + items[0][1], 1.0, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, item_id string")
+    bench = spark.createDataFrame([*items, (None, "no id at all"), (41, None), (42, "")], "item_id long, text string")
+    once = Counter(tuple(x)[:2] for x in decontaminate.find_leaks(docs, bench).collect())
+    want = Counter((d, i % 40) for d, i in [(i, i) for i in range(90) if i % 3] + [(7, 7), (None, 8), (93, 0)])
+    assert once == want
+    assert Counter(tuple(x)[:2] for x in decontaminate.find_leaks(docs, bench, items=9).collect()) == want
+    left = decontaminate.remove_leaks(docs, bench, items=9)
+    assert left.columns == docs.columns and Counter(x.doc_id for x in left.collect()) == Counter(i for i, *_ in rows if (i, 0) not in {(d, 0) for d, _ in want})
+    assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0 == decontaminate.find_leaks(docs, bench.limit(0)).count()
+    assert decontaminate.remove_leaks(docs, bench.limit(0)).count() == len(rows)
+    assert len(list(decontaminate._indexes(bench, 50, 700))) > 3
+
+
+def test_language_of_mixtures(spark):
+    """Texts put together from several languages get a share of each, the largest is named."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text").where("length(text) between 300 and 3000 and lang is not null")
+    by = {}
+    for row in docs.collect():
+        by.setdefault(row.lang, []).append(row.text)
+    model = language_id.train(docs)
+    names = sorted(by)
+    right, shares, total = 0, [], 0
+    for k in range(2, len(names) + 1):
+        for shift in range(len(names)):
+            some = [names[(shift + j) % len(names)] for j in range(k)]
+            # the first language has half of the text, the others share the rest
+            text = " ".join(by[some[0]][:6])[:3000] + " " + " ".join(" ".join(by[n][:6])[: 3000 // (k - 1)] for n in some[1:])
+            body = np.frombuffer(text.encode(), np.uint8)
+            best, score = language_id.mixtures(model, body, np.array([0, len(body)]))
+            right += model.languages[int(best[0])] == some[0] or k == 2
+            shares.append(abs(float(score[0]) - 0.5))
+            total += 1
+    assert right >= 0.9 * total and np.mean(shares) < 0.12
+
+
+def test_language_of_long_texts_ties_and_clashing_columns(spark):
+    rows = [(i, ("the cat sat on the mat and " if i % 2 else "der hund ist auf dem feld und ") * 5, "en" if i % 2 else "de", "c") for i in range(30)]
+    rows += [(100, "the cat sat on the mat " * 50_000, None, "c"), (101, None, None, "c"), (102, "12 34", None, "c"), (100, "the cat sat", None, "c"), (None, "der hund ist", None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, has_letter string")
+    got = [(r.doc_id, r.lang_pred) for r in language_id.predict(docs).collect() if r.doc_id is None or r.doc_id > 99]
+    assert sorted(got, key=str) == sorted([(100, "en"), (100, "en"), (101, "und"), (102, "und"), (None, "de")], key=str)
+    assert language_id.keep_known(docs).columns == docs.columns and language_id.keep_known(docs).count() == 33
+    assert language_id.predict(docs.limit(0)).count() == 0

@@ -15,6 +15,7 @@ its question (its first half) and its answer (the rest) each.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +32,9 @@ OVERLAP, HALF = 0.8, 0.5
 SHINGLE = 5
 BLOCK = 16
 LEAST_WORDS = 32
-#: Items of one index; more are searched in several passes.
+#: Items, and bytes of their texts, of one index; more are searched in several passes, one index alive at a time.
 ITEMS = 50_000
+INDEX_BYTES = 16 << 20
 
 _U = np.uint64
 _WORD = np.zeros(256, bool)
@@ -256,27 +258,33 @@ class Searcher:
         return [(r, i, *v) for (r, i), v in sorted(best.items())]
 
 
-def _indexes(benchmark: DataFrame, items: int) -> list[Index]:
-    """Indexes of at most about `items` test items each."""
+def _indexes(benchmark: DataFrame, items: int, size: int = INDEX_BYTES) -> Iterator[tuple[Index, bool]]:
+    """Indexes of at most about `items` test items and `size` bytes of text each, and whether it is the last. An item is never split."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    parts = max(1, -(-rows.count() // items))
-    out = []
+    found = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    parts = max(1, -(-found["n"] // items), -(-(found["b"] or 0) // size))
     for k in range(parts):
-        some = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else rows
+        some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else rows
         index = build([(r["item_id"], r["text"]) for r in some.collect()])
         if index is not None:
-            out.append(index)
-    return out
+            yield index, k == parts - 1
 
 
 OUT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
 
-def _shared(docs: DataFrame, index: Index):
-    """An index goes out as a broadcast variable; its items are bounded by ITEMS."""
-    session.ship(docs.sparkSession)
-    return docs.sparkSession.sparkContext.broadcast(pickle.dumps(index))
+def _searched(docs: DataFrame, benchmark: DataFrame, items: int, search, fold) -> DataFrame | None:
+    """fold(result so far, search(index broadcast)) over the indexes. A pass that is not the last is written, and its index freed, before the next is built."""
+    spark, out = docs.sparkSession, None
+    session.ship(spark)
+    for index, last in _indexes(benchmark, items):
+        shared = spark.sparkContext.broadcast(pickle.dumps(index))
+        out = fold(out, search(out, shared))
+        if not last:
+            out = session.materialize(out)
+            shared.unpersist()
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
@@ -285,14 +293,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> Dat
     Null texts and items without words match nothing; test items without id are
     left out, and items that share an id are each searched, the best counts. A
     document without id is reported with a null id, repeated rows are reported
-    alike. Empty tables give an empty result; other columns are ignored.
+    alike. Very long texts are searched whole, passage by passage; of passages that
+    hold one item the best score counts, of equal ones the greater overlaps. Empty
+    tables give an empty result; other columns, whatever their names, are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for index in _indexes(benchmark, items):
-        shared = _shared(docs, index)
 
-        def run(batches, shared=shared):
+    def search(_, shared):
+        def run(batches):
             searcher = Searcher(pickle.loads(shared.value))
             for batch in batches:
                 ids = textkit.column(batch, "doc_id").to_pylist()
@@ -300,17 +308,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> Dat
                     found = [(ids[lo + r], i, round(s, 6), round(q, 6), round(a, 6)) for r, i, s, q, a in searcher.leaks(body, offsets)]
                     yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(_OUT_ARROW.types)], schema=_OUT_ARROW)
 
-        part = texts.mapInArrow(run, OUT)
-        out = part if out is None else out.unionByName(part)
+        return texts.mapInArrow(run, OUT)
+
+    out = _searched(docs, benchmark, items, search, lambda before, part: part if before is None else before.unionByName(part))
     return docs.sparkSession.createDataFrame([], OUT) if out is None else out
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """docs, all columns, without the documents that hold a test item; the rules of find_leaks."""
-    for index in _indexes(benchmark, items):
-        shared = _shared(docs, index)
 
-        def run(batches, shared=shared):
+    def search(left, shared):
+        def run(batches):
             searcher = Searcher(pickle.loads(shared.value))
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
@@ -318,5 +326,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> D
                     keep[[lo + f[0] for f in searcher.leaks(body, offsets)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        left = docs if left is None else left
+        return left.mapInArrow(run, left.schema)
+
+    out = _searched(docs, benchmark, items, search, lambda _, part: part)
+    return docs if out is None else out
