@@ -189,6 +189,9 @@ def test_archive_readers_checksums_and_zips(spark, tmp_path):
     (tmp_path / "b.csv").write_text("2,11.5,3,2,2,1700000000123456,false\n")
     rows = sorted(tuple(r) for r in archive.read_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], "trades").collect())
     assert rows == [(1, 10.5, 2.0, 1, 1, 1700000000123, True), (2, 11.5, 3.0, 2, 2, 1700000000123, False)]
+    (tmp_path / "bad.csv").write_text("7,1.5,2,7,7,1700000000123,true\nagain,price\nx,1,2,3,4,5,true\n")
+    assert [r.agg_trade_id for r in archive.read_csv(spark, str(tmp_path / "bad.csv"), "trades").collect()] == [7]
+    assert sorted(r.line for r in archive.read_csv(spark, str(tmp_path / "bad.csv"), "trades", rejects=True).collect()) == ["again,price", "x,1,2,3,4,5,true"]
     (tmp_path / "d.csv").write_text("timestamp,percentage,depth,notional\n2024-01-01 00:00:05,-5.00,1.5,2.5\n")
     assert archive.read_csv(spark, str(tmp_path / "d.csv"), "depth").first().percentage == -5
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
@@ -197,9 +200,9 @@ def test_archive_readers_checksums_and_zips(spark, tmp_path):
     good = hashlib.sha256((tmp_path / "b.csv").read_bytes()).hexdigest()
     sums = spark.createDataFrame([("a.csv", "0"), ("b.csv", good), ("c.csv", good)], "name string, sha256 string")
     assert {r.name: r.status for r in archive.verified(spark, str(tmp_path / "*.csv"), sums).collect()} == {"a.csv": "CHECKSUM_MISMATCH", "b.csv": "ok", "c.csv": "missing_404"}
-    book = archive.Ledger(str(tmp_path / "ledger.json"))
+    book = archive.Ledger(spark, str(tmp_path / "ledger.json"))
     book.record("u", status="ok", sha256=good, byte_size=1)
-    assert archive.Ledger(str(tmp_path / "ledger.json")).has("u") and book.frame(spark).count() == 1
+    assert archive.Ledger(spark, str(tmp_path / "ledger.json")).has("u") and book.frame().count() == 1
     assert archive.quarantine_windows(spark, str(tmp_path / "none.json")).count() == 0
 
 

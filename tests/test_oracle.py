@@ -11,7 +11,7 @@ import pytest
 from tickloom import catalog
 
 SF = Path("/root/testdata/sf0.001")
-SOME = ["src_trades", "src_normalised_ms", "prj_calendar", "bars_partial", "bars_hourly", "buckets_hourly", "bars_coarse", "win_divergence", "win_quantile", "win_pooled_percentiles", "det_all", "hyg_dedup", "sta_returns", "cst_net_returns", "qa_reconciled", "qa_order", "qa_backfilled", "qa_explained", "str_continuity", "str_sync", "sta_fdr"]
+SOME = ["src_trades", "src_normalised_ms", "prj_calendar", "bars_partial", "bars_hourly", "buckets_hourly", "bars_coarse", "win_divergence", "win_quantile", "win_pooled_percentiles", "det_all", "hyg_dedup", "sta_returns", "cst_net_returns", "qa_reconciled", "qa_order", "qa_backfilled", "qa_explained", "str_continuity", "str_sync", "sta_fdr", "prj_seed", "src_csv_trades", "src_csv_depth", "src_verified", "src_zip", "src_ledger", "src_jsonl", "snk_staged", "snk_stream", "str_checked", "agg_extensions", "sta_cells_given", "sta_promotion_given", "sta_placebo_given", "agg_sign_agreement", "fig_paths"]
 
 
 def plain(x):
@@ -19,6 +19,8 @@ def plain(x):
         return None if math.isnan(x) else x + 0.0
     if isinstance(x, Decimal):
         return float(x)
+    if isinstance(x, list):
+        return [plain(v) for v in x]
     return x.replace(tzinfo=None) if isinstance(x, datetime.datetime) else x
 
 

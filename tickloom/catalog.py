@@ -17,7 +17,7 @@ from tickloom.functions import series, tables
 from tickloom.operators import bars as B
 from tickloom.operators import costs, detectors, hygiene, quality, returns, stats
 from tickloom.plans import study as P
-from tickloom.sources import adapter
+from tickloom.sources import adapter, archive, sinks
 from tickloom.sqltwin import D, twin
 from tickloom.streaming import depth
 
@@ -113,8 +113,6 @@ def src_header(spark, sf):
 @query("select year(d)::int as year, month(d)::int as month from (select unnest(range(date '2022-07-01', date '2026-07-01', interval 1 month)) as d)")
 def src_months(spark, sf):
     """SRC14: the study's months."""
-    from tickloom.sources import archive
-
     return archive.months(spark, "2022-07", "2026-06")
 
 
@@ -144,16 +142,197 @@ def prj_percent(spark, sf):
     return _rounded(both.select("day", p.alias("signed_pct"), F.abs(p).alias("abs_pct")))
 
 
-@query("select event_type, user_id % 5 as h, event_id % 7 as b, 0::bigint as seed from events where false")
+# a crc32 in SQL: for each byte, eight steps of one bit
+_STEP = "lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))"
+
+
+@query(f"""select event_type, h, b, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(event_type || '|' || h || '|' || b, ''), lambda x: [ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))), {_STEP}), 4294967295) % 2147483648 as seed
+  from (select distinct event_type, user_id % 5 as h, event_id % 7 as b from events)""")
 def prj_seed(spark, sf):
-    """STA3: crc32 seeds agree with their plain twin; rows where they do not."""
+    """STA3: seeds by crc32 of the joined parts."""
     t = adapter.table(spark, sf, "events").select("event_type", (F.col("user_id") % 5).alias("h"), (F.col("event_id") % 7).alias("b")).distinct()
-    import zlib
+    return t.select("event_type", "h", "b", C.seed_of(F.col("event_type"), F.col("h"), F.col("b")).alias("seed"))
+
+
+# ---- files, read and written ---------------------------------------------------------------------------------------
+
+
+def _trade_lines(spark, sf):
+    """Trades as the archive's seven columns."""
+    t = adapter.trades(spark, sf)
+    return t.select("agg_trade_id", "price", "quantity", F.col("agg_trade_id").alias("first_trade_id"), F.col("agg_trade_id").alias("last_trade_id"), "transact_time", "is_buyer_maker")
+
+
+_ARCHIVE = "agg_trade_id, price, quantity, agg_trade_id as first_trade_id, agg_trade_id as last_trade_id, transact_time, is_buyer_maker from trades"
+
 
-    known = {(s, h, b): zlib.crc32(f"{s}|{h}|{b}".encode()) % (1 << 31) for s in ("view", "signup", "error", "click", "purchase") for h in range(5) for b in range(7)}
-    plain = F.create_map(*[x for k, v in known.items() for x in (F.lit("|".join(map(str, k))), F.lit(v).cast("long"))])
-    seed = C.seed_of(F.col("event_type"), F.col("h"), F.col("b"))
-    return t.where(seed != plain[F.concat_ws("|", "event_type", "h", "b")]).select("event_type", "h", "b", seed.alias("seed"))
+@query(f"select {_ARCHIVE}")
+def src_csv_trades(spark, sf):
+    """SRC1, 3, 8, 9: files with and without a header, stamps in ms and us, read as one table."""
+    rows, path = _trade_lines(spark, sf), tables.folder(spark)
+    rows.where("agg_trade_id % 2 = 0").write.option("header", True).csv(f"{path}/headed")
+    rows.where("agg_trade_id % 2 = 1").withColumn("transact_time", F.col("transact_time") * 1000).write.csv(f"{path}/bare")
+    return archive.read_csv(spark, [f"{path}/headed", f"{path}/bare"], "trades")
+
+
+@query("""select e.event_id * 60000 + 1700000000000 as open_time, value as open, value + 1 as high, value - 1 as low, value as close, value * 2 as volume, event_id * 60000 + 1700000059999 as close_time, value * 3 as quote_volume,
+  user_id as count, value as taker_buy_volume, value as taker_buy_quote_volume, '0' as ignore from events e""")
+def src_csv_klines(spark, sf):
+    """SRC9: minute candles out of CSV."""
+    i, v, path = F.col("event_id"), F.col("value"), tables.folder(spark)
+    cols = [i * 60_000 + 1_700_000_000_000, v, v + 1, v - 1, v, v * 2, i * 60_000 + 1_700_000_059_999, v * 3, F.col("user_id"), v, v, F.lit("0")]
+    adapter.table(spark, sf, "events").select(*[c.alias(f"c{k}") for k, c in enumerate(cols)]).write.csv(path)
+    return archive.read_csv(spark, path, "klines")
+
+
+@query("select 1700000000000 + event_id * 28800000 as calc_time, 8::bigint as funding_interval_hours, (event_id % 21 - 10) / 10000 as last_funding_rate from events")
+def src_csv_funding(spark, sf):
+    """SRC9: funding rates out of CSV."""
+    i, path = F.col("event_id"), tables.folder(spark)
+    adapter.table(spark, sf, "events").select((i * 28_800_000 + 1_700_000_000_000).alias("calc_time"), F.lit(8).alias("hours"), ((i % 21 - 10) / 10_000).alias("rate")).write.option("header", True).csv(path)
+    return archive.read_csv(spark, path, "funding")
+
+
+@query("""select date_trunc('second', ts)::timestamp as timestamp, event_id % 11 - 5 as percentage, value as depth, value * 2 as notional from events""")
+def src_csv_depth(spark, sf):
+    """SRC9: book depth out of CSV: times as text, percentages as whole numbers."""
+    i, path = F.col("event_id"), tables.folder(spark)
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    percent = F.format_string("%.2f", (i % 11 - 5).cast("double"))
+    adapter.table(spark, sf, "events").select(text.alias("timestamp"), percent.alias("percentage"), F.col("value").alias("depth"), (F.col("value") * 2).alias("notional")).write.option("header", True).csv(path)
+    return archive.read_csv(spark, path, "depth")
+
+
+@query("""select 'https://archive.invalid/monthly/aggTrades/SYN/SYN-aggTrades-' || year(d) || '-' || lpad(month(d)::varchar, 2, '0') || '.zip' as url, 'https://archive.invalid/daily/klines/SYN/1m/SYN-1m-' || strftime(d, '%Y-%m-%d') || '.zip' as day_url
+  from (select unnest(range(date '2022-07-01', date '2022-12-01', interval 1 month)) as d)""")
+def src_urls(spark, sf):
+    """SRC4: addresses of monthly and daily files."""
+    base = "https://archive.invalid"
+    rows = [(archive.month_url(base, "aggTrades", "SYN", r.year, r.month), archive.day_url(base, "klines", "SYN", f"{r.year}-{r.month:02d}-01", "1m")) for r in archive.months(spark, "2022-07", "2022-11").collect()]
+    return spark.createDataFrame(rows, "url string, day_url string")
+
+
+def _region_files(spark, sf, make, extension: str):
+    """A file for every region but the third, holding make(name); (folder, the regions)."""
+    path = tables.folder(spark)
+    regions = adapter.table(spark, sf, "region").select("r_regionkey", "r_name")
+    for r in regions.where("r_regionkey <> 2").collect():
+        archive.write_file(spark, f"{path}/{r.r_name}.{extension}", make(r.r_name))
+    return path, regions
+
+
+@query("""select r_name || '.csv' as name, case when r_regionkey <> 2 then length(r_name)::bigint end as size, case r_regionkey when 1 then 'CHECKSUM_MISMATCH' when 2 then 'missing_404' else 'ok' end as status from region""")
+def src_verified(spark, sf):
+    """SRC7: files against their checksums."""
+    path, regions = _region_files(spark, sf, str.encode, "csv")
+    sums = regions.select(F.concat("r_name", F.lit(".csv")).alias("name"), F.sha2(F.when(F.col("r_regionkey") == 1, "other").otherwise(F.col("r_name")).cast("binary"), 256).alias("sha256"))
+    return archive.verified(spark, f"{path}/*.csv", sums).select("name", "size", "status")
+
+
+@query("select r_name || '.csv' as name, r_name || ',1' as line from region where r_regionkey <> 2")
+def src_zip(spark, sf):
+    """SRC10: zips with one member each."""
+    import io
+    import zipfile
+
+    def packed(name: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(f"{name}.csv", f"{name},1")
+        return out.getvalue()
+
+    path, _ = _region_files(spark, sf, packed, "zip")
+    return archive.extract_single_csv(spark, f"{path}/*.zip").select("name", F.col("content").cast("string").alias("line"))
+
+
+@query("select '.csv' as extension, count(*) as n, sum(length(r_name))::bigint as bytes from region where r_regionkey <> 2 union all select '' as extension, 1 as n, 3 as bytes")
+def agg_extensions(spark, sf):
+    """AGG15: files and bytes by extension."""
+    path, _ = _region_files(spark, sf, str.encode, "csv")
+    archive.write_file(spark, f"{path}/deep/README", b"abc")
+    return archive.by_extension(spark, path)
+
+
+@query("select 'u' || r_regionkey as url, r_name as sha256, length(r_name)::bigint as byte_size, case when r_regionkey = 3 then 'missing_404' else 'ok' end as status, r_regionkey <> 3 as known from region")
+def src_ledger(spark, sf):
+    """SRC5: the ledger, written entry by entry and opened again."""
+    path = f"{tables.folder(spark)}/ledger.json"
+    book = archive.Ledger(spark, path)
+    for r in adapter.table(spark, sf, "region").select("r_regionkey", "r_name").collect():
+        book.record(f"u{r.r_regionkey}", sha256=r.r_name, byte_size=len(r.r_name), status="missing_404" if r.r_regionkey == 3 else "ok")
+    again = archive.Ledger(spark, path)
+    known = [u for u in again.entries if again.has(u)]
+    return again.frame().withColumn("known", F.col("url").isin(known))
+
+
+@query("select 'SYN' as symbol, start_ms, end_ms from windows")
+def src_quarantine(spark, sf):
+    """SRC12: quarantine windows out of JSON records; none where there is no file."""
+    path = tables.folder(spark)
+    _windows(spark).write.json(path)
+    return archive.quarantine_windows(spark, path).unionByName(archive.quarantine_windows(spark, path + "-none"))
+
+
+@query("select event_id, event_type from events")
+def src_jsonl(spark, sf):
+    """SRC13, SNK5: JSON lines, appended twice and read back."""
+    path, rows = tables.folder(spark), adapter.table(spark, sf, "events").select("event_id", "event_type")
+    for half in (0, 1):
+        sinks.append_jsonl(rows.where(F.col("event_id") % 2 == half), path)
+    return archive.read_jsonl(spark, path, "event_id long, event_type string").unionByName(archive.read_jsonl(spark, path + "-none", "event_id long, event_type string"))
+
+
+@query("""select symbol, year(bar_ts)::int as year, month(bar_ts)::int as month, count(*) as n, round(sum(case when bar_index < 48 then volume + 1 else volume end), 6) as volume from bars group by all""")
+def snk_staged(spark, sf):
+    """SNK1: staged months; staging some of them again replaces these and keeps the others."""
+    bars, path = _prepared(spark, sf)[0], tables.folder(spark)
+    sinks.stage(bars, path)
+    first = bars.where(F.month("bar_ts") == F.lit(1))
+    sinks.stage(first.withColumn("volume", F.when(F.col("bar_index") < 48, F.col("volume") + 1).otherwise(F.col("volume"))), path)
+    return _rounded(spark.read.parquet(path).groupBy("symbol", "year", "month").agg(F.count("*").alias("n"), F.sum("volume").alias("volume")))
+
+
+@query(f"select {_BARS} from bars")
+def snk_store(spark, sf):
+    """SNK2: the final store, written by symbol and read back."""
+    bars, path = _prepared(spark, sf)[0], tables.folder(spark)
+    sinks.store(bars, path)
+    return _rounded(spark.read.parquet(path).drop("bar_ts"))
+
+
+@query("select event_type, count(*)::varchar as n, '[' || min(user_id) || ',' || max(user_id) || ']' as ends from events group by event_type")
+def snk_report(spark, sf):
+    """SNK3: a report as one CSV file, nested columns as JSON."""
+    path = tables.folder(spark)
+    sinks.report_csv(adapter.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.array(F.min("user_id"), F.max("user_id")).alias("ends")), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query("""select i::bigint as i, line from (select 0 as i, '| event_type | n | mean |' as line union all select 1, '|---|---|---|' union all
+  select 1 + row_number() over (order by event_type), '| ' || event_type || ' | ' || count(*) || ' | ' || printf('%.4f', round(avg(user_id), 4)) || ' |' from events group by event_type)""")
+def snk_markdown(spark, sf):
+    """SNK4: a report table as markdown."""
+    report = adapter.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("user_id"), 4).alias("mean")).orderBy("event_type")
+    return spark.createDataFrame(list(enumerate(sinks.markdown(report, ["event_type", "n", "mean"]).splitlines())), "i long, line string")
+
+
+@query("select event_id, event_type, value from events")
+def snk_stream(spark, sf):
+    """SNK7, STR4: a stream flushed to parquet, a file set for each trigger."""
+    path = tables.folder(spark)
+    rows = adapter.table(spark, sf, "events").select("event_id", "event_type", "value")
+    rows.repartition(4).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    sinks.flush_stream(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("""select event_id, case when event_id % 3 = 0 or event_id % 5 = 1 then 'FAIL' when event_id % 7 > 3 then 'PASS-WITH-EXCEPTIONS' else 'PASS' end as gate from events""")
+def qa_gate(spark, sf):
+    """QA11: the final verdict over made cases."""
+    i = F.col("event_id")
+    cases = adapter.table(spark, sf, "events").select("event_id", (i % 3 != 0).alias("complete"), (i % 5 == 1).cast("int").alias("unexplained"), F.greatest(i % 7 - 3, F.lit(0)).alias("excepted"))
+    return cases.select("event_id", quality.gates().alias("gate"))
 
 
 # ---- bars ----------------------------------------------------------------------------------------------------------
@@ -204,7 +383,8 @@ def buckets_of_coarse_bars(spark, sf):
     return _rounded(B.rebar(bars, buckets, 4 * S.bar_ms, S.bar_ms)[1])
 
 
-@query("select 'SYN' as symbol, 0.0::double as volume_gap, 0.0::double as delta_gap, 0::bigint as trade_gap")
+@query("""select b.symbol, abs(round(v - bv, 6)) as volume_gap, abs(round(d - bd, 6)) as delta_gap, (n - bn)::bigint as trade_gap from (select symbol, sum(volume) as v, sum(delta) as d, sum(trade_count) as n from bars group by symbol) b
+  join (select symbol, sum(buy_vol + sell_vol) as bv, sum(buy_vol - sell_vol) as bd, sum(trade_count) as bn from buckets group by symbol) k using (symbol)""")
 def bars_conserve(spark, sf):
     """AGG17: bars and buckets hold the same volume, delta and trades."""
     got = _rounded(B.conservation(*_prepared(spark, sf)))
@@ -607,8 +787,8 @@ def qa_missing_days(spark, sf):
     return quality.missing_days(adapter.trades(spark, sf), 19_723, 19_755)
 
 
-@query(f"""select symbol, count(*) filter (dt < 0) as out_of_order, count(*) filter (di <> 1) as id_gaps, (select count(*) from range(19723, 19756) t(d) where d not in (select day from keyed)) as missing, true as anomalous from (
-  select symbol, transact_time - lag(transact_time) over (order by o) as dt, agg_trade_id - lag(agg_trade_id) over (order by o) as di from (select *, {_ORDINAL} as o from trades)) group by symbol""")
+@query(f"""select *, out_of_order > 0 or missing > 0 as anomalous from (select symbol, count(*) filter (dt < 0) as out_of_order, count(*) filter (di <> 1) as id_gaps, (select count(*) from range(19723, 19756) t(d) where d not in (select day from keyed)) as missing from (
+  select symbol, transact_time - lag(transact_time) over (order by o) as dt, agg_trade_id - lag(agg_trade_id) over (order by o) as di from (select *, {_ORDINAL} as o from trades)) group by symbol)""")
 def qa_month_report(spark, sf):
     """QA3."""
     return quality.month_report(qa_order(spark, sf), qa_missing_days(spark, sf))
@@ -715,6 +895,19 @@ def str_sync(spark, sf):
     return depth.sync_point(_diffs(spark, sf), 1234)
 
 
+@query(f"""select symbol, count(*) filter (seen) as n_events, count(*) filter (not seen) as n_stale, count(*) filter (seen and gap) as n_gaps, max(last_id) as last_u from (
+  select *, pu <> lag(last_id) over (partition by seen order by ordinal) as gap from (select *, last_id > 1234 and ordinal >= (select min(ordinal) from {_DIFFS} where first_id <= 1235 and last_id >= 1235) as seen from {_DIFFS})) group by symbol""")
+def str_checked(spark, sf):
+    """STR3: stale events dropped, recording from the sync point, gaps counted, over a stream in two batches."""
+    path, rows = tables.folder(spark), _diffs(spark, sf)
+    for half, part in enumerate((rows.where("ordinal < 500"), rows.where("ordinal >= 500"))):
+        part.coalesce(1).write.parquet(f"{path}/in/{half}")
+    name = "checked_" + path.rsplit("/", 1)[1]
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    depth.checked_stream(stream, 1234).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).groupBy("symbol").agg(F.max_by(F.struct("n_events", "n_stale", "n_gaps", "last_u"), F.col("n_events") + F.col("n_stale")).alias("s")).select("symbol", "s.*")
+
+
 @query("select event_id, 1000.5::double + event_id as px, (event_id % 9)::double as qty from events")
 def str_levels(spark, sf):
     """STR5: book levels out of JSON."""

@@ -115,6 +115,11 @@ def gate(complete: bool, unexplained: int, excepted: int) -> str:
     return "PASS-WITH-EXCEPTIONS" if excepted else "PASS"
 
 
+def gates() -> F.Column:
+    """gate() of the columns complete, unexplained, excepted."""
+    return F.when(~F.col("complete") | (F.col("unexplained") > 0), "FAIL").when(F.col("excepted") > 0, "PASS-WITH-EXCEPTIONS").otherwise("PASS")
+
+
 def store_sanity(bars: DataFrame, bars_per_day: int) -> DataFrame:
     """Per symbol: bars, whole days of them, empty bars, first and last start."""
     return bars.groupBy("symbol").agg(F.count("*").alias("n_bars"), (F.count("*") % bars_per_day == 0).alias("whole_days"), F.count_if(F.col("trade_count") == 0).alias("empty_bars"), F.min("bar_ts_ms").alias("first_ms"), F.max("bar_ts_ms").alias("last_ms"))

@@ -9,7 +9,6 @@ import time
 import urllib.error
 import urllib.request
 import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +25,47 @@ SCHEMAS = {
 STAMPS = {"trades": ["transact_time"], "klines": ["open_time", "close_time"], "funding": ["calc_time"], "depth": []}
 
 
-def read_csv(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
-    """A headed or headerless CSV as its typed table, any number of files at once. Stamps are ms, by the unit of each file's first stamp."""
-    lines = spark.read.text(path).select(F.col("value"), F.input_file_name().alias("_file"))
-    body = lines.where(F.trim("value") != "").where(~C.looks_like_header(F.col("value")) if kind != "depth" else ~F.col("value").startswith("timestamp"))
-    got = body.select("_file", F.from_csv("value", SCHEMAS[kind], {"mode": "PERMISSIVE"}).alias("r")).select("_file", "r.*")
-    for c in STAMPS[kind]:
-        # a file's stamps share one unit, so any of them tells it; the least is the first in file order
-        unit = got.groupBy("_file").agg(F.min(c).alias("_first")).select("_file", C.time_unit(F.col("_first")).alias("_unit"))
-        got = got.join(F.broadcast(unit), "_file", "left").withColumn(c, C.to_ms(F.col(c), F.col("_unit"))).drop("_unit")
+def read_csv(spark: SparkSession, path: str | list[str], kind: str, rejects: bool = False) -> DataFrame:
+    """A headed or headerless CSV as its typed table, any number of files at once. Stamps are ms, by the unit of each file's first stamp.
+
+    Only a file's first line can be its header. A line that cannot be read as a
+    row is left out; with rejects the result is those lines instead, (path, line).
+    """
+    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") == 0).alias("_head"), F.monotonically_increasing_id().alias("_at"))
+    head = F.col("value").startswith("timestamp") if kind == "depth" else C.looks_like_header(F.col("value"))
+    # ids of lines grow within a split, so the first line of a file is the least of its first split
+    top = lines.where("_head").groupBy("_file").agg(F.min("_at").alias("_first"))
+    body = lines.where(F.trim("value") != "").join(F.broadcast(top), "_file", "left").where((F.col("_at") != F.col("_first")) | ~head).select("_file", "value")
+    bad = "_bad"
+    parsed = body.select("_file", F.from_csv("value", f"{SCHEMAS[kind]}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r")).select("_file", "r.*")
+    if rejects:
+        return parsed.where(F.col(bad).isNotNull()).select(F.col("_file").alias("path"), F.col(bad).alias("line"))
+    got = parsed.where(F.col(bad).isNull()).drop(bad)
+    if STAMPS[kind]:
+        # a file's stamps share one unit, so any of them tells it
+        units = got.groupBy("_file").agg(*[C.time_unit(F.min(c)).alias(f"_{c}") for c in STAMPS[kind]])
+        got = got.join(F.broadcast(units), "_file", "left").withColumns({c: C.to_ms(F.col(c), F.col(f"_{c}")) for c in STAMPS[kind]}).drop(*[f"_{c}" for c in STAMPS[kind]])
     if kind == "depth":
         got = got.withColumns({"timestamp": F.to_timestamp_ntz("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")), "percentage": F.round("percentage").cast("long")})
     return got.drop("_file")
 
 
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines under a fixed schema; none if there is no such file. Lines that are no JSON object give a row of nulls, as they are logged, not data."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path)
+
+
+def by_extension(spark: SparkSession, folder: str) -> DataFrame:
+    """(extension, n, bytes) of all files below a folder. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    name = F.element_at(F.split("path", "/"), -1)
+    extension = F.when(name.rlike(r"[^.]\.[^.]*$"), F.concat(F.lit("."), F.element_at(F.split(name, r"\."), -1))).otherwise("")
+    return files.groupBy(extension.alias("extension")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
 def month_url(base: str, kind: str, symbol: str, year: int, month: int, interval: str = "") -> str:
     part = f"{interval}/" if interval else ""
     return f"{base}/monthly/{kind}/{symbol}/{part}{symbol}-{interval or kind}-{year}-{month:02d}.zip"
@@ -101,25 +127,37 @@ def fetch(url: str, to: str, tries: int = 3, pause: float = 2.0) -> str:
     raise AssertionError
 
 
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file by way of a .part file, wherever the path leads."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(fs_path(path + ".part"), True)
+    out.write(bytearray(data))
+    out.close()
+    if fs.exists(fs_path(path)):
+        fs.delete(fs_path(path), False)
+    fs.rename(fs_path(path + ".part"), fs_path(path))
+
+
 class Ledger:
     """What has been ingested, by url, in one JSON file that is replaced whole."""
 
-    def __init__(self, path: str):
-        self.path = Path(path)
-        self.entries: dict[str, dict] = json.loads(self.path.read_text()) if self.path.exists() else {}
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        self.entries: dict[str, dict] = json.loads(spark.read.text(path, wholetext=True).first()[0]) if there else {}
 
     def has(self, url: str) -> bool:
         return self.entries.get(url, {}).get("status") == "ok"
 
     def record(self, url: str, **entry) -> None:
         self.entries[url] = entry
-        part = self.path.with_suffix(".part")
-        part.write_text(json.dumps(self.entries, sort_keys=True))
-        os.replace(part, self.path)
+        write_file(self.spark, self.path, json.dumps(self.entries, sort_keys=True).encode())
 
-    def frame(self, spark: SparkSession) -> DataFrame:
+    def frame(self) -> DataFrame:
         rows = [(u, e.get("sha256"), e.get("byte_size"), e.get("status")) for u, e in sorted(self.entries.items())]
-        return spark.createDataFrame(rows, "url string, sha256 string, byte_size long, status string")
+        return self.spark.createDataFrame(rows, "url string, sha256 string, byte_size long, status string")
 
 
 def quarantine_windows(spark: SparkSession, path: str) -> DataFrame:
