@@ -581,7 +581,7 @@ def _split_large(laid: DataFrame, limit: int, members: int, rounds: int = ROUNDS
         columns = ["region", "part", "kind", "node", "n", "codes"]
         sent = large.select(*columns).unionByName(pivots.select(*columns)).repartition("region", "part").sortWithinPartitions("region", "part", "kind")
         labelled = session.materialize(sent.mapInArrow(_label, LABELLED))
-        found = labelled.select(F.col("node").alias("a"), F.explode("links").alias("b")).where("a <> b").unionByName(_visits(labelled, limit, members))
+        found = labelled.select(F.col("node").alias("a"), F.explode("links").alias("b")).where("a <> b").unionByName(_visits(labelled, limit, max(1, members // 4)))
         edges = found if edges is None else edges.unionByName(found)
         # what no group holds goes on, by Voronoi cells where their windows copy little
         rest = labelled.where(F.size("links") == 0)
