@@ -270,3 +270,18 @@ def test_prefix_sums_equal_frames(spark):
     for i in range(300):
         frame = [x[j] for j in range(max(0, i - 4), i + 1)]
         assert rows[i] == (sum(frame) if len(frame) == 5 and None not in frame else None)
+
+
+@pytest.mark.parametrize("zone", ["Etc/UTC", "America/New_York"])
+def test_ranks_keep_instants_in_any_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.range(60).selectExpr("'S' as symbol", "id as bar_index", "timestamp_millis(id * 3600000) as bar_ts", "double(id) as x", "array(double(id)) as v")
+        got = series.trailing_quantile(df, "x", 5, 2, "q", 20)
+        assert got.schema["bar_ts"].dataType.simpleString() == "timestamp"
+        assert {(r.bar_index, r.ms, r.q) for r in got.selectExpr("bar_index", "unix_millis(bar_ts) as ms", "q").collect()} == {(i, i * 3_600_000, i - 3.0 if i >= 5 else None) for i in range(60)}
+        pooled = series.pooled_ranks(df, "v", 5, {"a": 0.5}, 20)
+        assert {(r.bar_index, r.ms, r.a) for r in pooled.selectExpr("bar_index", "unix_millis(bar_ts) as ms", "a").collect()} == {(i, i * 3_600_000, float(max(0, i - 5) + min(i, 5) // 2) if i else None) for i in range(60)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 CHUNK = 16_384
 KEYS = ("symbol", "bar_index")
@@ -125,12 +126,20 @@ def previous(df: DataFrame, value: str, at: str, out: str, size: int = CHUNK) ->
 _BLOCK = 2_000_000
 
 
+def _in_utc(table: pa.Table) -> pa.Table:
+    """The same instants, named in UTC: rows come in the session's zone, and grouped Arrow functions must give them back in UTC."""
+    for i, f in enumerate(table.schema):
+        if pa.types.is_timestamp(f.type) and f.type.tz:
+            table = table.set_column(i, f.name, table[i].cast(pa.timestamp("us", "UTC")))
+    return table
+
+
 def _by_chunk(wide: DataFrame, names: list[str], fn, spent: str | None = None) -> DataFrame:
     """wide, but for the column `spent`, with the double columns that fn(one chunk's table in order) gives."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema if f.name != spent] + [f"`{n}` double" for n in names])
+    schema = StructType([f for f in wide.schema if f.name != spent] + [StructField(n, DoubleType()) for n in names])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table["bar_index"]))
+        table = _in_utc(table.take(pc.sort_indices(table["bar_index"])))
         out = table if spent is None else table.drop_columns([spent])
         for name, column in zip(names, fn(table), strict=True):
             out = out.append_column(name, pa.array(column, pa.float64(), from_pandas=True))
