@@ -187,10 +187,10 @@ def src_csv_klines(spark, sf):
 
 @query("select 1700000000000 + event_id * 28800000 as calc_time, 8::bigint as funding_interval_hours, (event_id % 21 - 10) / 10000 as last_funding_rate from events")
 def src_csv_funding(spark, sf):
-    """SRC9: funding rates out of CSV."""
+    """SRC9: funding rates out of CSV, written in ms and read as such: eight-hour stamps of many events pass 2286, where digits no longer tell."""
     i, path = F.col("event_id"), tables.folder(spark)
     adapter.table(spark, sf, "events").select((i * 28_800_000 + 1_700_000_000_000).alias("calc_time"), F.lit(8).alias("hours"), ((i % 21 - 10) / 10_000).alias("rate")).write.option("header", True).csv(path)
-    return archive.read_csv(spark, path, "funding")
+    return archive.read_csv(spark, path, "funding", unit="ms")
 
 
 @query("""select date_trunc('second', ts)::timestamp as timestamp, event_id % 11 - 5 as percentage, value as depth, value * 2 as notional from events""")

@@ -25,12 +25,17 @@ SCHEMAS = {
 STAMPS = {"trades": ["transact_time"], "klines": ["open_time", "close_time"], "funding": ["calc_time"], "depth": []}
 
 
-def read_csv(spark: SparkSession, path: str | list[str], kind: str, rejects: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], kind: str, rejects: bool = False, unit: str | None = None) -> DataFrame:
     """A headed or headerless CSV as its typed table, any number of files at once. Stamps are ms, by the unit of each file's first stamp.
 
+    Digits tell ms only up to 2286: later ones have 14 and read as us. Where the
+    unit (s, ms, us, ns) is known, as of files written here, state it.
+
     Only a file's first line can be its header. A line that cannot be read as a
     row is left out; with rejects the result is those lines instead, (path, line).
     """
+    if unit not in (None, "s", "ms", "us", "ns"):
+        raise ValueError(f"unknown unit {unit}")
     lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") == 0).alias("_head"), F.monotonically_increasing_id().alias("_at"))
     head = F.col("value").startswith("timestamp") if kind == "depth" else C.looks_like_header(F.col("value"))
     # ids of lines grow within a split, so the first line of a file is the least of its first split
@@ -41,7 +46,9 @@ def read_csv(spark: SparkSession, path: str | list[str], kind: str, rejects: boo
     if rejects:
         return parsed.where(F.col(bad).isNotNull()).select(F.col("_file").alias("path"), F.col(bad).alias("line"))
     got = parsed.where(F.col(bad).isNull()).drop(bad)
-    if STAMPS[kind]:
+    if unit:
+        got = got.withColumns({c: C.to_ms(F.col(c), F.lit(unit)) for c in STAMPS[kind]})
+    elif STAMPS[kind]:
         # a file's stamps share one unit, so any of them tells it
         units = got.groupBy("_file").agg(*[C.time_unit(F.min(c)).alias(f"_{c}") for c in STAMPS[kind]])
         got = got.join(F.broadcast(units), "_file", "left").withColumns({c: C.to_ms(F.col(c), F.col(f"_{c}")) for c in STAMPS[kind]}).drop(*[f"_{c}" for c in STAMPS[kind]])
