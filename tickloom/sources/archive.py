@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import time
 import urllib.error
 import urllib.request
@@ -168,9 +169,26 @@ class Ledger:
 
 
 def quarantine_windows(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, start_ms, end_ms) from JSON records; none if there is no such file."""
+    """(symbol, start_ms, end_ms) from JSON records: an array, lines, or any such values one after the other, on one line or many.
+
+    None if there is no such file; what is no whole record raises, as a window left
+    out would let bad data in. One task holds one file.
+    """
     schema = "symbol string, start_ms long, end_ms long"
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+    def run(frames):
+        decoder, space = json.JSONDecoder(), re.compile(r"[ \t\r\n]*")
+        for pdf in frames:
+            out = []
+            for text in pdf["value"]:
+                at = space.match(text).end()
+                while at < len(text):
+                    got, at = decoder.raw_decode(text, at)
+                    out += [(r["symbol"], int(r["start_ms"]), int(r["end_ms"])) for r in (got if isinstance(got, list) else [got])]
+                    at = space.match(text, at).end()
+            yield type(pdf)(out, columns=["symbol", "start_ms", "end_ms"]).astype({"start_ms": "int64", "end_ms": "int64"})
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, schema)
